@@ -1,15 +1,16 @@
 """Token counts of texts of any length with a public tokenizer's own library.
 
-Texts up to ``chunk`` characters are encoded whole. A longer text is encoded in
-overlapping chunks with offsets; two neighbours are spliced at a stable common
-boundary, and an overlap without one is doubled until it has one or the chunks
-have become one.
-
-A boundary is stable if white space stands before it: the vocabulary's
-pre-tokeniser drops white space, no pre-token spans it, and neither does an added
-token, so tokens on either side depend on that side alone. As a second proof,
-both encodings must show the same tokens on the whole overlap after it, up to
-the last white space.
+A text of over ``chunk`` characters is encoded in overlapping chunks with
+offsets; two neighbours are spliced at a stable common boundary, and an overlap
+without one is doubled until it has one or the chunks have become one.
+
+A boundary is stable if a blank, tab or line end stands before it: the
+vocabulary's pre-tokeniser drops them, no pre-token spans one, and neither does an
+added token, so tokens on either side depend on that side alone. As a second
+proof, both encodings must show the same tokens on the whole overlap after it, up
+to the last such character. By the same law a shorter text's count is the sum
+over its pieces between blanks and line ends, so the library encodes each
+distinct piece once while the memo holds it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from segloom.llm.common import by_batch
 
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP, MEMO = 16_384, 256, 500_000
 
 
 def _spans(encoding, base: int) -> np.ndarray:
@@ -38,7 +39,7 @@ def _spans(encoding, base: int) -> np.ndarray:
 
 def splice_at(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
     """A stable common boundary in [lo, hi), or None. left and right: tokens of chunks that end at hi and begin at lo."""
-    spaces = [p + 1 for p in range(lo, hi) if text[p].isspace()]
+    spaces = [p + 1 for p in range(lo, hi) if text[p] in " \t\n\r"]
     if len(spaces) < 2:
         return None
     first, last = spaces[0], spaces[-1]
@@ -79,18 +80,19 @@ def token_counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Call
     tok.no_truncation()
     tok.no_padding()
 
+    memo: dict[str, int] = {}
+
     def encode(x: str):
         return tok.encode(x, add_special_tokens=False)
 
     def count(texts: list[str]) -> list[int]:
-        short = [i for i, x in enumerate(texts) if len(x) <= chunk]
-        out = [0] * len(texts)
-        for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = len(e)
-        for i, x in enumerate(texts):
-            if len(x) > chunk:
-                out[i] = count_long(x, encode, chunk, overlap)
-        return out
+        pieces = [x.replace("\n", " ").split(" ") if len(x) <= chunk else [] for x in texts]
+        new = list({y for x in pieces for y in x if y not in memo})
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list({y for x in pieces for y in x})
+        memo.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return [sum(map(memo.__getitem__, y)) if len(x) <= chunk else count_long(x, encode, chunk, overlap) for x, y in zip(texts, pieces, strict=True)]
 
     return count
 
