@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import mixing, sharding, simhash, token_counts
+from segloom.llm import decontamination, imatch, mixing, sharding, simhash, token_counts
 from segloom.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -26,12 +30,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digest(imatch.fingerprints(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_imatch": op10_imatch,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
