@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import decontamination, imatch, mixing, sharding, simhash, token_counts
-from segloom.llm.common import table
+from segloom.llm import decontamination, imatch, language_id, mixing, quality, sharding, simhash, token_counts
+from segloom.llm.common import crc_part, table
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_grade, tail_prob, keep for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    graded = quality.with_grades(docs, model)
+    return graded.select("doc_id", "expected_grade", "tail_prob", (graded.tail_prob >= quality.KEEP).alias("keep"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -20,6 +28,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), crc_part("doc_id", 4) == 2)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_imatch": op10_imatch,

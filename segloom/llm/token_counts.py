@@ -28,47 +28,57 @@ from segloom.llm.common import by_batch
 CHUNK, OVERLAP, MEMO = 16_384, 256, 500_000
 
 
-def _spans(encoding, base: int) -> np.ndarray:
-    """(id, start, end) of each token; offsets are those of the whole text."""
-    if not len(encoding):
-        return np.empty((0, 3), np.int64)
-    spans = np.column_stack([np.asarray(encoding.ids, np.int64), np.asarray(encoding.offsets, np.int64)])
-    spans[:, 1:] += base
-    return spans
-
-
-def splice_at(text: str, left: np.ndarray, right: np.ndarray, lo: int, hi: int) -> int | None:
-    """A stable common boundary in [lo, hi), or None. left and right: tokens of chunks that end at hi and begin at lo."""
-    spaces = [p + 1 for p in range(lo, hi) if text[p] in " \t\n\r"]
+class Chunk:
+    """The encoding of text[begin:end]; places are those of the whole text."""
+
+    def __init__(self, text: str, begin: int, end: int, encode: Callable) -> None:
+        self.begin, self.end, self.encoding = begin, end, encode(text[begin:end])
+
+    def first(self, place: int) -> int:
+        """Number of the first token that starts at place or later; starts never fall."""
+        lo, hi = 0, len(self.encoding)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.encoding.token_to_chars(mid)[0] + self.begin < place:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def between(self, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids and spans of the tokens that start in [lo, hi)."""
+        at = range(self.first(lo), self.first(hi))
+        spans = (self.encoding.token_to_chars(i) for i in at)
+        return self.encoding.ids[at.start : at.stop], [(a + self.begin, b + self.begin) for a, b in spans]
+
+
+def splice_at(text: str, left: Chunk, right: Chunk) -> int | None:
+    """A stable common boundary in the overlap of two chunks, or None."""
+    spaces = [p + 1 for p in range(right.begin, left.end) if text[p] in " \t\n\r"]
     if len(spaces) < 2:
         return None
-    first, last = spaces[0], spaces[-1]
-    a = left[(left[:, 1] >= first) & (left[:, 1] < last)]
-    b = right[(right[:, 1] >= first) & (right[:, 1] < last)]
-    return first if a.shape == b.shape and bool((a == b).all()) else None
+    return spaces[0] if left.between(spaces[0], spaces[-1]) == right.between(spaces[0], spaces[-1]) else None
 
 
 def count_long(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of one long text. encode: text -> the library's encoding with ids and offsets."""
-    total, at, end = 0, 0, min(chunk, len(text))  # tokens before `at` are counted
-    left_base, left = 0, _spans(encode(text[:end]), 0)
-    while end < len(text):
+    total, at = 0, 0  # tokens before `at` are counted
+    left = Chunk(text, 0, min(chunk, len(text)), encode)
+    while left.end < len(text):
         wide = overlap
         while True:
-            begin = max(end - wide, at, left_base)
-            stop = min(begin + chunk + wide, len(text))
-            right = _spans(encode(text[begin:stop]), begin)
-            cut = splice_at(text, left, right, begin, end)
+            begin = max(left.end - wide, at, left.begin)
+            right = Chunk(text, begin, min(begin + chunk + wide, len(text)), encode)
+            cut = splice_at(text, left, right)
             if cut is not None:
-                total += int(np.count_nonzero((left[:, 1] >= at) & (left[:, 1] < cut)))
-                at, left_base, left, end = cut, begin, right, stop
+                total += left.first(cut) - left.first(at)
+                at, left = cut, right
                 break
-            if begin <= max(at, left_base):  # nothing to widen into: both become one chunk
-                stop = min(end + chunk, len(text))
-                left, end = _spans(encode(text[left_base:stop]), left_base), stop
+            if begin <= max(at, left.begin):  # nothing to widen into: both become one chunk
+                left = Chunk(text, left.begin, min(left.end + chunk, len(text)), encode)
                 break
             wide *= 2
-    return total + int(np.count_nonzero(left[:, 1] >= at))
+    return total + len(left.encoding) - left.first(at)
 
 
 def token_counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
