@@ -69,6 +69,18 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def by_bytes(batch: pa.RecordBatch, most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with texts of `most` bytes in all, or one row."""
+    begin = total = 0
+    for i, n in enumerate(map(len, raw_texts(batch, name))):
+        if i > begin and total + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def crc_part(id_col: str, n: int):
     """crc32 of the id's text modulo n: the folds of the contracts."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

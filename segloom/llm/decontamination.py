@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segloom.llm.common import raw_texts
+from segloom.llm.common import by_bytes, raw_texts
 
 WINDOW, SHARD, BLOCK, WORDS_AT_ONCE = 13, 2 << 20, 8 << 20, 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,19 +138,6 @@ def matches(w: Words, t: Tests) -> list[list[tuple[int, int, str, int]]]:
     return out
 
 
-def shards(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with texts of SHARD bytes in all, or one row."""
-    size = [len(x) for x in raw_texts(batch, batch.schema.names[text_at])]
-    begin = total = 0
-    for i, n in enumerate(size):
-        if i > begin and total + n > SHARD:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += n
-    if begin < len(size):
-        yield batch.slice(begin)
-
-
 _MATCH = "array<struct<first:int,words:int,item:string,item_first:int>>"
 
 
@@ -161,7 +148,7 @@ def with_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
     total = bench.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK // 2)))
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(found, T._parse_datatype_string(_MATCH))])
-    text_at = docs.columns.index(text_col)
+    text_at, part_name = docs.columns.index(text_col), text_col
     out = docs
     for b in range(blocks):
         items = [(r[0] or "", bytes(r[1])) for r in bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
@@ -171,7 +158,7 @@ def with_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
             tests = None
             for batch in batches:
                 tests = tests or Tests(block.value, window)
-                for part in shards(batch, text_at):
+                for part in by_bytes(batch, SHARD, part_name):
                     w = Words([x or b"" for x in part.column(text_at).cast(pa.binary()).to_pylist()])
                     got = [[{"first": a, "words": n, "item": i, "item_first": o} for a, n, i, o in x] for x in matches(w, tests)]
                     if part.num_columns == len(schema):
