@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import decontamination, imatch, language_id, lm_scoring, mixing, quality, sharding, simhash, token_counts
+from segloom.llm import decontamination, imatch, language_id, lm_scoring, mixing, quality, sharding, simhash, substring_dedup, token_counts
 from segloom.llm.common import crc_part, table
 
 
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
