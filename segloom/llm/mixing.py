@@ -52,37 +52,57 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.withColumn("target", F.coalesce(F.least("cap", F.col("w") * level), F.col("cap"))).select("source", "source_size", "target")
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> DataFrame:
+    """docs with __id, __source, __size, __e and __slice."""
+    q = quality(F.col(text_col)) if weight is None else weight
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    key = -F.log(unit(F.col(id_col), seed)) / q
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), key.alias("__e"))
+    return rows.withColumn("__slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.coalesce("__e", F.lit(0.0)))) * SLICES)).cast("int"))
+
+
+def plan(rows: DataFrame, **law) -> DataFrame:
+    """A row for each source: its size, target, complete epochs, the rest of its budget and the slice in which the rest ends."""
+    slices = materialize(rows.groupBy("__source", "__slice").agg(F.sum("__size").alias("n")))
+    sizes = slices.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("source_size"))
+    budget = F.round("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
+    wanted = targets(sizes, **law).withColumn("epochs", epochs.cast("long")).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    upto = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    ends = wanted.alias("p").join(before.alias("s"), F.col("p.source").eqNullSafe(F.col("s.__source")) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")), "left")
+    return materialize(ends.select(F.col("p.source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("before").alias("__before"), F.coalesce("__slice", F.lit(SLICES)).alias("__end")))
+
+
+def with_taken(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows with their source's plan and __taken; rows move only where their slice is the one that ends the budget."""
+    r = rows.join(made, F.col("__source").eqNullSafe(F.col("__of")))
+    whole = r.filter(F.col("__slice") != F.col("__end")).withColumn("__more", F.when(F.col("__slice") < F.col("__end"), F.col("__size")).otherwise(0).cast("long"))
+    run = Window.partitionBy("__source").orderBy("__e", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__rest") - F.col("__before") - F.coalesce(F.sum("__size").over(run), F.lit(0))
+    last = r.filter(F.col("__slice") == F.col("__end")).withColumn("__more", F.greatest(F.lit(0), F.least(F.col("__size"), left)).cast("long"))
+    return whole.unionByName(last).withColumn("__taken", (F.col("__size") * F.col("__epochs") + F.col("__more")).cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED, **law) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     taken sums to the source's target, rounded to whole words; a document's is
     its size times the complete epochs, plus all, some or none of it. A null or
     empty text has size 0 and nothing is taken of it; null is a source of its own.
-    Repeated rows have the same key and are drawn one after the other. An empty
-    table gives no rows. Other columns are not read.
+    Repeated rows have the same key and are drawn one after the other; a null id
+    comes first. An empty table gives no rows. Other columns are not read.
     """
-    text = F.col(text_col)
-    q = quality(text) if weight is None else weight
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), (-F.log(unit(F.col(id_col), seed)) / q).alias("e"))
-    rows = materialize(rows.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.col("e"))) * SLICES)).cast("int")))
-    slices = materialize(rows.groupBy("source", "slice").agg(F.sum("size").alias("n")))
-    plan = targets(slices.groupBy("source").agg(F.sum("n").alias("source_size")), **law)
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("epochs", epochs.cast("long")).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    same = F.col("p.source").eqNullSafe(F.col("s.source"))
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = slices.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    # the slice in which the rest of the budget ends: one row for each source
-    ends = plan.alias("p").join(before.alias("s"), same & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")), "left")
-    plan = materialize(ends.select("p.source", "source_size", "target", "epochs", "rest", "before", F.coalesce("slice", F.lit(SLICES)).alias("end")))
-    r = rows.alias("s").join(plan.alias("p"), same).select("doc_id", "p.source", "size", "e", "slice", "source_size", "target", "epochs", "rest", "before", "end")
-    whole = r.filter(F.col("slice") != F.col("end")).withColumn("more", F.when(F.col("slice") < F.col("end"), F.col("size")).otherwise(0))
-    run = Window.partitionBy("source").orderBy("e", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    last = r.filter(F.col("slice") == F.col("end")).withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    return whole.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("more")).cast("long").alias("taken"))
+    rows = materialize(keyed(docs, id_col, text_col, source_col, weight, seed).select("__id", "__source", "__size", "__e", "__slice"))
+    out = with_taken(rows, plan(rows, **law))
+    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED, **law) -> DataFrame:
+    """The rows of docs, with their columns, as often as the mix takes them; a part counts as a whole from its half on."""
+    rows = keyed(docs, id_col, text_col, source_col, weight, seed)
+    out = with_taken(rows, plan(rows, **law)).filter("__size > 0")
+    return out.withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(floor((__taken * 2 + __size) / (2 * __size)) as int))"))).select(*docs.columns)
 
 
 #: The mix in DuckDB: resharing as it is defined, in rounds, and a running sum over whole sources.
