@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from segloom.llm.common import by_bytes, materialize, raw_texts
 from segloom.llm.suffix_array import permuted_prefixes, suffix_array
 
-LENGTH, GRAM, SEGMENT, SHARD, HOT, SPLIT, SLICE = 400, 160, 1 << 19, 3 << 20, 1500, 48, 1 << 22
+LENGTH, GRAM, SEGMENT, SHARD, HOT, SPLIT, SLICE = 400, 160, 1 << 19, 1 << 20, 1500, 48, 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 
 
