@@ -3,16 +3,18 @@
 Nodes are the distinct texts. A node's fingerprint is a SimHash of its distinct
 longer words (all of them where there are few), which an edited word moves less
 than shingles; its sketch holds the least SKETCH hashes of its distinct
-SHINGLE-word shingles, all of them in a short text. A key is the pair of fuzzy
-indices of two of three segments, so near copies with some errors in each segment
-still meet, at least in one of three pairs.
+SHINGLE-word shingles, all of them in a short text. The fingerprint's three
+segments are decoded to fuzzy indices; pairs of segments make keys. A node is
+filed under the nearest index of each pair and asks under all of them, so that
+near copies with some errors in each segment still meet in one of three pairs
+while a key of 24 bits holds few of the others.
 
 Candidates differ in BITS bits at most and link where the sketches' resemblance
-is the wanted similarity. Links are found for connection alone: each bucket first
-links its rows to one of them, twice, then compares only rows that are not
-connected yet. In buckets of over SMALL rows, texts whose own sketch shows more
-shingles than similarity allows that no other text of such a bucket has are out
-before that, as nothing there can resemble them.
+is the wanted similarity. Links are found for connection alone: who asks is
+compared with one of those filed under a key, and then with those of them that
+are not connected to that one yet. Under a key with over SMALL files, texts with
+more shingles than similarity allows that no other text there has are out before
+that, as none can resemble them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, BITS, SKETCH, SMALL, LONG, FEW, MARGIN = 5, 0.8, 12, 256, 64, 7, 8, 0.08
+SHINGLE, SIMILARITY, BITS, SKETCH, SMALL, LONG, FEW, MARGIN = 5, 0.8, 10, 256, 16, 7, 8, 0.06
 
 
 def features(words: list[bytes]) -> set[bytes]:
@@ -67,14 +69,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(by_batch(run), "doc_id long, th long, fp long, sketch array<long>")
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
+def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
+    """key, th, fp: the keys under which nodes are filed (3 each), or ask (108 at most)."""
     made: list[Golay] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Golay())
         x = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        cut = [made[0].indices((x >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)).astype(np.int64) for at, n in ((0, 22), (22, 21), (43, 21))]
+        cut = [made[0].indices((x >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)).astype(np.int64)[:, : 1 if filed else 6] for at, n in ((0, 22), (22, 21), (43, 21))]
         keys = []
         for a in range(3):
             i, j = cut[a][:, :, None], cut[(a + 1) % 3][:, None, :]
@@ -100,8 +103,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     rows = materialize(signatures(docs, id_col, text_col, shingle))
     nodes = materialize(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
-    keys = _keyed(nodes)
-    k = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    files, asks = materialize(_keyed(nodes, True)), _keyed(nodes, False)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= BITS
     pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
 
@@ -115,25 +117,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
         return r.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
-    links = roots = None
-    for turn in range(2):
-        mid = k.groupBy("key").agg(F.min(F.struct(F.xxhash64("th", F.lit(turn)), "th", "fp")).alias("m")).select("key", F.col("m.th").alias("th2"), F.col("m.fp").alias("fp2"))
-        pairs = k.join(mid, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
-        pairs = materialize(pairs if roots is None else apart(pairs, roots))
-        found = materialize(verified(pairs))
-        links = found if links is None else materialize(links.unionByName(found))
-        roots = materialize(components(links))
-    placed = k.join(roots, k.th == roots.node, "left").select("key", "th", "fp", "n", F.coalesce("root", "th").alias("root"))
-    few = placed.filter(F.col("n") <= SMALL)
-    hot = materialize(placed.filter(F.col("n") > SMALL))
-    shown = rows.select("th", "sketch").join(hot.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
+    one = files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp")).alias("m")).select("key", "n", F.col("m.th").alias("th2"), F.col("m.fp").alias("fp2"))
+    one = materialize(one)
+    links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
+    roots = materialize(components(links))
+    # files that are not connected to the one they share a key with
+    r = roots.select(F.col("node").alias("th"), "root")
+    others = files.join(one.filter("n > 1").select("key", "n", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
+    others = materialize(others.filter(F.coalesce("root", "th") != F.coalesce("root2", "th2")).select("key", "n", "th", "fp"))
+    hot = others.filter(F.col("n") > SMALL)
+    there = asks.join(hot.select("key").distinct(), "key", "left_semi").select("th").distinct()
+    shown = rows.select("th", "sketch").join(there, "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
     alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
-    odd = shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + MARGIN)).select("th")
-    hot = hot.join(odd, "th", "left_anti")
-    left = few.select("key", "th", "fp", "root").unionByName(hot.select("key", "th", "fp", "root"))
-    other = left.select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    pairs = materialize(left.join(other, "key").filter((F.col("th") < F.col("th2")) & (F.col("root") != F.col("root2")) & close).select(*pair).distinct())
-    roots = components(links.unionByName(verified(pairs)))
+    spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
+    odd = shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th")
+    left = others.filter(F.col("n") <= SMALL).unionByName(hot.join(odd, "th", "left_anti")).select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"))
+    pairs = asks.join(materialize(left), "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
+    roots = components(links.unionByName(verified(materialize(apart(pairs, roots)))))
     named = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "th").join(materialize(named.join(least, "root").select("th", "component_id")), "th")
