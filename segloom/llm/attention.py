@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-T, STEP, DIM, HIDDEN, CLASSES, UNITS = 32, 24, 24, 48, 32, 1024
+T, STEP, DIM, HIDDEN, CLASSES, UNITS = 32, 28, 24, 32, 32, 1024
 _MASK = np.tril(np.ones((T, T), np.float32))
 
 
@@ -40,16 +40,16 @@ class Attention:
         p = self.p
         n = len(x)
         seen = x[:, :T]
-        h = p["e1"][seen]
-        h[:, 1:] += p["e2"][seen[:, :-1]]
+        h = p["e1"].take(seen, axis=0)
+        h[:, 1:] += p["e2"].take(seen[:, :-1], axis=0)
         h += p["at"]
         flat = h.reshape(-1, DIM)
         q, k = (flat @ (p["q"] / np.float32(np.sqrt(DIM)))).reshape(n, T, DIM), (flat @ p["k"]).reshape(n, T, DIM)
         v = np.empty((n, T, DIM + 1), np.float32)
         v[:, :, :DIM] = (flat @ p["v"]).reshape(n, T, DIM)
         v[:, :, DIM] = 1
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(a, -30, 30, out=a)
+        a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         a *= _MASK
         z = np.matmul(a, v)
@@ -75,7 +75,7 @@ class Attention:
         out -= np.log(z)
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        hs, ms, inner = h[order], member[order], np.empty(n, np.float32)
+        hs, ms, inner = h.take(order, axis=0), member[order], np.empty(n, np.float32)
         if grads is not None:
             e /= z[:, None]
             e[at, cls] -= 1

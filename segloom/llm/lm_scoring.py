@@ -20,9 +20,11 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,18 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def common_words(words: DataFrame, most: int = TOP) -> dict[bytes, int]:
+    """The words with counts from some count on, `most` of them at most, with their counts."""
+    step = F.floor(F.log2("c") * 16).cast("int")  # so that there is a row for each step of counts and not for each word
+    left, least = most, 1 << 30
+    for r in sorted(words.groupBy(step.alias("s")).count().collect(), reverse=True):
+        left -= r[1]
+        if left < 0:
+            break
+        least = r[0]
+    return {r[0].encode(): r[1] for r in words.filter(step >= least).select("word", "c").collect()}
+
+
 def count_ids(words: DataFrame, ranks) -> dict[int, int]:
     """Subword ids of word, c with their counts; as many as the vocabulary has at most."""
 
@@ -110,18 +124,30 @@ class Units:
         self.share /= self.share.sum()
 
 
+class Common:
+    """The words with the highest counts, their counts and subword ids, as a few arrays."""
+
+    def __init__(self, counts: dict[bytes, int], sub: Subwords | None = None) -> None:
+        self.words = list(counts)
+        ids = [sub.ids(w) for w in self.words] if sub else []
+        self.count = np.fromiter(counts.values(), np.int64, len(counts))
+        self.size = np.fromiter(map(len, ids), np.int64, len(ids)).astype(np.int64)
+        self.flat = np.fromiter(chain.from_iterable(ids), np.int64, int(self.size.sum()))
+
+
 class Reader:
-    """Texts to units, with what is known of each word by the way; the memo is bounded."""
+    """Texts to units, with what is known of each word by the way; the memo starts with the common words and is bounded."""
 
-    def __init__(self, ranks: bytes, units: Units, common: dict[bytes, int] | None = None) -> None:
-        self.sub, self.units, self.common = Subwords(ranks), units, common or {}
+    def __init__(self, ranks: bytes, common: Common | None = None) -> None:
+        self.sub, self.common = Subwords(ranks), common or Common({})
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.count: list[int] = []  # of a common word; -1 of another
-        self.hash: list[int] = []
+        c = self.common
+        self.number: dict[bytes, int] = dict(zip(c.words, range(len(c.words)), strict=True))
+        self.new: list[bytes] = []  # not in the tables yet
+        self.first, self.size, self.flat = np.cumsum(c.size) - c.size, c.size, c.flat  # subword ids of each word
+        self.count, self.hash = c.count, np.zeros(len(c.words), np.int64)  # -1 of a word that isn't common
 
     def words(self, text: bytes) -> np.ndarray:
         """Numbers of a text's words in the tables."""
@@ -137,21 +163,30 @@ class Reader:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
     def add(self, word: bytes) -> None:
+        self.number[word] = len(self.number)
+        self.new.append(word)
+
+    def grow(self) -> None:
+        """Takes the new words into the tables."""
         from xxhash import xxh64_intdigest
 
-        self.number[word] = len(self.ids)
-        self.ids.append(self.sub.ids(word))
-        self.count.append(self.common.get(word, -1))
-        self.hash.append(xxh64_intdigest(word, 42))
+        if self.new:
+            ids = [self.sub.ids(w) for w in self.new]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))])
+            self.count = np.concatenate([self.count, np.full(len(ids), -1)])
+            self.hash = np.concatenate([self.hash, np.array([xxh64_intdigest(w, 42) for w in self.new], np.uint64).view(np.int64)])
+            self.new = []
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Word numbers of each text; subword ids of all texts with their ends, and where each begins."""
-        if len(self.ids) > MEMO:
+        if len(self.number) > MEMO + len(self.common.words):
             self.forget()
         words = [self.words(x) for x in texts]
-        n = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        flat = np.fromiter((i for x in self.ids for i in x), np.int64, int(n.sum()))
-        first = np.cumsum(n) - n
+        self.grow()
+        n, first, flat = self.size, self.first, self.flat
         end = np.array([-1])
         every = np.concatenate([y for x in words for y in (x, end)]) if words else np.empty(0, np.int64)
         size = np.where(every < 0, 1, n[every] if len(n) else 1)
@@ -162,7 +197,7 @@ class Reader:
         return words, ids, np.concatenate([[0], np.cumsum(per)])
 
 
-def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once: int = 256) -> np.ndarray:
+def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once: int = 512) -> np.ndarray:
     """Natural log of the probability of each text's units; each unit is scored in one window."""
     text, number = window_places(begins)
     out = np.zeros(len(begins) - 1)
@@ -170,7 +205,7 @@ def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once
         t = text[a : a + at_once]
         x, scored = windows(units, begins, t, number[a : a + at_once])
         at = np.flatnonzero(scored)
-        lp = model.log_probs(model.states(x)[at], x[:, 1:].ravel()[at])
+        lp = model.log_probs(model.states(x).take(at, axis=0), x[:, 1:].ravel()[at])
         out += np.bincount(np.repeat(t, T)[at], weights=lp.astype(np.float64), minlength=len(out))
     return out
 
@@ -189,7 +224,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     of_docs = min(1.0, 8 * thin)  # many texts, some windows of each
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(ranks.value, sent.value)
+        reader = Reader(ranks.value)
         for batch in batches:
             for part in by_bytes(batch, SLICE):
                 _, ids, begins = reader.read(raw_texts(part))
@@ -205,7 +240,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     names = sorted(model.p)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own, n = Reader(ranks.value, sent.value), None, 0
+        reader, own, n = Reader(ranks.value), None, 0
         for batch in batches:
             for part in by_bytes(batch, SLICE):
                 _, ids, begins = reader.read(raw_texts(part))
@@ -218,7 +253,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
                 n += len(x)
         if own is not None and n >= 64:
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([int(flat.view(np.uint64).sum() % 64)]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
 
     def total_of(rows: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
         n, w = 0, 0.0
@@ -264,21 +299,20 @@ def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc
     counts[size] = texts
     units = Units(counts, size + 1)
     model = train(learn, ranks, units, sum(counts.values()))
-    top = [(r[0].encode(), r[1]) for r in words.orderBy(F.desc("c"), "word").limit(TOP).collect()]
-    sent = spark.sparkContext.broadcast((model, units, dict(top)))  # TOP words and the parameters
+    sent = spark.sparkContext.broadcast((model, units, Common(common_words(words), Subwords(ranks.value))))  # TOP words at most and the parameters
     log_all = float(np.log10(n + 0.5 * (v + 1)))
     end_base = float(np.log10(texts + 0.5)) - log_all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, units, common = sent.value
-        reader = Reader(ranks.value, units, common)
+        reader = Reader(ranks.value, common)
         for batch in batches:
             for part in by_bytes(batch, SLICE):
                 texts_ = raw_texts(part)
                 words_, ids, begins = reader.read(texts_)
                 total = score_units(model, units.of[ids], begins)
                 total += np.add.reduceat(units.tail[ids], begins[:-1])
-                count, hash_ = np.array([*reader.count, 0], np.int64), np.array([*reader.hash, 0], np.uint64).view(np.int64)
+                count, hash_ = reader.count, reader.hash
                 base, known, rare = [], [], []
                 for w in words_:
                     c = count[w]
