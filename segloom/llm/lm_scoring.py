@@ -20,10 +20,11 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from segloom.llm import attention
 from segloom.llm.attention import T, UNITS, Attention, window_places, windows
 from segloom.llm.common import by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SHARE, REFINED, SLICE, MEMO, PIECE = 1 << 18, 24_000, 3000, 1 / 32, 40_000, 1 << 21, 300_000, 1 << 22
+TOP, SEED_WINDOWS, STEPS, SHARE, REFINED, SLICE, MEMO, PIECE, COUNTED = 1 << 17, 24_000, 3000, 1 / 32, 40_000, 1 << 20, 150_000, 1 << 22, 1 << 23
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -63,22 +64,14 @@ def text_words(text: bytes) -> Iterator[list[bytes]]:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, c: all words of all texts; partial counts are summed in each task first."""
+    """word, c: all words of all texts; counts of COUNTED bytes of text are summed before they leave a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "c"])
-
         for batch in batches:
-            for text in raw_texts(batch):
-                for words in text_words(text):
-                    seen.update(words)
-                if len(seen) > MEMO * 2:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for part in by_bytes(batch, COUNTED):
+                words = pc.list_flatten(pc.ascii_split_whitespace(pc.ascii_lower(part.column(0))))
+                seen = pc.value_counts(words.filter(pc.not_equal(words, "")))
+                yield pa.RecordBatch.from_arrays([seen.field(0).cast(pa.string()), seen.field(1)], ["word", "c"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -143,28 +136,26 @@ class Reader:
         self.forget()
 
     def forget(self) -> None:
+        """Back to the end of a text, which is entry 0, and the common words."""
         c = self.common
-        self.number: dict[bytes, int] = dict(zip(c.words, range(len(c.words)), strict=True))
+        self.number: dict[bytes, int] = dict(zip(c.words, range(1, len(c.words) + 1), strict=True))
         self.new: list[bytes] = []  # not in the tables yet
-        self.first, self.size, self.flat = np.cumsum(c.size) - c.size, c.size, c.flat  # subword ids of each word
-        self.count, self.hash = c.count, np.zeros(len(c.words), np.int64)  # -1 of a word that isn't common
+        self.size = np.concatenate([[1], c.size])  # subword ids of each entry
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.concatenate([[self.sub.end], c.flat])
+        self.count, self.hash = np.concatenate([[0], c.count]), np.zeros(len(c.words) + 1, np.int64)  # -1 of a word that isn't common
 
     def words(self, text: bytes) -> np.ndarray:
-        """Numbers of a text's words in the tables."""
+        """Numbers of a text's words in the tables, and 0 for its end."""
         out = []
         for words in text_words(text):
-            get = self.number.get
-            got = [get(w, -1) for w in words]
-            if -1 in got:
-                for w in {w for w, k in zip(words, got, strict=True) if k < 0}:
-                    self.add(w)
-                got = [self.number[w] for w in words]
-            out.append(np.array(got, np.int64))
-        return np.concatenate(out) if out else np.empty(0, np.int64)
-
-    def add(self, word: bytes) -> None:
-        self.number[word] = len(self.number)
-        self.new.append(word)
+            got = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+            if len(got) and got.min() < 0:
+                for i in np.flatnonzero(got < 0).tolist():
+                    got[i] = self.number.setdefault(words[i], len(self.number) + 1)
+                    if got[i] == len(self.size) + len(self.new):
+                        self.new.append(words[i])
+            out.append(got)
+        return np.concatenate([*out, [0]])
 
     def grow(self) -> None:
         """Takes the new words into the tables."""
@@ -181,32 +172,37 @@ class Reader:
             self.new = []
 
     def read(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Word numbers of each text; subword ids of all texts with their ends, and where each begins."""
+        """Word numbers of each text with its end; subword ids of all texts, and where each begins."""
         if len(self.number) > MEMO + len(self.common.words):
             self.forget()
         words = [self.words(x) for x in texts]
         self.grow()
-        n, first, flat = self.size, self.first, self.flat
-        end = np.array([-1])
-        every = np.concatenate([y for x in words for y in (x, end)]) if words else np.empty(0, np.int64)
-        size = np.where(every < 0, 1, n[every] if len(n) else 1)
-        source = np.repeat(np.where(every < 0, -1, first[every] if len(n) else 0), size)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        ids = np.where(source < 0, self.sub.end, flat[np.maximum(source + inside, 0)] if len(flat) else self.sub.end)
-        per = np.add.reduceat(size, np.cumsum([0, *(len(x) + 1 for x in words)])[:-1]) if words else np.empty(0, np.int64)
-        return words, ids, np.concatenate([[0], np.cumsum(per)])
-
-
-def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once: int = 512) -> np.ndarray:
-    """Natural log of the probability of each text's units; each unit is scored in one window."""
+        every = np.concatenate(words)
+        size = self.size.take(every)
+        upto = np.cumsum(size)
+        ids = self.flat.take(np.arange(upto[-1]) + np.repeat(self.first.take(every) - upto + size, size))
+        ends = np.cumsum([len(w) for w in words]) - 1
+        return words, ids, np.concatenate([[0], upto[ends]])
+
+
+def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once: int = 128, together: int = 4) -> np.ndarray:
+    """Natural log of the probability of each text's units; each unit is scored in one window.
+
+    States are worked out for at_once windows, which stay in a core's cache, and scored for some times as many.
+    """
     text, number = window_places(begins)
     out = np.zeros(len(begins) - 1)
-    for a in range(0, len(text), at_once):
-        t = text[a : a + at_once]
-        x, scored = windows(units, begins, t, number[a : a + at_once])
-        at = np.flatnonzero(scored)
-        lp = model.log_probs(model.states(x).take(at, axis=0), x[:, 1:].ravel()[at])
-        out += np.bincount(np.repeat(t, T)[at], weights=lp.astype(np.float64), minlength=len(out))
+    for a in range(0, len(text), at_once * together):
+        hs, ys, ts = [], [], []
+        for b in range(a, min(a + at_once * together, len(text)), at_once):
+            t = text[b : b + at_once]
+            x, scored = windows(units, begins, t, number[b : b + at_once])
+            at = np.flatnonzero(scored)
+            hs.append(model.states(x).take(at, axis=0))
+            ys.append(x[:, 1:].ravel().take(at))
+            ts.append(t.take(at // T))
+        lp = model.log_probs(np.concatenate(hs), np.concatenate(ys))
+        out += np.bincount(np.concatenate(ts), weights=lp, minlength=len(out))
     return out
 
 
@@ -315,14 +311,15 @@ def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc
                 count, hash_ = reader.count, reader.hash
                 base, known, rare = [], [], []
                 for w in words_:
+                    w = w[:-1]
                     c = count[w]
-                    base.append(end_base + float((np.log10(np.maximum(c, 0)[c >= 0] + 0.5) - log_all).sum()))
+                    base.append(end_base + float((np.log10(c[c >= 0] + 0.5) - log_all).sum()))
                     known.append(int((c >= 0).sum()) + int(texts > 0))
                     h, m = np.unique(hash_[w[c < 0]], return_counts=True)
                     rare.append([{"h": a, "m": b} for a, b in zip(h.tolist(), m.tolist(), strict=True)])
                 kind = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([zip_hash(x) for x in texts_], pa.int64()), pa.array([len(w) + 1 for w in words_], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10)), pa.array(rare, kind)],
+                    [part.column(0), part.column(1), pa.array([zip_hash(x) for x in texts_], pa.int64()), pa.array([len(w) for w in words_], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10)), pa.array(rare, kind)],
                     ["doc_id", "held_out", "text_hash", "n_tokens", "known", "base", "score", "rare"],
                 )
 
