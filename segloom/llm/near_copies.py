@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import by_batch, materialize, raw_texts
+from segloom.llm.common import by_batch, fresh, materialize, raw_texts
 from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
@@ -38,8 +38,8 @@ def features(words: list[bytes]) -> set[bytes]:
     return longer if len(longer) >= FEW else every
 
 
-def sketch(words: list[bytes], shingle: int, size: int) -> np.ndarray:
-    """The least hashes of a text's distinct word shingles; a shorter text is one shingle, an empty one none."""
+def hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a shorter text is one shingle, an empty one none."""
     from xxhash import xxh32_intdigest
 
     if not words:
@@ -48,29 +48,31 @@ def sketch(words: list[bytes], shingle: int, size: int) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     h = np.fromiter((xxh32_intdigest(flat[a:b]) for a, b in zip(starts[:n].tolist(), ends[len(ends) - n :].tolist(), strict=True)), np.int64, n)
-    return np.unique(h)[:size]
+    return np.unique(h)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, th (hash of the text), fp, sketch for each row; a null text is as an empty one."""
+    """doc_id, th (hash of the text), fp, m (distinct shingles), sketch (the least of them) for each row; a null text is as an empty one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         from xxhash import xxh64_intdigest
 
-        fps, sketches = [], []
+        fps, sizes, sketches = [], [], []
         for text in raw_texts(batch):
             words = text.lower().split()
             h = np.array([xxh64_intdigest(w, 42) for w in features(words)], np.uint64)
             fps.append(int(np.packbits(majority(h) * 2 > len(h), bitorder="little").view("<i8")[0]))
-            sketches.append(sketch(words, shingle, SKETCH).tolist())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "th", "fp", "sketch"])
+            own = hashes(words, shingle)
+            sizes.append(len(own))
+            sketches.append((own[:SKETCH] - (1 << 31)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "th", "fp", "m", "sketch"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(by_batch(run), "doc_id long, th long, fp long, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(by_batch(run), "doc_id long, th long, fp long, m int, sketch array<int>")
 
 
 def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
-    """key, th, fp: the keys under which nodes are filed (3 each), or ask (108 at most)."""
+    """key, th, fp, m: the keys under which nodes are filed (3 each), or ask (108 at most)."""
     made: list[Golay] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -84,9 +86,9 @@ def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
             keys.append(np.where((i < 0) | (j < 0), -1, a << 24 | i << 12 | j).reshape(len(x), -1))
         keys = np.concatenate(keys, axis=1)
         at = pa.array(np.repeat(np.arange(len(x)), (keys >= 0).sum(axis=1)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "th", "fp"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], ["key", "th", "fp", "m"])
 
-    return nodes.select("th", "fp").mapInArrow(by_batch(run), "key int, th long, fp long")
+    return nodes.select("th", "fp", "m").mapInArrow(by_batch(run), "key int, th long, fp long, m int")
 
 
 def resemblance(a: str, b: str, size: int = SKETCH) -> F.Column:
@@ -102,9 +104,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     copies are one node. An empty table gives no rows.
     """
     rows = materialize(signatures(docs, id_col, text_col, shingle))
-    nodes = materialize(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    nodes = materialize(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("m").alias("m")))
     files, asks = materialize(_keyed(nodes, True)), _keyed(nodes, False)
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= BITS
+    close = close & (F.least("m", "m2") >= similarity * F.greatest("m", "m2"))  # more can't be shared
     pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -117,22 +120,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
         return r.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
-    one = files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp")).alias("m")).select("key", "n", F.col("m.th").alias("th2"), F.col("m.fp").alias("fp2"))
-    one = materialize(one)
-    links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
-    roots = materialize(components(links))
-    # files that are not connected to the one they share a key with
-    r = roots.select(F.col("node").alias("th"), "root")
-    others = files.join(one.filter("n > 1").select("key", "n", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
-    others = materialize(others.filter(F.coalesce("root", "th") != F.coalesce("root2", "th2")).select("key", "n", "th", "fp"))
-    hot = others.filter(F.col("n") > SMALL)
-    there = asks.join(hot.select("key").distinct(), "key", "left_semi").select("th").distinct()
+    # under a key with many files: texts that nothing there can resemble, by shingles that they alone have
+    hot = materialize(files.groupBy("key").count().filter(F.col("count") > SMALL).select("key"))
+    there = materialize(asks.join(hot, "key", "left_semi").select("th").distinct())
     shown = rows.select("th", "sketch").join(there, "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
     alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
     spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
     odd = shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th")
-    left = others.filter(F.col("n") <= SMALL).unionByName(hot.join(odd, "th", "left_anti")).select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"))
-    pairs = asks.join(materialize(left), "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
+    odd = materialize(odd)
+    hot_files = files.join(hot, "key", "left_semi").join(odd, "th", "left_anti").select("key", "th", "fp", "m")
+    files = materialize(files.join(hot, "key", "left_anti").unionByName(hot_files))
+    # who asks, and one of those filed under the key
+    one = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp", "m")).alias("o")).select("key", "n", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
+    links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
+    roots = materialize(components(links))
+    # the files that are not connected to that one
+    r = roots.select(F.col("node").alias("th"), "root")
+    others = files.join(one.filter("n > 1").select("key", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
+    left = materialize(others.filter(F.coalesce("root", "th") != F.coalesce("root2", "th2")).select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("m").alias("m2")))
+    pairs = asks.join(left, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
     roots = components(links.unionByName(verified(materialize(apart(pairs, roots)))))
     named = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -144,10 +150,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(groups(docs, id_col, text_col, **how))
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = stay.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__th", th)
-    s = stay.distinct().select(F.col("doc_id").alias("__s"), F.col("th").alias("__t"))
-    out = out.join(s, F.col("__id").eqNullSafe(F.col("__s")) & (F.col("__th") == F.col("__t")), "left_semi")
+    i, t = fresh(docs, "__id"), fresh(docs, "__th")
+    out = docs.withColumns({i: F.col(id_col).cast("long"), t: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    si, st = fresh(out, "__stay_id"), fresh(out, "__stay_th")
+    s = stay.distinct().select(F.col("doc_id").alias(si), F.col("th").alias(st))
+    out = out.join(s, F.col(i).eqNullSafe(F.col(si)) & (F.col(t) == F.col(st)), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["__id", "__th"])
-    return out.drop("__id", "__th")
+        out = out.dropDuplicates([i, t])
+    return out.drop(i, t)
