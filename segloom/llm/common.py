@@ -53,6 +53,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow's function from one on batches, in slices of 512 rows so that long texts don't add up."""
 

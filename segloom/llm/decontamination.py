@@ -17,7 +17,6 @@ Words are compared by a 64-bit hash with their length.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segloom.llm.common import by_bytes, raw_texts
+from segloom.llm.common import by_bytes, fresh, raw_texts
 
 WINDOW, SHARD, BLOCK, WORDS_AT_ONCE = 13, 2 << 20, 8 << 20, 1 << 17
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -192,13 +191,10 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", share: int = 20, **at) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated."""
-    rows = with_matches(docs, bench, text_col, **at)
-    keep = ~((covered() > 0) & (share * covered() >= F.col("__n_words")))
-    return rows.filter(keep).drop("__n_words", "__matches")
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    n, found = fresh(docs, "__n_words"), fresh(docs, "__matches")
+    rows = with_matches(docs, bench, text_col, n_words=n, found=found, **at)
+    keep = ~((covered(found) > 0) & (share * covered(found) >= F.col(n)))
+    return rows.filter(keep).drop(n, found)
 
 
 #: The contract in DuckDB: every window of every text, joined by its words. `longest` extends each place along both texts.

@@ -100,9 +100,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED, **law) -> DataFrame:
     """The rows of docs, with their columns, as often as the mix takes them; a part counts as a whole from its half on."""
-    rows = keyed(docs, id_col, text_col, source_col, weight, seed)
+    q = quality(F.col(text_col)) if weight is None else weight
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), q.alias("q"))
+    rows = keyed(packed, "i", "t", "s", F.col("q"), seed).drop("i", "t", "s", "q")
     out = with_taken(rows, plan(rows, **law)).filter("__size > 0")
-    return out.withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(floor((__taken * 2 + __size) / (2 * __size)) as int))"))).select(*docs.columns)
+    return out.select("row", F.explode(F.expr("array_repeat(0, cast(floor((__taken * 2 + __size) / (2 * __size)) as int))"))).select("row.*")
 
 
 #: The mix in DuckDB: resharing as it is defined, in rounds, and a running sum over whole sources.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segloom.llm.common import by_batch, raw_texts
+from segloom.llm.common import by_batch, fresh, raw_texts
 
 DIM, PER_GRADE, STEM, LEAST, KEEP, MEMO = 1 << 18, 3000, 5, 4, 0.5, 400_000
 _STEPS = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
@@ -143,4 +143,5 @@ def with_grades(docs: DataFrame, model: Ordinal, text_col: str = "text", expecte
 
 def select(docs: DataFrame, model: Ordinal, keep: float = KEEP, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose probability of the best grade is `keep` or more."""
-    return with_grades(docs, model, text_col, "__expected", "__tail").filter(F.col("__tail") >= keep).drop("__expected", "__tail")
+    expected, tail = fresh(docs, "__expected"), fresh(docs, "__tail")
+    return with_grades(docs, model, text_col, expected, tail).filter(F.col(tail) >= keep).drop(expected, tail)

@@ -70,5 +70,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

@@ -292,3 +292,19 @@ def _sha(text: bytes, spans: list[tuple[int, int]]) -> str:
 def digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.b - s.a)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+#: The contract in DuckDB: every 400-byte window of every text, compared by its hash.
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, hash(substr(h, (2 * i + 1)::BIGINT, 800)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+q AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM p) WHERE n > 1),
+g AS (SELECT r, i, sum(CASE WHEN b IS NULL OR i > b + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS s FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS b FROM q)),
+sp AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, s),
+cut AS (SELECT r, a, b FROM sp UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d),
+gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS f, a FROM cut),
+kept AS (SELECT gap.r, string_agg(substr(h, (2 * f + 1)::BIGINT, (2 * (a - f))::BIGINT), '' ORDER BY f) AS x FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r),
+n AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM sp GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN n ON n.r = d.r
+"""
