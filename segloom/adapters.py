@@ -67,14 +67,14 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.expr("10 + o_orderkey % 90")
     return table(spark, sf_dir, "orders").select(
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.substring(F.sha2(F.col("o_custkey").cast("string"), 256), 1, 32).alias("owner"), F.expr(STATUS).alias("status"),
-        F.when(F.expr("o_orderkey % 2 = 0"), "7b").otherwise("30b").alias("preset"), F.when(F.expr("o_orderkey % 3 = 0"), "replace").otherwise("bilingual").alias("output_mode"), total.alias("total"), F.expr("(10 + o_orderkey % 90) * (o_orderkey % 5) div 4").alias("completed"),
+        F.when(F.expr("o_orderkey % 2 = 0"), "7b-fp8").otherwise("30b-fp8").alias("preset"), F.when(F.expr("o_orderkey % 3 = 0"), "replace").otherwise("bilingual").alias("output_mode"), total.alias("total"), F.expr("(10 + o_orderkey % 90) * (o_orderkey % 5) div 4").alias("completed"),
         F.expr("o_orderkey % 10").alias("translated"), F.expr("o_orderkey % 4").alias("failed_segments"), F.when(F.expr("o_orderkey % 7 = 5"), "model failed").alias("error"), F.expr("o_orderkey % 7 = 4").alias("result_available"),
         F.expr("'out/' || CAST(o_orderkey % 50 AS STRING)").alias("save_to"), created.alias("created_at"), (created + F.expr("o_orderkey % 1000")).alias("updated_at"),
     )
 
 
 #: The ledger in the oracle's dialect.
-JOBS_SQL = f"""jobs AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, substr(sha256(o_custkey::VARCHAR), 1, 32) AS owner, {STATUS} AS status, CASE WHEN o_orderkey % 2 = 0 THEN '7b' ELSE '30b' END AS preset,
+JOBS_SQL = f"""jobs AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, substr(sha256(o_custkey::VARCHAR), 1, 32) AS owner, {STATUS} AS status, CASE WHEN o_orderkey % 2 = 0 THEN '7b-fp8' ELSE '30b-fp8' END AS preset,
   CASE WHEN o_orderkey % 3 = 0 THEN 'replace' ELSE 'bilingual' END AS output_mode, (10 + o_orderkey % 90)::BIGINT AS total, ((10 + o_orderkey % 90) * (o_orderkey % 5) // 4)::BIGINT AS completed, (o_orderkey % 10)::BIGINT AS translated, (o_orderkey % 4)::BIGINT AS failed_segments,
   CASE WHEN o_orderkey % 7 = 5 THEN 'model failed' END AS error, o_orderkey % 7 = 4 AS result_available, 'out/' || (o_orderkey % 50)::VARCHAR AS save_to, epoch(o_orderdate)::BIGINT AS created_at, (epoch(o_orderdate)::BIGINT + o_orderkey % 1000)::BIGINT AS updated_at FROM orders)"""
 

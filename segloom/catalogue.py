@@ -10,11 +10,11 @@ from segloom.functions import paths as P
 from segloom.functions import text as X
 from segloom.operators import cache, render, segments, translate, units
 from segloom.oracles import ORACLES as ORACLES
-from segloom.plans import ledger, planning, telemetry
-from segloom.sources import formats, zipped
+from segloom.plans import ledger, planning, settings, telemetry
+from segloom.sources import files, formats, zipped
 
 QUERIES: dict = {}
-TARGET, MODEL, BUDGET, LIMIT = "French", "7b", 1500, 1000
+TARGET, MODEL, BUDGET, LIMIT = "French", "7b-fp8", 1500, 1000
 
 
 def query(f):
@@ -433,14 +433,14 @@ def owner_hash(spark, sf):
 @query
 def selection_plan(spark, sf):
     """Files under requested folders and paths, asked for in several ways and more than once."""
-    files = A.paths(spark, sf).select(F.when(F.expr("p_partkey % 2 = 0"), "nas").otherwise("home").alias("storage"), "path")
-    asked = files.filter("path LIKE '%7%'").unionByName(files.filter("path LIKE '%77%'")).unionByName(spark.createDataFrame([("nas", "d1"), ("home", "d3"), ("nas", "d1")], "storage string, path string"))
+    files = A.paths(spark, sf).select(F.when(F.expr("p_partkey % 2 = 0"), "documents").otherwise("remote_fs").alias("storage"), "path")
+    asked = files.filter("path LIKE '%7%'").unionByName(files.filter("path LIKE '%77%'")).unionByName(spark.createDataFrame([("documents", "d1"), ("remote_fs", "d3"), ("documents", "d1")], "storage string, path string"))
     return planning.select_inputs(asked, files)
 
 
 @query
 def save_plan(spark, sf):
-    files = A.paths(spark, sf).select("p_partkey", F.when(F.expr("p_partkey % 2 = 0"), "nas").otherwise("home").alias("storage"), "path").filter(P.detect(F.col("path")).isNotNull())
+    files = A.paths(spark, sf).select("p_partkey", F.when(F.expr("p_partkey % 2 = 0"), "documents").otherwise("remote_fs").alias("storage"), "path").filter(P.detect(F.col("path")).isNotNull())
     mode = F.when(F.expr("p_partkey % 4 < 2"), "replace").otherwise("bilingual")
     strategy = F.when(F.expr("p_partkey % 3 = 0"), "sibling_suffix").when(F.expr("p_partkey % 3 = 1"), "sibling_overwrite").otherwise("directory")
     plan = planning.destinations(files, mode, strategy, F.lit("out"), F.expr("p_partkey % 2 = 0"))
@@ -527,6 +527,107 @@ def progress_throttle(spark, sf):
     return telemetry.throttled(A.events(spark, sf), "run", "at", 7200).withColumnRenamed("at", "written_at")
 
 
+# rules, snapshots and manifests
+
+
+@query
+def settings_bounds(spark, sf):
+    target = F.expr("CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN chr(9) || 'French ' WHEN 2 THEN repeat('é', 33) WHEN 3 THEN repeat('x', 64) ELSE 'de' END")
+    o = F.col("o_orderkey")
+    return A.table(spark, sf, "orders").select("o_orderkey", settings.valid(o % 120, o % 60).alias("valid"), settings.valid_target(target).alias("target_ok"), settings.lease_ttl(F.when(o % 7 > 0, o % 5000)).alias("ttl"), settings.retention_cutoff(o, F.lit(604800)).alias("cutoff"), settings.page_size(F.when(o % 3 > 0, o % 200)).alias("page"))
+
+
+@query
+def format_strategies(spark, sf):
+    return settings.strategies(spark)
+
+
+@query
+def preset_budgets(spark, sf):
+    return planning.presets(spark).select("preset", X.prompt_budget(F.col("max_model_len")).alias("budget"), "download_bytes")
+
+
+@query
+def job_checks(spark, sf):
+    j = A.jobs(spark, sf).withColumn("preset", F.expr("CASE WHEN CAST(id AS BIGINT) % 50 = 0 THEN 'x' ELSE preset END")).withColumn("translated", F.expr("CASE WHEN CAST(id AS BIGINT) % 70 = 0 THEN -1 ELSE translated END")).withColumn("status", F.expr("CASE WHEN CAST(id AS BIGINT) % 90 = 0 THEN 'lost' ELSE status END"))
+    return settings.violations(j)
+
+
+@query
+def snapshot_changes(spark, sf):
+    j = A.jobs(spark, sf)
+    after = j.filter("CAST(id AS BIGINT) % 11 != 0").withColumn("status", F.expr("CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'writing' ELSE status END"))
+    return settings.changes(j.filter("CAST(id AS BIGINT) % 13 != 0"), after)
+
+
+@query
+def active_overlay(spark, sf):
+    j = A.jobs(spark, sf)
+    return settings.overlay(j.select("id", "status", "completed"), j.filter("status = 'translating'").select("id", F.lit("writing").alias("status"), F.col("total").alias("completed")), ["status", "completed"])
+
+
+@query
+def live_leases(spark, sf):
+    e = A.events(spark, sf).select("event_id", (F.col("at") + F.expr("event_id % 3600")).alias("expires_at"))
+    return settings.live_leases(e, 1_705_000_000)
+
+
+@query
+def display_values(spark, sf):
+    p = A.table(spark, sf, "part")
+    n = F.expr("CAST(pow(2, p_partkey % 40) AS BIGINT) + p_partkey")
+    return p.select("p_partkey", settings.display_bytes(n).alias("bytes"), settings.display_duration(F.expr("p_partkey - 5")).alias("duration"), settings.attribute_escape(F.concat(F.lit("<\"&'>"), "p_name")).alias("attribute"))
+
+
+@query
+def file_urls(spark, sf):
+    source = F.element_at(F.array(*map(F.lit, (*planning.SOURCES, "auto"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat("p_name", F.lit("+é.json"))
+    return A.table(spark, sf, "part").select("p_partkey", settings.file_url(source, F.lit("o/r"), F.lit("abc"), F.replace(path, F.lit(" "), F.lit("_"))).alias("url"), settings.range_starts_at(F.when(F.expr("p_partkey % 3 > 0"), F.concat(F.lit("bytes "), (F.col("p_partkey") % 5).cast("string"), F.lit("-9/10"))), F.col("p_partkey") % 2).alias("resumes"))
+
+
+@query
+def log_lines(spark, sf):
+    c = A.table(spark, sf, "events").select("event_id", F.expr("'a' || chr(13) || chr(10) || event_type || chr(10) || chr(10) || repeat('y', CAST(event_id % 7 AS INT) * 3000)").alias("chunk"))
+    rows = c.select("event_id", F.posexplode(settings.log_lines(F.col("chunk"))).alias("pos", "line"))
+    return rows.select("event_id", F.col("pos").cast("long").alias("pos"), F.char_length("line").cast("long").alias("n"), F.substring("line", 1, 5).alias("head"))
+
+
+@query
+def manifest_files(spark, sf):
+    """Model files of manifests of both shapes, one for each order."""
+    p = F.concat(F.when(F.expr("l_linenumber % 4 = 0"), "sub/").otherwise(""), F.lit("m"), F.col("l_linenumber").cast("string"), F.element_at(F.array(*map(F.lit, (".safetensors", ".json", ".bin"))), F.expr("CAST(l_partkey % 3 + 1 AS INT)")))
+    one = F.struct(p.alias("rfilename"), F.when(F.expr("l_linenumber % 2 = 0"), F.col("l_partkey")).alias("size"), F.struct(F.col("l_suppkey").alias("size"), F.lit("h").alias("sha256")).alias("lfs"))
+    two = F.struct(p.alias("Path"), F.when(F.expr("l_linenumber % 2 = 0"), F.col("l_partkey").cast("string")).otherwise(F.col("l_suppkey").cast("string")).alias("Size"), F.lit("s").alias("Sha256"))
+    lines = A.table(spark, sf, "lineitem").filter("l_orderkey % 4 = 0")
+    body = lines.groupBy("l_orderkey").agg(F.when(F.expr("l_orderkey % 8 = 0"), F.to_json(F.collect_list(one))).otherwise(F.to_json(F.collect_list(two))).alias("body"))
+    return files.manifest(body, "body")
+
+
+@query
+def missing_shards(spark, sf):
+    """Shards of weight maps without a file of any size, and each model's bytes."""
+    li = A.table(spark, sf, "lineitem").filter("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("model"), F.concat(F.lit("m"), (F.col("l_partkey") % 6).cast("string"), F.lit(".safetensors")).alias("shard"), "l_linenumber", "l_suppkey")
+    maps = li.groupBy("model").agg(F.to_json(F.struct(F.map_from_entries(F.transform(F.collect_list("shard"), lambda s, i: F.struct(F.concat(F.lit("w"), i.cast("string")), s))).alias("weight_map"))).alias("body"))
+    there = li.filter("l_linenumber % 2 = 1").select("model", F.col("shard").alias("path"), F.expr("l_suppkey % 3").alias("size"))
+    return files.missing_shards(maps, there)
+
+
+@query
+def weights_bytes(spark, sf):
+    f = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("model"), F.when(F.expr("l_partkey % 3 = 0"), "a.json").otherwise("a.safetensors").alias("path"), F.col("l_suppkey").alias("size"))
+    return files.weights_bytes(f, "model").select("model", F.coalesce("bytes", F.lit(-1)).alias("bytes"))
+
+
+@query
+def spine_paths(spark, sf):
+    """Reading order of books whose manifests are order lines."""
+    li = A.table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0")
+    items = li.select(F.col("l_orderkey").alias("book"), F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("id"), F.expr("CASE WHEN l_partkey % 4 = 0 THEN '../x.xhtml' ELSE 't' || CAST(l_suppkey % 3 AS STRING) || '.xhtml' END").alias("href"), F.when(F.expr("l_partkey % 5 = 0"), "text/css").otherwise("application/xhtml+xml").alias("media_type"), F.when(F.expr("l_partkey % 7 = 0"), "svg nav").alias("properties"), F.lit("OEBPS").alias("folder"))
+    refs = li.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("i"), ((F.col("l_linenumber") * 3) % 8).cast("string")).alias("idref"))
+    return settings.spine(items, refs)
+
+
 # archives
 
 

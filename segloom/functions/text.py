@@ -175,10 +175,3 @@ def progress_percent(done: Column, total: Column) -> Column:
 
 def prompt_budget(max_model_len: Column) -> Column:
     return F.greatest(F.lit(512), F.floor(max_model_len / 2) - 256).cast("long")
-
-
-def format_bytes(n: Column) -> Column:
-    """Bytes for display, in steps of 1024."""
-    step = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
-    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), step + 1)
-    return F.concat_ws(" ", F.when(step == 0, n.cast("string")).otherwise(F.format_number(n / F.pow(F.lit(1024), step), 1)), unit)

@@ -120,7 +120,7 @@ ORACLES["batch_prompts"] = f"""WITH {_UNIT}, {_runs('text', 'doc_id, ord', 'seg'
   SELECT doc_id, unit_idx, sha256('Please accurately translate the following text into French. You must retain the exact same number of <cN></cN> delimiters in the translation, in the same order. Strictly do not omit, escape, or translate these delimiters. Translate only the text between them; do not merge, split, add, or skip any.' || chr(10) || chr(10) ||
     CASE WHEN n_context > 0 THEN 'The lines below under ''Context'' are for context only — do NOT translate or wrap them in tags:' || chr(10) || chr(10) || 'Context:' || chr(10) || nl || chr(10) || chr(10) ELSE '' END || body) AS prompt_sha FROM tag JOIN ctx USING (doc_id, unit_idx)"""
 ORACLES["single_prompts"] = f"WITH {_SEGS} SELECT doc_id, seg_id, sha256('Translate the following text into French. Note that you should only output the translated result without any additional explanation:' || chr(10) || chr(10) || {_trim('text')}) AS prompt_sha FROM seg"
-ORACLES["chat_requests"] = f"SELECT item_id, '7b' AS model, 'Translate the following text into French. Note that you should only output the translated result without any additional explanation:' || chr(10) || chr(10) || {_trim('text')} AS content, 0.7::DOUBLE AS temperature, 20::BIGINT AS top_k, true AS unbounded, CASE WHEN item_id % 5 > 1 THEN text END AS answer FROM benchmark"
+ORACLES["chat_requests"] = f"SELECT item_id, '7b-fp8' AS model, 'Translate the following text into French. Note that you should only output the translated result without any additional explanation:' || chr(10) || chr(10) || {_trim('text')} AS content, 0.7::DOUBLE AS temperature, 20::BIGINT AS top_k, true AS unbounded, CASE WHEN item_id % 5 > 1 THEN text END AS answer FROM benchmark"
 ORACLES["sanitize_text"] = f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('é', doc_id % 40) || substr(text, 1, 200) || '!!!!!!!!!!!!' ELSE substr(text, 1, 300) || repeat(chr(10), doc_id % 12) END AS x FROM documents), {_runs('x', 'doc_id', 't')} SELECT doc_id, clean FROM clean"""
 _cut = lambda n: f"CASE WHEN strlen(t) <= {n} THEN t ELSE (SELECT coalesce(string_agg(ch, '' ORDER BY p), '') FROM c WHERE c.doc_id = d.doc_id AND c.e <= {n}) || '…' END AS at_{n}"
 ORACLES["truncate_bytes"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('日a🙂', 30) || text ELSE text END AS t FROM documents), x AS (SELECT doc_id, unnest(string_split(left(t, 130), '')) AS ch, generate_subscripts(string_split(left(t, 130), ''), 1) AS p FROM d),
@@ -131,7 +131,7 @@ ORACLES["boundary_split"] = rf"""WITH d AS (SELECT doc_id, substr(text, 1, 40 +
   c AS (SELECT d.doc_id, t, i + length(regexp_extract(substr(t, (i + 1)::INT), '^{_B}+')) AS cut FROM d LEFT JOIN n USING (doc_id))
   SELECT doc_id, CASE WHEN {_trim('left(t, cut)')} <> '' AND {_trim('substr(t, cut + 1)')} <> '' THEN left(t, cut) END AS "left", CASE WHEN {_trim('left(t, cut)')} <> '' AND {_trim('substr(t, cut + 1)')} <> '' THEN substr(t, cut + 1) END AS "right" FROM c"""
 
-_KEY = "sha256('7b' || chr(31) || 'French' || chr(31) || text)"
+_KEY = "sha256('7b-fp8' || chr(31) || 'French' || chr(31) || text)"
 _CACHE = f"{_SEGS}, kd AS (SELECT doc_id, seg_id, text, {_KEY} AS key FROM seg), tab AS (SELECT {_KEY} AS key, 'T:' || text AS value FROM (SELECT text FROM seg WHERE doc_id % 3 = 0 UNION SELECT text FROM benchmark))"
 ORACLES["cache_keys"] = f"WITH {_CACHE} SELECT doc_id, seg_id, key, left(key, 2) || '/' || substr(key, 3) AS path FROM kd"
 ORACLES["cache_hits"] = f"WITH {_CACHE} SELECT doc_id, seg_id, value FROM kd JOIN tab USING (key)"
@@ -191,8 +191,8 @@ ORACLES["jobs_insert"] = f"{_J}, {_busy}, w AS (SELECT owner, count(*) AS more F
 ORACLES["jobs_progress"] = f"{_J} SELECT id, CASE WHEN status = 'queued' THEN 'queued' WHEN status IN {_RUN} THEN 'in_progress' WHEN status IN ('completed', 'failed') THEN status END AS phase, CASE WHEN total > 0 THEN least(100, floor(completed::DOUBLE / total * 100 + 0.5)) ELSE 0 END::BIGINT AS percent, status = 'completed' OR result_available AS downloadable FROM jobs"
 ORACLES["owner_hash"] = "SELECT c_custkey, substr(sha256(c_custkey::VARCHAR), 1, 32) AS owner FROM customer"
 
-_STORE = "CASE WHEN p_partkey % 2 = 0 THEN 'nas' ELSE 'home' END AS storage"
-ORACLES["selection_plan"] = f"WITH {P}, f AS (SELECT *, {_STORE} FROM fm) SELECT DISTINCT storage, path FROM f WHERE format IS NOT NULL AND (path LIKE '%7%' OR (storage = 'nas' AND path LIKE 'd1/%') OR (storage = 'home' AND path LIKE 'd3/%'))"
+_STORE = "CASE WHEN p_partkey % 2 = 0 THEN 'documents' ELSE 'remote_fs' END AS storage"
+ORACLES["selection_plan"] = f"WITH {P}, f AS (SELECT *, {_STORE} FROM fm) SELECT DISTINCT storage, path FROM f WHERE format IS NOT NULL AND (path LIKE '%7%' OR (storage = 'documents' AND path LIKE 'd1/%') OR (storage = 'remote_fs' AND path LIKE 'd3/%'))"
 ORACLES["save_plan"] = f"""WITH {P}, f AS (SELECT *, {_STORE}, p_partkey % 4 < 2 AS rep FROM fm WHERE format IS NOT NULL), o AS (SELECT *, CASE WHEN generated THEN 'generated' WHEN rep AND format = 'docx' THEN 'incompatible' ELSE 'planned' END AS outcome FROM f),
   t AS (SELECT *, CASE WHEN outcome = 'planned' THEN CASE p_partkey % 3 WHEN 0 THEN {_out('rep')} WHEN 1 THEN path ELSE 'out/' || CASE WHEN p_partkey % 2 = 0 THEN storage || '/' ELSE '' END || {_out('rep')} END END AS save_path FROM o)
   SELECT p_partkey, path, CASE WHEN outcome = 'planned' AND p_partkey % 3 <> 1 AND save_path IN (SELECT save_path FROM t WHERE p_partkey % 5 = 0 AND save_path IS NOT NULL) THEN 'existing' ELSE outcome END AS outcome, save_path FROM t"""
@@ -222,3 +222,26 @@ ORACLES["eta"] = "WITH e AS (SELECT event_id, event_id % 101 AS p, event_id % 90
 ORACLES["recent_logs"] = f"WITH {_EV}, k AS (SELECT run, event_id, row_number() OVER (PARTITION BY run ORDER BY sec DESC, event_id DESC) AS back FROM ev) SELECT * FROM k WHERE back <= 40"
 ORACLES["lease_sessions"] = f"WITH {_EV}, g AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY run ORDER BY ts)) >= INTERVAL 6 HOUR AS gap FROM ev), s AS (SELECT *, sum(coalesce(gap, false)::INT) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT run, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 6 HOUR) AS session_end, count(*) AS uses FROM s GROUP BY run, s".replace("GROUP BY run, s", "GROUP BY run, s.s")
 ORACLES["progress_throttle"] = f"WITH RECURSIVE {_EV}, o AS (SELECT run, sec, row_number() OVER (PARTITION BY run ORDER BY sec, event_id) AS k FROM ev), r AS (SELECT run, sec, k, true AS due, sec AS last FROM o WHERE k = 1 UNION ALL SELECT o.run, o.sec, o.k, o.sec - r.last >= 7200, CASE WHEN o.sec - r.last >= 7200 THEN o.sec ELSE r.last END FROM r JOIN o ON o.run = r.run AND o.k = r.k + 1) SELECT run, sec AS written_at FROM r WHERE due"
+
+ORACLES["settings_bounds"] = f"""WITH t AS (SELECT o_orderkey AS o, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN chr(9) || 'French ' WHEN 2 THEN repeat('é', 33) WHEN 3 THEN repeat('x', 64) ELSE 'de' END AS x FROM orders)
+  SELECT o AS o_orderkey, o % 120 >= 1 AND o % 120 <= 100 AND o % 60 <= 50 AS valid, strlen({_trim('x')}) BETWEEN 1 AND 64 AS target_ok, CASE WHEN o % 7 = 0 THEN 120 ELSE least(3600, greatest(30, o % 5000)) END::BIGINT AS ttl, greatest(0, o - 604800)::BIGINT AS cutoff, CASE WHEN o % 3 = 0 THEN 50 ELSE least(100, greatest(1, o % 200)) END::BIGINT AS page FROM t"""
+ORACLES["format_strategies"] = "SELECT f AS format, CASE WHEN f IN ('epub', 'docx') THEN 'independent' ELSE 'batched' END AS kind, CASE WHEN f IN ('epub', 'docx') THEN 1 ELSE 25 END::BIGINT AS batch_size, CASE WHEN f IN ('epub', 'docx') THEN 0 ELSE 5 END::BIGINT AS context FROM (SELECT unnest(['epub', 'srt', 'vtt', 'ass', 'lrc', 'txt', 'md', 'docx']) AS f)"
+ORACLES["preset_budgets"] = "SELECT * FROM (VALUES ('7b-fp8', 3840::BIGINT, 8046402613::BIGINT), ('30b-fp8', 1792, 30593608342)) v(preset, budget, download_bytes)"
+ORACLES["job_checks"] = f"{_J} SELECT id, 'preset' AS rule FROM jobs WHERE id::BIGINT % 50 = 0 UNION ALL SELECT id, 'translated' FROM jobs WHERE id::BIGINT % 70 = 0 UNION ALL SELECT id, 'status' FROM jobs WHERE id::BIGINT % 90 = 0"
+_ph = lambda s: f"CASE WHEN {s} IN {_RUN} THEN 'in_progress' WHEN {s} <> 'cancelled' THEN {s} END"
+ORACLES["snapshot_changes"] = f"""{_J}, b AS (SELECT id, {_ph('status')} AS p FROM jobs WHERE id::BIGINT % 13 <> 0), a AS (SELECT id, {_ph("CASE WHEN id::BIGINT % 3 = 0 THEN 'writing' ELSE status END")} AS p FROM jobs WHERE id::BIGINT % 11 <> 0)
+  SELECT coalesce(b.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'disappeared' WHEN b.id IS NULL THEN 'appeared' WHEN a.p IS NOT DISTINCT FROM b.p THEN 'same' ELSE 'phase' END AS change FROM b FULL JOIN a ON a.id = b.id"""
+ORACLES["active_overlay"] = f"{_J} SELECT id, CASE WHEN status = 'translating' THEN 'writing' ELSE status END AS status, CASE WHEN status = 'translating' THEN total ELSE completed END AS completed FROM jobs"
+ORACLES["live_leases"] = f"WITH {_EV} SELECT event_id, sec + event_id % 3600 AS expires_at FROM ev WHERE sec + event_id % 3600 > 1705000000"
+ORACLES["display_values"] = """WITH n AS (SELECT p_partkey, p_name, (1::BIGINT << (p_partkey % 40)::INT) + p_partkey AS n, greatest(0, p_partkey - 5) AS s FROM part)
+  SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) || ' MiB' ELSE printf('%.2f', floor(n / 1073741824 * 100 + 0.5) / 100) || ' GiB' END AS bytes,
+  CASE WHEN s < 60 THEN s || ' 秒' WHEN s % 60 > 0 THEN (s // 60) || ' 分 ' || (s % 60) || ' 秒' ELSE (s // 60) || ' 分钟' END AS duration, '&lt;&quot;&amp;&#39;&gt;' || p_name AS attribute FROM n"""
+ORACLES["file_urls"] = """WITH f AS (SELECT p_partkey, replace(p_name, ' ', '_') AS p FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://modelscope.cn/api/v1/models/o/r/repo?Revision=master&FilePath=' || replace(p, '#', '%23') || '%2B%C3%A9.json' WHEN 1 THEN 'https://hf-mirror.com/o/r/resolve/abc/' || p || '+é.json' WHEN 2 THEN 'https://huggingface.co/o/r/resolve/abc/' || p || '+é.json' END AS url,
+  p_partkey % 3 > 0 AND p_partkey % 5 = p_partkey % 2 AS resumes FROM f"""
+ORACLES["log_lines"] = """WITH c AS (SELECT event_id, event_type, (event_id % 7 * 3000)::BIGINT AS n FROM events) SELECT event_id, 0::BIGINT AS pos, 1::BIGINT AS n, 'a' AS head FROM c UNION ALL SELECT event_id, 1, length(event_type), left(event_type, 5) FROM c UNION ALL SELECT event_id, 2 + k, least(8192, n - k * 8192), repeat('y', least(5, n - k * 8192)) FROM c, range(3) r(k) WHERE n > k * 8192"""
+ORACLES["manifest_files"] = """WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || l_linenumber || CASE l_partkey % 3 WHEN 0 THEN '.safetensors' WHEN 1 THEN '.json' ELSE '.bin' END AS path, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS size, CASE WHEN l_orderkey % 8 = 0 THEN 'h' ELSE 's' END AS sha256 FROM lineitem WHERE l_orderkey % 4 = 0)
+  SELECT * FROM f WHERE path NOT LIKE '%/%' AND path NOT LIKE '%.bin'"""
+ORACLES["missing_shards"] = """WITH l AS (SELECT l_orderkey AS model, 'm' || (l_partkey % 6) || '.safetensors' AS shard, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey % 4 = 1) SELECT DISTINCT model, shard FROM l WHERE (model, shard) NOT IN (SELECT (model, shard) FROM l WHERE l_linenumber % 2 = 1 AND l_suppkey % 3 > 0)"""
+ORACLES["weights_bytes"] = "SELECT l_orderkey AS model, coalesce(sum(l_suppkey) FILTER (WHERE l_partkey % 3 <> 0), -1)::BIGINT AS bytes FROM lineitem GROUP BY 1"
+ORACLES["spine_paths"] = """WITH i AS (SELECT l_orderkey AS book, l_linenumber AS k, CASE WHEN l_partkey % 4 = 0 THEN 'x.xhtml' ELSE 'OEBPS/t' || (l_suppkey % 3) || '.xhtml' END AS path FROM lineitem WHERE l_orderkey % 3 = 0 AND l_partkey % 5 <> 0 AND l_partkey % 7 <> 0)
+  SELECT i.book, i.path, min(r.l_linenumber)::BIGINT AS pos FROM lineitem r JOIN i ON i.book = r.l_orderkey AND i.k = r.l_linenumber * 3 % 8 GROUP BY 1, 2"""

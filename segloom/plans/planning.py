@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segloom.functions import paths as P
 
 #: The two presets.
-PRESETS = (("7b", 8192, 8_046_402_613, 8 << 30, 256), ("30b", 4096, 30_593_608_342, 3 << 30, 128))
+PRESETS = (("7b-fp8", 8192, 8_046_402_613, 8 << 30, 256), ("30b-fp8", 4096, 30_593_608_342, 3 << 30, 128))
 #: Download mirrors, in order of preference.
 SOURCES = ("modelscope", "hf_mirror", "huggingface")
 MAX_ACTIVE, NEAR_TIE, SLACK, RESERVE = 8, 85, 1 << 20, 2 << 30

@@ -26,11 +26,17 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def manifest(json_rows: DataFrame, body: str) -> DataFrame:
-    """Rows' other columns, path, size, sha256 of a JSON array of files; size may be a number or text, under one of two names."""
-    entry = "array<struct<path:string,Path:string,size:string,Size:string,lfs:struct<size:string,oid:string>,Sha256:string>>"
-    rows = json_rows.select(*[c for c in json_rows.columns if c != body], F.explode(F.from_json(F.col(body), entry)).alias("f"))
-    size = F.coalesce(F.col("f.lfs.size").try_cast("long"), F.col("f.size").try_cast("long"), F.col("f.Size").try_cast("long"))
-    return rows.select(*[c for c in json_rows.columns if c != body], F.coalesce("f.path", "f.Path").alias("path"), size.alias("size"), F.coalesce("f.lfs.oid", "f.Sha256").alias("sha256")).filter(P.is_runtime_file(F.col("path")))
+    """Rows' other columns, path, size, sha256 of the model files in a mirror's JSON list, of either of two shapes.
+
+    The size is a number or text, or stands beside the hash of a large file; a file without one is an error of its row.
+    """
+    keep = [c for c in json_rows.columns if c != body]
+    one = F.from_json(F.col(body), "array<struct<rfilename:string,size:string,lfs:struct<size:string,sha256:string>>>")
+    two = F.from_json(F.col(body), "array<struct<Path:string,Size:string,Sha256:string>>")
+    f = json_rows.select(*keep, F.explode(F.arrays_zip(one.alias("one"), two.alias("two"))).alias("f")).select(*keep, F.col("f.one").alias("one"), F.col("f.two").alias("two"))
+    size = F.coalesce(F.col("one.size").try_cast("long"), F.col("one.lfs.size").try_cast("long"), F.col("two.Size").try_cast("long"))
+    out = f.select(*keep, F.coalesce("one.rfilename", "two.Path").alias("path"), size.alias("size"), F.coalesce("one.lfs.sha256", "two.Sha256").alias("sha256"))
+    return out.filter(P.is_runtime_file(F.col("path")))
 
 
 def missing_shards(weight_map: DataFrame, files: DataFrame) -> DataFrame:
