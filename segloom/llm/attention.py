@@ -71,7 +71,7 @@ class Attention:
         at = np.arange(n)
         out = e[at, cls].copy()
         np.exp(e, out=e)
-        z = e.sum(axis=1)
+        z = e @ np.ones(CLASSES, e.dtype)
         out -= np.log(z)
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
@@ -82,6 +82,7 @@ class Attention:
             e /= n
             grads |= {"c": h.T @ e, "cb": e.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"]), "h": e @ p["c"].T}
             dh = np.empty_like(hs)
+        one = np.ones(size, e.dtype)
         for c in range(CLASSES):
             s = slice(bounds[c], bounds[c + 1])
             if s.start == s.stop:
@@ -90,7 +91,7 @@ class Attention:
             rows = np.arange(len(e))
             got = e[rows, ms[s]]
             np.exp(e, out=e)
-            z = e.sum(axis=1)
+            z = e @ one
             inner[s] = got - np.log(z)
             if grads is not None:
                 e /= z[:, None]

@@ -33,7 +33,7 @@ from segloom.llm import attention
 from segloom.llm.attention import T, UNITS, Attention, window_places, windows
 from segloom.llm.common import by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SHARE, REFINED, SLICE, MEMO, PIECE, COUNTED = 1 << 17, 24_000, 3000, 1 / 32, 40_000, 1 << 20, 150_000, 1 << 22, 1 << 23
+TOP, SEED_WINDOWS, STEPS, SHARE, REFINED, SLICE, MEMO, PIECE, COUNTED = 1 << 18, 24_000, 3000, 1 / 32, 40_000, 1 << 20, 150_000, 1 << 22, 1 << 23
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
