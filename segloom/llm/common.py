@@ -29,13 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df to a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    The table of instead_of, which nothing else may read, is deleted after that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._segloom_path = path
+    if (old := getattr(instead_of, "_segloom_path", None)) is not None:
+        _delete(spark, old)
+        _written.remove((spark, old))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release() -> None:
@@ -43,9 +56,8 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            if (jvm := spark.sparkContext._jvm) is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            if spark.sparkContext._jvm is not None:
+                _delete(spark, path)
         except Exception:  # the session has ended already
             return
 
