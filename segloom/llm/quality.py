@@ -1,12 +1,13 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector on hashed text
-features, shared by all grades, and ordered thresholds (their gaps are
-exponentials). A text's features are present or not: its distinct words, the
-stems of STEM letters of longer ones, and steps of style shares (words in
+features, shared by all grades, and ordered thresholds at least GAP
+apart. A text's features are present or not: its distinct words, the
+stems of STEMS letters of longer ones, and steps of style shares (words in
 capitals, runs of marks, words repeated at once, bars, distinct words). Weights
 are held at zero or less: a feature can lower a grade, and no number of harmless
-words outweighs one strong word in a long text or is missed in a short one.
+words outweighs one strong word in a long text or is missed in a short one. Only
+features that are clearly more common in a lower grade get a weight.
 
 Expected grade and tail probability (of the best grade) follow from the
 thresholds. The model is fitted on PER_GRADE labelled rows of a grade at most, drawn by a
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from segloom.llm.common import by_batch, fresh, raw_texts
 
-DIM, PER_GRADE, STEM, LEAST, KEEP, MEMO = 1 << 18, 3000, 5, 4, 0.5, 400_000
+DIM, PER_GRADE, STEMS, LEAST, ERRORS, GAP, KEEP, MEMO = 1 << 18, 3000, (4, 5), 3, 3.5, 0.5, 0.5, 400_000
 _STEPS = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MARKS = bytes(97 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 if c in b" \t\n\r\v\f" else 33 for c in range(256))
@@ -54,7 +55,7 @@ def features(text: bytes, memo: dict[bytes, tuple[int, ...]]) -> np.ndarray:
         got = memo.get(w)
         if got is None:
             s = w.decode("utf-8", "ignore")
-            got = memo[w] = (_slot(w), _slot(b"\0stem" + s[:STEM].encode())) if len(s) >= STEM else (_slot(w),)
+            got = memo[w] = (_slot(w), *(_slot(b"\0stem" + s[:k].encode()) for k in STEMS if len(s) >= k))
         out.update(got)
     return np.fromiter(out, np.int64, len(out))
 
@@ -66,31 +67,45 @@ class Ordinal:
         self.w, self.grades = np.zeros(DIM, np.float32), grades
         self.cut = np.linspace(-1.0, 1.0, max(1, grades - 1))
 
-    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.08, seed: int = 3) -> Ordinal:
+    def telling(self, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+        """Features of LEAST rows or more whose share in a lower grade exceeds that in the best one by ERRORS standard errors."""
+        shown = lambda g: np.bincount(np.concatenate([np.empty(0, np.int64), *(x for x, y in rows if y == g)]), minlength=DIM)
+        size = np.maximum(1, np.bincount([y for _, y in rows], minlength=self.grades))
+        best, out = shown(self.grades - 1), np.zeros(DIM, bool)
+        for g in range(self.grades - 1):
+            own = shown(g)
+            p = (own + best + 1) / (size[g] + size[-1] + 2)
+            out |= (own >= LEAST) & (own / size[g] - best / size[-1] > ERRORS * np.sqrt(p * (1 - p) * (1 / size[g] + 1 / size[-1])))
+        return out
+
+    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.3, seed: int = 3) -> Ordinal:
         """AdaGrad over shuffled rows; a grade weighs as the root of its share, between rows and grades alike."""
         seen = np.bincount([y for _, y in rows], minlength=self.grades)
         share = np.sqrt(len(rows) / np.maximum(seen, 1) / self.grades)
-        often = np.bincount(np.concatenate([x for x, _ in rows]), minlength=DIM) >= LEAST if rows else []
-        rows = [(x[often[x]], y) for x, y in rows]  # what few rows show would be learned by heart
+        telling = self.telling(rows)
+        rows = [(x[telling[x]], y) for x, y in rows]  # the others would be learned by heart
         g2, c2 = np.full(DIM, 1e-2, np.float32), np.full(len(self.cut), 1e-2)
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 x, y = rows[i]
                 s = self.w[x].sum()
-                low = 1 / (1 + np.exp(s - self.cut[y - 1])) if y else 0.0  # P(grade < y)
-                high = 1 / (1 + np.exp(s - self.cut[y])) if y < self.grades - 1 else 1.0
-                p = max(high - low, 1e-9)
-                dh, dl = high * (1 - high) / p * share[y], low * (1 - low) / p * share[y]
-                g = dh - dl  # of -log p by s
+                low = 1 / (1 + np.exp(np.clip(s - self.cut[y - 1], -30, 30))) if y else 0.0  # P(grade < y)
+                high = 1 / (1 + np.exp(np.clip(s - self.cut[y], -30, 30))) if y < self.grades - 1 else 1.0
+                gap = 1 - np.exp(self.cut[y - 1] - self.cut[y]) if 0 < y < self.grades - 1 else 1.0
+                # of -log P(grade = y) by the sum and by the two thresholds, in forms without differences of small numbers
+                g = (1 - high - low) * share[y]
+                above = -(1 - high) / ((1 - low) * gap) * share[y] if y < self.grades - 1 else 0.0
+                below = low / (high * gap) * share[y] if y else 0.0
                 if len(x):
                     g2[x] += g * g
                     self.w[x] = np.minimum(0, self.w[x] - rate * g / np.sqrt(g2[x]))
-                for k, d in ((y, -dh), (y - 1, dl)):
+                for k, d in ((y, above), (y - 1, below)):
                     if 0 <= k < self.grades - 1:
                         c2[k] += d * d
                         self.cut[k] -= rate * d / np.sqrt(c2[k])
-                self.cut = np.maximum.accumulate(self.cut)
+                for k in range(1, len(self.cut)):
+                    self.cut[k] = max(self.cut[k], self.cut[k - 1] + GAP)
         return self
 
     def grade(self, x: np.ndarray) -> tuple[float, float]:
