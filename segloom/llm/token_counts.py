@@ -81,12 +81,12 @@ def count_long(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = O
     return total + len(left.encoding) - left.first(at)
 
 
-def token_counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
-    """texts -> token counts, with the tokenizer file at path; one thread, as a task has one core."""
+def token_counter(vocabulary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
+    """texts -> token counts, with the text of a tokenizer file; one thread, as a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok = Tokenizer.from_str(vocabulary)
     tok.no_truncation()
     tok.no_padding()
 
@@ -111,13 +111,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
     Null is the empty text, with 0 tokens. Repeated rows give repeated rows, an
-    empty table none; other columns of docs are not read.
+    empty table none; other columns of docs are not read. The file at path is read
+    on the driver and sent to the executors.
     """
+    with open(path, encoding="utf-8") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     made: dict[str, Callable] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if path not in made:
-            made[path] = token_counter(path, chunk, overlap)
+            made[path] = token_counter(vocabulary.value, chunk, overlap)
         texts = [x or "" for x in batch.column(1).to_pylist()]
         n = np.asarray(made[path](texts), np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
