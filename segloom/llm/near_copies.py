@@ -12,9 +12,9 @@ while a key of 24 bits holds few of the others.
 Candidates differ in BITS bits at most and link where the sketches' resemblance
 is the wanted similarity. Links are found for connection alone: who asks is
 compared with one of those filed under a key, and then with those of them that
-are not connected to that one yet. Under a key with over SMALL files, texts with
-more shingles than similarity allows that no other text there has are out before
-that, as none can resemble them.
+are not connected to that one yet. Texts with more shingles than similarity
+allows that no other text there has are out before that, as none can resemble
+them.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, BITS, SKETCH, SMALL, LONG, FEW, MARGIN = 5, 0.8, 10, 256, 16, 7, 8, 0.06
+SHINGLE, SIMILARITY, BITS, SKETCH, SMALL, LONG, FEW, MARGIN, BROADCAST = 5, 0.8, 10, 256, 16, 7, 8, 0.06, 1_000_000
 
 
 def features(words: list[bytes]) -> set[bytes]:
@@ -120,14 +120,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
         return r.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
-    # under a key with many files: texts that nothing there can resemble, by shingles that they alone have
+
+    def odd_of(there: DataFrame) -> DataFrame:
+        """Those of the texts there that none of the others can resemble: too many of their shingles are theirs alone."""
+        shown = rows.select("th", "sketch").join(there, "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
+        alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
+        spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
+        return materialize(shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th"))
+
+    def small(df: DataFrame) -> DataFrame:
+        """df, to be broadcast if its rows are few enough for that."""
+        return F.broadcast(df) if df.count() <= BROADCAST else df
+
     hot = materialize(files.groupBy("key").count().filter(F.col("count") > SMALL).select("key"))
-    there = materialize(asks.join(hot, "key", "left_semi").select("th").distinct())
-    shown = rows.select("th", "sketch").join(there, "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
-    alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
-    spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
-    odd = shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th")
-    odd = materialize(odd)
+    odd = odd_of(materialize(asks.join(small(hot), "key", "left_semi").select("th").distinct()))
     hot_files = files.join(hot, "key", "left_semi").join(odd, "th", "left_anti").select("key", "th", "fp", "m")
     files = materialize(files.join(hot, "key", "left_anti").unionByName(hot_files))
     # who asks, and one of those filed under the key
@@ -138,6 +144,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     r = roots.select(F.col("node").alias("th"), "root")
     others = files.join(one.filter("n > 1").select("key", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
     left = materialize(others.filter(F.coalesce("root", "th") != F.coalesce("root2", "th2")).select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("m").alias("m2")))
+    odd = odd_of(materialize(asks.join(small(left.select("key").distinct()), "key", "left_semi").select("th").distinct()))
+    left = small(materialize(left.join(odd, left.th2 == odd.th, "left_anti")))
     pairs = asks.join(left, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
     roots = components(links.unionByName(verified(materialize(apart(pairs, roots)))))
     named = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
