@@ -343,10 +343,6 @@ def file_outcomes(spark, sf):
 _JOB = ["id", "owner", "status", "created_at", "updated_at"]
 
 
-def _owner(spark, sf):
-    return X.owner_hash(F.lit("605"))
-
-
 @query
 def jobs_page(spark, sf):
     """Pages of an owner's jobs: the newest, and what follows a cursor."""
