@@ -117,7 +117,7 @@ QUERIES["md_blocks"] = _cues("md")
 
 
 def _leaves(spark, sf):
-    return formats.html(A.table(spark, sf, "pages").select("page_id", "html"), "html")
+    return A.table(spark, sf, "pages").select("page_id", formats.html(F.col("html")).alias("leaves"))
 
 
 @query

@@ -57,26 +57,31 @@ def split_at_comma(s: Column, n: Column) -> tuple[Column, Column]:
     return F.when(enough, head).otherwise(s), F.when(enough, tail).otherwise("")
 
 
-def ass(df: DataFrame, source: str, out: str = "blocks") -> DataFrame:
+def ass(source: Column) -> Column:
     """ASS and SSA: Dialogue lines of the events section, split before their text field.
 
     The last section header and the last Format line before a line tell how to
     read it; both are few, so each line looks back into their short arrays.
     """
     tail = r"(?s)^((?:\{[^}]*\})*)(.*)$"
-    df = df.withColumn("__l", X.lines(F.col(source)))
-    df = df.withColumn("__h", F.filter(F.transform("__l", lambda line, i: F.struct(i.alias("i"), F.lower(X.trim(line)).alias("s"))), lambda h: h.s.startswith("[") & h.s.endswith("]")))
-    section = lambda i: F.coalesce(F.get(F.reverse(F.filter("__h", lambda h: h.i <= i)), F.lit(0))["s"], F.lit(""))
-    formats = F.filter(F.transform("__l", lambda line, i: F.struct(i.alias("i"), F.when(X.trim(line).startswith("Format:") & (section(i) == "[events]"), commas_before_text(F.substring(X.trim(line), F.lit(8), F.char_length(line)))).alias("n"))), lambda f: f.n.isNotNull())
-    df = df.withColumn("__f", formats)
-    commas = lambda i: F.coalesce(F.get(F.reverse(F.filter("__f", lambda f: f.i < i)), F.lit(0))["n"], F.lit(DEFAULT_COMMAS))
+    last = lambda marks, i, field, default: F.coalesce(F.get(F.reverse(F.filter(marks, lambda x: x.i < i)), F.lit(0))[field], F.lit(default))
 
-    def read(line: Column, i: Column) -> Column:
-        head, text = split_at_comma(F.substring(line, F.lit(10), F.char_length(line)), commas(i))
-        cue = block("text", F.concat(F.lit("Dialogue:"), head, F.regexp_extract(text, tail, 1)), F.regexp_extract(text, tail, 2))
-        return F.when(line.startswith("Dialogue:") & (section(i) == "[events]"), cue).otherwise(block("pass", line, ""))
+    def headers(lines: Column) -> Column:
+        named = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.lower(X.trim(line)).alias("s")))
+        return F.filter(named, lambda h: h.s.startswith("[") & h.s.endswith("]"))
 
-    return df.withColumn(out, F.transform("__l", read)).drop("__l", "__h", "__f")
+    def formats_in(lines: Column, heads: Column) -> Column:
+        fields = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.when(X.trim(line).startswith("Format:") & (last(heads, i, "s", "") == "[events]"), commas_before_text(F.substring(X.trim(line), F.lit(8), F.char_length(line)))).alias("n")))
+        return F.filter(fields, lambda f: f.n.isNotNull())
+
+    def read(line: Column, i: Column, heads: Column, forms: Column) -> Column:
+        def cue(n: Column) -> Column:
+            head, text = split_at_comma(F.substring(line, F.lit(10), F.char_length(line)), n)
+            return X.let(text, lambda t: block("text", F.concat(F.lit("Dialogue:"), head, F.regexp_extract(t, tail, 1)), F.regexp_extract(t, tail, 2)))
+
+        return F.when(line.startswith("Dialogue:") & (last(heads, i, "s", "") == "[events]"), X.let(last(forms, i, "n", DEFAULT_COMMAS), cue)).otherwise(block("pass", line, ""))
+
+    return X.let(X.lines(source), lambda lines: X.let(headers(lines), lambda heads: X.let(formats_in(lines, heads), lambda forms: F.transform(lines, lambda line, i: read(line, i, heads, forms)))))
 
 
 def _markdown(source: str) -> list[tuple[str, str]]:
@@ -156,27 +161,28 @@ def html_tokens(html: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit("<[^>]*>|[^<]+"), F.lit(0))
 
 
-def html(df: DataFrame, source: str, out: str = "leaves") -> DataFrame:
+def html(source: Column) -> Column:
     """Array of struct(tag, text): an opening tracked tag whose next tracked tag closes it, with text that isn't blank.
 
     An element without an end tag is no leaf: where one stops is not in the text.
     """
     tag = rf"(?i)^<(/?(?:{'|'.join(TRACKED)}))(?:[\s>/]|$)"
-    df = df.withColumn("__t", html_tokens(F.col(source)))
-    df = df.withColumn("__m", F.filter(F.transform("__t", lambda t, i: F.struct(i.alias("i"), F.lower(F.regexp_extract(t, tag, 1)).alias("tag"))), lambda m: m.tag != ""))
 
-    def leaf(m: Column, k: Column) -> Column:
-        after = F.get(F.col("__m"), k + 1)
-        inside = F.slice(F.col("__t"), m.i + 2, F.greatest(after.i - m.i - 1, F.lit(0)))
+    def tags(tokens: Column) -> Column:
+        named = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), F.lower(F.regexp_extract(t, tag, 1)).alias("tag")))
+        return F.filter(named, lambda m: m.tag != "")
+
+    def leaf(m: Column, after: Column, tokens: Column) -> Column:
+        inside = F.slice(tokens, m.i + 2, F.greatest(after.i - m.i - 1, F.lit(0)))
         text = F.array_join(F.filter(inside, lambda t: ~t.startswith("<")), "")
         return F.when(after.tag == F.concat(F.lit("/"), m.tag), F.struct(m.tag.alias("tag"), text.alias("text")))
 
-    leaves = F.filter(F.transform("__m", leaf), lambda x: x.isNotNull() & ~X.is_blank(x.text))
-    return df.withColumn(out, leaves).drop("__t", "__m")
+    found = X.let(html_tokens(source), lambda tokens: X.let(tags(tokens), lambda marks: F.transform(marks, lambda m, k: X.let(F.get(marks, k + 1), lambda after: leaf(m, after, tokens)))))
+    return F.filter(found, lambda x: x.isNotNull() & ~X.is_blank(x.text))
 
 
-PARSERS = {"txt": txt, "srt": timed, "vtt": timed, "lrc": lrc}
-FRAME_PARSERS = {"ass": ass, "md": markdown}
+PARSERS = {"txt": txt, "srt": timed, "vtt": timed, "lrc": lrc, "ass": ass}
+FRAME_PARSERS = {"md": markdown}
 
 
 def register(name: str, parser) -> None:

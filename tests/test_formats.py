@@ -52,7 +52,7 @@ def test_markdown():
 
 def test_html(spark):
     html = "<head><title>t</title></head><body><nav><li>no</li></nav><blockquote><p>a<b>b</b></p>lost</blockquote><p>open<br><p>two</p><script>'</p>'</script><li> </li></body>"
-    df = formats.html(spark.createDataFrame([(html,)], "html string"), "html")
+    df = spark.createDataFrame([(html,)], "html string").select(formats.html(F.col("html")).alias("leaves"))
     assert [tuple(x) for x in df.first().leaves] == [("p", "ab"), ("p", "two")]
     assert [(t, x) for t, x, _ in zipped.leaves(html)] == [("p", "ab"), ("p", "two")]
 
