@@ -11,8 +11,8 @@ while a key of 24 bits holds few of the others.
 
 Candidates differ in BITS bits at most and link where the sketches' resemblance
 is the wanted similarity. Links are found for connection alone: who asks is
-compared with one of those filed under a key, and then with those of them that
-are not connected to that one yet. Texts with more shingles than similarity
+compared with one of those filed under a key, and then with one of each other component
+that those linked so far leave there. Texts with more shingles than similarity
 allows that no other text there has are out before that, as none can resemble
 them.
 """
@@ -110,9 +110,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     close = close & (F.least("m", "m2") >= similarity * F.greatest("m", "m2"))  # more can't be shared
     pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
 
+    def small(df: DataFrame) -> DataFrame:
+        """df, to be broadcast if its rows are few enough for that."""
+        return F.broadcast(df) if df.count() <= BROADCAST else df
+
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).distinct()
-        known = rows.select("th", "sketch").join(ends, "th", "left_semi").dropDuplicates(["th"])
+        known = rows.select("th", "sketch").join(small(ends), "th", "left_semi").dropDuplicates(["th"])
         both = pairs.join(known.select(F.col("th").alias("u"), F.col("sketch").alias("a")), "u").join(known.select(F.col("th").alias("v"), F.col("sketch").alias("b")), "v")
         return both.filter(resemblance("a", "b") >= similarity).select("u", "v")
 
@@ -120,18 +124,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
         return r.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
 
-
     def odd_of(there: DataFrame) -> DataFrame:
         """Those of the texts there that none of the others can resemble: too many of their shingles are theirs alone."""
-        shown = rows.select("th", "sketch").join(there, "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
+        shown = rows.select("th", "sketch").join(small(there), "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
         alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
         spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
         return materialize(shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th"))
 
-    def small(df: DataFrame) -> DataFrame:
-        """df, to be broadcast if its rows are few enough for that."""
-        return F.broadcast(df) if df.count() <= BROADCAST else df
-
     hot = materialize(files.groupBy("key").count().filter(F.col("count") > SMALL).select("key"))
     odd = odd_of(materialize(asks.join(small(hot), "key", "left_semi").select("th").distinct()))
     hot_files = files.join(hot, "key", "left_semi").join(odd, "th", "left_anti").select("key", "th", "fp", "m")
@@ -140,10 +139,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     one = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp", "m")).alias("o")).select("key", "n", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
     links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
     roots = materialize(components(links))
-    # the files that are not connected to that one
+    # one file of each other component under the key
     r = roots.select(F.col("node").alias("th"), "root")
     others = files.join(one.filter("n > 1").select("key", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
-    left = materialize(others.filter(F.coalesce("root", "th") != F.coalesce("root2", "th2")).select("key", F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("m").alias("m2")))
+    others = others.withColumn("root", F.coalesce("root", "th")).filter(F.col("root") != F.coalesce("root2", "th2"))
+    left = others.groupBy("key", "root").agg(F.min(F.struct("th", "fp", "m")).alias("o"))
+    left = materialize(left.select("key", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
     odd = odd_of(materialize(asks.join(small(left.select("key").distinct()), "key", "left_semi").select("th").distinct()))
     left = small(materialize(left.join(odd, left.th2 == odd.th, "left_anti")))
     pairs = asks.join(left, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
