@@ -53,7 +53,7 @@ def test_token_counts_of_any_text():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    lib, count, rng = Tokenizer.from_file(path), token_counts.token_counter(path, 120, 8), random.Random(1)
+    lib, count, rng = Tokenizer.from_file(path), token_counts.token_counter(open(path, encoding="utf-8").read(), 120, 8), random.Random(1)
     for k in range(400):
         x = "".join(rng.choice("ab ÉéＡ́ \n\t'sre<|endoftext|>12!?　 ") for _ in range(rng.randint(100, 900))) if k % 3 else "x" * rng.randint(100, 500) + rng.choice(["", "<|endoftext|>", " "]) + "é" * rng.randint(0, 300)
         assert count([x]) == [len(lib.encode(x, add_special_tokens=False))]
