@@ -11,10 +11,10 @@ while a key of 24 bits holds few of the others.
 
 Candidates differ in BITS bits at most and link where the sketches' resemblance
 is the wanted similarity. Links are found for connection alone: who asks is
-compared with one of those filed under a key, and then with one of each other component
-that those linked so far leave there. Texts with more shingles than similarity
-allows that no other text there has are out before that, as none can resemble
-them.
+compared with one of those filed under a key, and then with all others there that
+are not in its own component by then, so no candidate is left out but those that
+are connected already. Texts with more shingles than similarity allows that no
+other text there has are out before that, as none can resemble them.
 """
 
 from __future__ import annotations
@@ -120,10 +120,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         both = pairs.join(known.select(F.col("th").alias("u"), F.col("sketch").alias("a")), "u").join(known.select(F.col("th").alias("v"), F.col("sketch").alias("b")), "v")
         return both.filter(resemblance("a", "b") >= similarity).select("u", "v")
 
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        r = pairs.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-        return r.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-
     def odd_of(there: DataFrame) -> DataFrame:
         """Those of the texts there that none of the others can resemble: too many of their shingles are theirs alone."""
         shown = rows.select("th", "sketch").join(small(there), "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
@@ -139,16 +135,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     one = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp", "m")).alias("o")).select("key", "n", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
     links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
     roots = materialize(components(links))
-    # one file of each other component under the key
-    r = roots.select(F.col("node").alias("th"), "root")
-    others = files.join(one.filter("n > 1").select("key", "th2"), "key").filter("th != th2").join(r, "th", "left").join(r.select(F.col("th").alias("th2"), F.col("root").alias("root2")), "th2", "left")
-    others = others.withColumn("root", F.coalesce("root", "th")).filter(F.col("root") != F.coalesce("root2", "th2"))
-    left = others.groupBy("key", "root").agg(F.min(F.struct("th", "fp", "m")).alias("o"))
-    left = materialize(left.select("key", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
-    odd = odd_of(materialize(asks.join(small(left.select("key").distinct()), "key", "left_semi").select("th").distinct()))
-    left = small(materialize(left.join(odd, left.th2 == odd.th, "left_anti")))
-    pairs = asks.join(left, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct()
-    roots = components(links.unionByName(verified(materialize(apart(pairs, roots)))))
+    # the other files: those apart from that one meet all who ask, those connected to it meet who asks and is not
+    r = small(materialize(roots.select(F.col("node").alias("th"), "root")))
+    rooted = lambda df: df.join(r, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    several = small(materialize(rooted(one.filter("n > 1").select("key", F.col("th2").alias("th"))).select("key", F.col("th").alias("one"), F.col("root").alias("ones"))))
+    rest = rooted(files.join(several, "key").filter("th != one")).select("key", (F.col("root") == F.col("ones")).alias("same"), F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("m").alias("m2"), F.col("root").alias("root2"))
+    rest = materialize(rest)
+    who = rooted(asks.join(several.select("key", "ones"), "key")).withColumn("same", F.explode(F.expr("if(root != ones, array(false, true), array(false))"))).drop("ones")
+    odd = odd_of(materialize(who.join(small(rest.select("key", "same").distinct()), ["key", "same"], "left_semi").select("th").distinct()))
+    rest = small(materialize(rest.join(odd, rest.th2 == odd.th, "left_anti")))
+    pairs = materialize(who.join(rest, ["key", "same"]).filter((F.col("root") != F.col("root2")) & close).select(*pair).distinct())
+    roots = components(links.unionByName(verified(pairs)))
     named = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("doc_id", "th").join(materialize(named.join(least, "root").select("th", "component_id")), "th")

@@ -155,6 +155,41 @@ def test_near_copies(spark):
     assert near_copies.groups(docs.filter("false")).count() == 0
 
 
+def test_near_copies_connect_all_candidates(spark):
+    """Chains in which only neighbours resemble each other: groups are those of all candidates compared by brute force."""
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(30):
+        words = [rng.choice(vocab) for _ in range(150)]
+        for _ in range(20):
+            at = rng.randrange(140)
+            words = [*words[:at], *(rng.choice(vocab) for _ in range(8)), *words[at + 8 :]]
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nodes = near_copies.signatures(docs, "doc_id", "text", near_copies.SHINGLE).cache()
+    at = {r.th: (r.doc_id, r.fp & (1 << 64) - 1) for r in nodes.collect()}
+    filed = {}
+    for r in near_copies._keyed(nodes, True).collect():
+        filed.setdefault(r.key, []).append(r.th)
+    found = {(r.th, t) for r in near_copies._keyed(nodes, False).collect() for t in filed.get(r.key, []) if t != r.th}
+    shingles = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in found:
+        (i, x), (j, y) = at[a], at[b]
+        if (x ^ y).bit_count() <= near_copies.BITS and len(shingles[i] & shingles[j]) >= near_copies.SIMILARITY * len(shingles[i] | shingles[j]):
+            lo, hi = sorted((find(i), find(j)))
+            up[hi] = lo
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 @needs_tables
 def test_pipeline_does_what_its_stages_say(spark):
     import corpus_pipeline as P
