@@ -137,13 +137,15 @@ class Attention:
             g[name][u[first]] = np.add.reduceat(d.reshape(-1, DIM)[order], first, axis=0)
         return loss, g
 
-    def train(self, x: np.ndarray, counted: np.ndarray, steps: int, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> float:
-        """Adam on random batches of windows, the rate falling to a tenth; the mean loss of the last steps."""
-        if not len(x) or not steps:
+    def train(self, x: np.ndarray, counted: np.ndarray, steps: int | None, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> float:
+        """Adam on random batches of windows, the rate falling to a tenth; the mean loss of the last steps. Without a number of steps each window is taken once."""
+        if not len(x) or steps == 0:
             return float("nan")
         rng, first, second, losses = np.random.default_rng(seed), {}, {}, []
+        order = rng.permutation(len(x)) if steps is None else None
+        steps = -(-len(x) // batch) if steps is None else steps
         for t in range(steps):
-            i = rng.integers(0, len(x), batch)
+            i = rng.integers(0, len(x), batch) if order is None else order[t * batch : (t + 1) * batch]
             loss, g = self.gradients(x[i], counted[i])
             losses.append(loss)
             r = rate * min(1.0, (t + 1) / 20) * (1 - 0.9 * t / steps)

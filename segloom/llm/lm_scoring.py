@@ -7,8 +7,8 @@ attention model (attention.py) predicts units: the UNITS - 1 most frequent ids i
 training, and one for the others, whose own probabilities are add-half shares.
 
 Training: all training texts are counted, words and ids. A seed of SEED_WINDOWS
-windows sets the model up on the driver; then each task refines it on SHARE of
-the training texts it holds, whole, and the parameters are averaged by windows.
+windows sets the model up on the driver; then each task refines it on all windows
+of the training texts it holds, and the parameters are averaged by windows.
 
 Scoring walks whole texts in overlapping windows. The TOP most frequent words
 have their counts on the executors; the others, few in each text but without
@@ -33,7 +33,7 @@ from segloom.llm import attention
 from segloom.llm.attention import T, UNITS, Attention, window_places, windows
 from segloom.llm.common import by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SHARE, REFINED, SLICE, MEMO, PIECE, COUNTED = 1 << 18, 24_000, 3000, 1 / 32, 40_000, 1 << 20, 150_000, 1 << 22, 1 << 23
+TOP, SEED_WINDOWS, STEPS, SLICE, MEMO, PIECE, COUNTED = 1 << 18, 24_000, 3000, 1 << 20, 150_000, 1 << 22, 1 << 23
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -245,9 +245,9 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
                 if own is None:
                     own = Attention(sent.value.share)
                     own.p = {k: v.copy() for k, v in start.value.p.items()}
-                own.train(x, scored, len(x) // 64, rate=1e-3, seed=len(x))
+                own.train(x, scored, None, rate=1e-3, seed=len(x))
                 n += len(x)
-        if own is not None and n >= 64:
+        if n:
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
 
@@ -262,8 +262,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
         n, w = total_of(rows)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([n]), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
 
-    share = min(1.0, max(SHARE, REFINED / expected))
-    tuned = _sample(docs, share, 2).select("text").mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
+    tuned = docs.select("text").mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
     n, w = total_of([pa.RecordBatch.from_pylist([r.asDict()]) for r in sorted(tuned.collect(), key=lambda r: r[0])])  # 64 rows at most
     if n:
         at = 0

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from segloom.llm import decontamination, imatch, lm_scoring, mixing, sharding, simhash, substring_dedup, suffix_array, token_counts
+from segloom.llm import attention, decontamination, imatch, lm_scoring, mixing, sharding, simhash, substring_dedup, suffix_array, token_counts
 from segloom.llm.common import crc_part
 from segloom.llm.components import components
 from segloom.llm.golay import Golay
@@ -303,6 +303,38 @@ def test_lm_scores(spark, rows, monkeypatch):
         assert abs(r.base_score - base) < 1e-6 * abs(base) and np.isfinite(r.score) and r.score < 0
 
 
+def test_lm_refines_on_all_texts(spark, monkeypatch):
+    """Also in a table that is said to be large, each training text reaches the tasks that refine the model."""
+    import public_tokenizers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(lm_scoring.Reader):
+        def read(self, texts):
+            seen.add(len(texts))
+            return super().read(texts)
+
+    monkeypatch.setattr(lm_scoring, "Reader", Counting)
+    texts = [(i, f"word{i} and some more words of text {i}") for i in range(640)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    words = lm_scoring.count_words(docs)
+    counts = lm_scoring.count_ids(words, ranks)
+    size = lm_scoring.Subwords(ranks.value).end
+    counts[size] = len(texts)
+    lm_scoring.train(docs, ranks, lm_scoring.Units(counts, size + 1), 10**12)  # a share of the seed that takes none of these
+    assert seen.value == len(texts)
+
+
+def test_a_pass_takes_each_window_once(monkeypatch):
+    taken = []
+    model = lm_scoring.Attention(np.full(attention.UNITS, 1 / attention.UNITS))
+    monkeypatch.setattr(model, "gradients", lambda x, counted: (taken.extend(x[:, 0].tolist()), (0.0, {}))[1], raising=False)
+    model.train(np.arange(150)[:, None], np.ones((150, 1), bool), None)
+    assert sorted(taken) == list(range(150))
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
