@@ -6,8 +6,9 @@ lexicon terms are sorted and hashed once for each of several random subsets of
 the lexicon: some bits of a term's own hash say whether it belongs to a subset.
 Subsets keep a 32nd, a 128th or a 512th of the terms: each part then depends on a
 few terms of a text and outlasts the change of others, and some suit a text of any
-length. A subset with no term of the text leaves its part empty. A text without any lexicon term is hashed over all its distinct terms instead, in a
-part of its own.
+length. A subset with no term of the text leaves its part empty. A text all of whose
+parts would be empty, as it has few lexicon terms or none, is hashed over all its
+distinct terms instead, in a part of its own.
 
 The lexicon's size has a bound: frequencies add up to the distinct terms of all
 documents, so at most (mean distinct terms) / LOW terms reach LOW. It goes to the
@@ -41,14 +42,15 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
 
 def with_parts(df: DataFrame, text: Column, known: list[int], name: str, rate_bits: tuple[int, ...] = RATE_BITS, each: int = EACH) -> DataFrame:
     """df with the fingerprint's parts, an array of strings, as the column `name`."""
-    terms, inside = f"__terms_{name}", f"__known_{name}"
+    terms, inside, chosen = f"__terms_{name}", f"__known_{name}", f"__chosen_{name}"
     df = df.withColumn(terms, term_hashes(text))
     members = ",".join(f"{x}L" if x > -(2**63) else "CAST(-9223372036854775808 AS BIGINT)" for x in known)
     df = df.withColumn(inside, F.expr(f"filter({terms}, t -> t IN ({members}))" if known else f"filter({terms}, t -> false)"))
     cells = [f"filter({inside}, t -> (shiftrightunsigned(t, {(7 * j + 2 * i) % (64 - bits)}) & {(1 << bits) - 1}) = 0)" for i, bits in enumerate(rate_bits) for j in range(each)]
-    cells.append(f"filter({terms}, t -> size({inside}) = 0)")
-    parts = ", ".join(f"transform(array({c}), c -> if(size(c) = 0, '', substr(md5(array_join(c, ',')), 1, 8)))[0]" for c in cells)
-    return df.withColumn(name, F.expr(f"array({parts})")).drop(terms, inside)
+    part = lambda c: f"transform(array({c}), c -> if(size(c) = 0, '', substr(md5(array_join(c, ',')), 1, 8)))[0]"
+    df = df.withColumn(chosen, F.expr(f"array({', '.join(map(part, cells))})"))
+    whole = f"if(array_join({chosen}, '') = '', {part(terms)}, '')"
+    return df.withColumn(name, F.expr(f"concat({chosen}, array({whole}))")).drop(terms, inside, chosen)
 
 
 def likeness(a: str, b: str) -> Column:

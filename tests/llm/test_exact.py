@@ -285,6 +285,16 @@ def test_imatch_lexicon(spark, rows):
     assert known == {signed(w) for w, n in df.items() if max(2, 0.02 * len(rows)) <= n <= 0.6 * len(rows)}
 
 
+def test_imatch_tells_short_texts_apart(spark):
+    words = [f"term{k}" for k in range(200)]
+    texts = ["", *(f"{w} only{w}" for w in words), *words]  # one lexicon term at most, which few subsets hold
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = [r[0] for r in rows.filter("doc_id > 200").select(F.xxhash64("text")).collect()]
+    got = {r.doc_id: ".".join(r.parts) for r in imatch.with_parts(rows, F.col("text"), known, "parts").collect()}
+    assert not got[0].strip(".") and all(got[i].strip(".") for i in range(1, len(texts)))
+    assert len({got[i] for i in range(201, 401)}) == 200
+
+
 def test_lm_scores(spark, rows, monkeypatch):
     import public_tokenizers
 
