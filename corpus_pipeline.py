@@ -42,7 +42,7 @@ STAGES = [
     ("mixing", mixing_sources),
     ("sharding", into_shards),
 ]
-#: SQL can't express a trained classifier; tests/llm/test_pipeline.py holds run() against plain versions of the stages.
+#: SQL can't express a trained classifier; tests/llm/test_models.py checks what the stages keep and leave out, not against plain versions of all of them.
 ORACLE_SQL = None
 
 
