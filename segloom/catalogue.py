@@ -187,7 +187,7 @@ def chat_requests(spark, sf):
 
 @query
 def sanitize_text(spark, sf):
-    t = F.expr("CASE WHEN doc_id % 4 = 0 THEN repeat('é', CAST(doc_id % 40 AS INT)) || substr(text, 1, 200) || '!!!!!!!!!!!!' ELSE substr(text, 1, 300) || repeat(chr(10), CAST(doc_id % 12 AS INT)) END")
+    t = F.expr("CASE WHEN doc_id % 4 = 0 THEN repeat('é', CAST(doc_id % 40 AS INT)) || text || '!!!!!!!!!!!!' ELSE text || repeat(chr(10), CAST(doc_id % 12 AS INT)) END")
     return A.table(spark, sf, "documents").select("doc_id", X.collapse_runs(t).alias("clean"))
 
 
@@ -201,7 +201,7 @@ def truncate_bytes(spark, sf):
 @query
 def boundary_split(spark, sf):
     halves = X.split_boundary(F.col("text"))
-    rows = A.table(spark, sf, "documents").select("doc_id", F.expr("substr(text, 1, 40 + CAST(doc_id % 200 AS INT))").alias("text")).withColumn("h", halves)
+    rows = A.table(spark, sf, "documents").select("doc_id", "text").withColumn("h", halves)
     return rows.select("doc_id", "h.left", "h.right")
 
 
@@ -383,8 +383,7 @@ def jobs_claim(spark, sf):
 @query
 def jobs_retry(spark, sf):
     j = A.jobs(spark, sf)
-    asked = j.filter("CAST(id AS BIGINT) % 10 < 6").select("owner", F.when(F.expr("CAST(id AS BIGINT) % 10 = 3"), F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"))
-    return ledger.retry(asked, j, 7)
+    return ledger.retry(_asked(j), j, 7)
 
 
 @query
@@ -412,6 +411,44 @@ def jobs_insert(spark, sf):
     return ledger.insert(j, new, 9).groupBy("owner").agg(F.count("*").alias("n"), F.count_if(F.col("id").startswith("n")).alias("new"))
 
 
+def _asked(j):
+    return j.filter("CAST(id AS BIGINT) % 10 < 6").select("owner", F.when(F.expr("CAST(id AS BIGINT) % 10 = 3"), F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"))
+
+
+@query
+def jobs_cancel(spark, sf):
+    j = A.jobs(spark, sf)
+    return ledger.cancel(_asked(j), j)
+
+
+@query
+def jobs_cancelled(spark, sf):
+    j = A.jobs(spark, sf)
+    return ledger.cancelled(j, ledger.cancel(j.filter("CAST(id AS BIGINT) % 2 = 1"), j), A.NOW).select(*_JOB, "error")
+
+
+@query
+def jobs_upsert(spark, sf):
+    j = A.jobs(spark, sf).select(*_JOB)
+    new = spark.range(1).select(F.lit("new").alias("id"), F.lit("me").alias("owner"), F.lit("queued").alias("status"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at"))
+    return ledger.upsert(j, j.filter("CAST(id AS BIGINT) % 3 = 0").withColumn("status", F.lit("writing")).unionByName(new))
+
+
+@query
+def jobs_page_info(spark, sf):
+    """The first owner's first page of three, as the service answers it."""
+    j = A.jobs(spark, sf)
+    first = j.agg(F.min("owner")).first()[0]
+    return ledger.page_info(j, first, 3).withColumn("ids", F.array_join("ids", ","))
+
+
+@query
+def jobs_cursor(spark, sf):
+    j = A.jobs(spark, sf)
+    text = F.when(F.expr("CAST(id AS BIGINT) % 3 = 0"), F.concat("id", F.lit(":a b"))).otherwise(ledger.cursor_of(F.col("created_at"), F.col("id")))
+    return j.select("id", ledger.read_cursor(text).alias("c")).select("id", F.col("c.created_at").alias("cursor_at"), F.col("c.id").alias("cursor_id"))
+
+
 @query
 def jobs_progress(spark, sf):
     j = A.jobs(spark, sf)
@@ -595,7 +632,7 @@ def manifest_files(spark, sf):
     p = F.concat(F.when(F.expr("l_linenumber % 4 = 0"), "sub/").otherwise(""), F.lit("m"), F.col("l_linenumber").cast("string"), F.element_at(F.array(*map(F.lit, (".safetensors", ".json", ".bin"))), F.expr("CAST(l_partkey % 3 + 1 AS INT)")))
     one = F.struct(p.alias("rfilename"), F.when(F.expr("l_linenumber % 2 = 0"), F.col("l_partkey")).alias("size"), F.struct(F.col("l_suppkey").alias("size"), F.lit("h").alias("sha256")).alias("lfs"))
     two = F.struct(p.alias("Path"), F.when(F.expr("l_linenumber % 2 = 0"), F.col("l_partkey").cast("string")).otherwise(F.col("l_suppkey").cast("string")).alias("Size"), F.lit("s").alias("Sha256"))
-    lines = A.table(spark, sf, "lineitem").filter("l_orderkey % 4 = 0")
+    lines = A.table(spark, sf, "lineitem")
     body = lines.groupBy("l_orderkey").agg(F.when(F.expr("l_orderkey % 8 = 0"), F.to_json(F.collect_list(one))).otherwise(F.to_json(F.collect_list(two))).alias("body"))
     return files.manifest(body, "body")
 
@@ -603,7 +640,7 @@ def manifest_files(spark, sf):
 @query
 def missing_shards(spark, sf):
     """Shards of weight maps without a file of any size, and each model's bytes."""
-    li = A.table(spark, sf, "lineitem").filter("l_orderkey % 4 = 1").select(F.col("l_orderkey").alias("model"), F.concat(F.lit("m"), (F.col("l_partkey") % 6).cast("string"), F.lit(".safetensors")).alias("shard"), "l_linenumber", "l_suppkey")
+    li = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("model"), F.concat(F.lit("m"), (F.col("l_partkey") % 6).cast("string"), F.lit(".safetensors")).alias("shard"), "l_linenumber", "l_suppkey")
     maps = li.groupBy("model").agg(F.to_json(F.struct(F.map_from_entries(F.transform(F.collect_list("shard"), lambda s, i: F.struct(F.concat(F.lit("w"), i.cast("string")), s))).alias("weight_map"))).alias("body"))
     there = li.filter("l_linenumber % 2 = 1").select("model", F.col("shard").alias("path"), F.expr("l_suppkey % 3").alias("size"))
     return files.missing_shards(maps, there)
@@ -618,7 +655,7 @@ def weights_bytes(spark, sf):
 @query
 def spine_paths(spark, sf):
     """Reading order of books whose manifests are order lines."""
-    li = A.table(spark, sf, "lineitem").filter("l_orderkey % 3 = 0")
+    li = A.table(spark, sf, "lineitem")
     items = li.select(F.col("l_orderkey").alias("book"), F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("id"), F.expr("CASE WHEN l_partkey % 4 = 0 THEN '../x.xhtml' ELSE 't' || CAST(l_suppkey % 3 AS STRING) || '.xhtml' END").alias("href"), F.when(F.expr("l_partkey % 5 = 0"), "text/css").otherwise("application/xhtml+xml").alias("media_type"), F.when(F.expr("l_partkey % 7 = 0"), "svg nav").alias("properties"), F.lit("OEBPS").alias("folder"))
     refs = li.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("i"), ((F.col("l_linenumber") * 3) % 8).cast("string")).alias("idref"))
     return settings.spine(items, refs)

@@ -121,12 +121,12 @@ ORACLES["batch_prompts"] = f"""WITH {_UNIT}, {_runs('text', 'doc_id, ord', 'seg'
     CASE WHEN n_context > 0 THEN 'The lines below under ''Context'' are for context only — do NOT translate or wrap them in tags:' || chr(10) || chr(10) || 'Context:' || chr(10) || nl || chr(10) || chr(10) ELSE '' END || body) AS prompt_sha FROM tag JOIN ctx USING (doc_id, unit_idx)"""
 ORACLES["single_prompts"] = f"WITH {_SEGS} SELECT doc_id, seg_id, sha256('Translate the following text into French. Note that you should only output the translated result without any additional explanation:' || chr(10) || chr(10) || {_trim('text')}) AS prompt_sha FROM seg"
 ORACLES["chat_requests"] = f"SELECT item_id, '7b-fp8' AS model, 'Translate the following text into French. Note that you should only output the translated result without any additional explanation:' || chr(10) || chr(10) || {_trim('text')} AS content, 0.7::DOUBLE AS temperature, 20::BIGINT AS top_k, true AS unbounded, CASE WHEN item_id % 5 > 1 THEN text END AS answer FROM benchmark"
-ORACLES["sanitize_text"] = f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('é', doc_id % 40) || substr(text, 1, 200) || '!!!!!!!!!!!!' ELSE substr(text, 1, 300) || repeat(chr(10), doc_id % 12) END AS x FROM documents), {_runs('x', 'doc_id', 't')} SELECT doc_id, clean FROM clean"""
+ORACLES["sanitize_text"] = f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN repeat('é', doc_id % 40) || text || '!!!!!!!!!!!!' ELSE text || repeat(chr(10), doc_id % 12) END AS x FROM documents), {_runs('x', 'doc_id', 't')} SELECT doc_id, clean FROM clean"""
 _cut = lambda n: f"CASE WHEN strlen(t) <= {n} THEN t ELSE (SELECT coalesce(string_agg(ch, '' ORDER BY p), '') FROM c WHERE c.doc_id = d.doc_id AND c.e <= {n}) || '…' END AS at_{n}"
 ORACLES["truncate_bytes"] = f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat('日a🙂', 30) || text ELSE text END AS t FROM documents), x AS (SELECT doc_id, unnest(string_split(left(t, 130), '')) AS ch, generate_subscripts(string_split(left(t, 130), ''), 1) AS p FROM d),
   c AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM x) SELECT doc_id, {', '.join(_cut(n) for n in (20, 21, 22, 23, 120))} FROM d"""
 _B = "[ \\t\\n\\r.!?;:,，。！？；：、]"
-ORACLES["boundary_split"] = rf"""WITH d AS (SELECT doc_id, substr(text, 1, 40 + (doc_id % 200)::INT) AS t FROM documents), x AS (SELECT doc_id, t, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM d),
+ORACLES["boundary_split"] = rf"""WITH d AS (SELECT doc_id, text AS t FROM documents), x AS (SELECT doc_id, t, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) - 1 AS i FROM d),
   m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY abs(i - length(t) // 2), i) AS k FROM x WHERE regexp_matches(ch, '{_B}')), n AS (SELECT doc_id, i FROM m WHERE k = 1),
   c AS (SELECT d.doc_id, t, i + length(regexp_extract(substr(t, (i + 1)::INT), '^{_B}+')) AS cut FROM d LEFT JOIN n USING (doc_id))
   SELECT doc_id, CASE WHEN {_trim('left(t, cut)')} <> '' AND {_trim('substr(t, cut + 1)')} <> '' THEN left(t, cut) END AS "left", CASE WHEN {_trim('left(t, cut)')} <> '' AND {_trim('substr(t, cut + 1)')} <> '' THEN substr(t, cut + 1) END AS "right" FROM c"""
@@ -181,13 +181,26 @@ ORACLES["jobs_recover"] = f"{_J} SELECT id, owner, 'queued' AS status, created_a
 _hit = "status = 'queued' AND id::BIGINT % 3 = 0"
 ORACLES["jobs_claim"] = f"{_J} SELECT id, owner, CASE WHEN {_hit} THEN 'starting_model' ELSE status END AS status, created_at, CASE WHEN {_hit} THEN {A.NOW} ELSE updated_at END::BIGINT AS updated_at, CASE WHEN {_hit} THEN NULL ELSE error END AS error FROM jobs"
 _busy = f"busy AS (SELECT owner, count(*) AS busy FROM jobs WHERE status IN {_ACT} GROUP BY 1)"
-ORACLES["jobs_retry"] = f"{_J}, {_busy}, r AS (SELECT owner, CASE WHEN id::BIGINT % 10 = 3 THEN id || 'x' ELSE id END AS id FROM jobs WHERE id::BIGINT % 10 < 6) SELECT r.owner, r.id, CASE WHEN j.id IS NULL THEN 'not_found' WHEN j.status <> 'failed' THEN 'not_failed' WHEN coalesce(busy, 0) >= 7 THEN 'at_limit' ELSE 'retried' END AS outcome FROM r LEFT JOIN jobs j ON j.owner = r.owner AND j.id = r.id LEFT JOIN busy ON busy.owner = r.owner"
-_again = "status = 'failed' AND id::BIGINT % 2 = 1 AND coalesce(busy, 0) < 9"
-ORACLES["jobs_retried"] = f"""{_J}, {_busy}, x AS (SELECT jobs.*, {_again} AS g FROM jobs LEFT JOIN busy USING (owner)) SELECT id, owner, CASE WHEN g THEN 'queued' ELSE status END AS status, CASE WHEN g THEN {A.NOW} ELSE created_at END::BIGINT AS created_at, CASE WHEN g THEN {A.NOW} ELSE updated_at END::BIGINT AS updated_at,
+#: Requests and new jobs one after the other: a recursion whose step is a turn of every owner, with the active jobs counted so far.
+_turns = lambda asked, limit: f"""a AS ({asked}), t AS (SELECT a.*, row_number() OVER (PARTITION BY a.owner ORDER BY since, id) AS turn FROM a),
+  walk(owner, id, turn, n, ok) AS (SELECT t.owner, id, turn, coalesce(busy, 0) + CASE WHEN coalesce(busy, 0) < {limit} THEN 1 ELSE 0 END, coalesce(busy, 0) < {limit} FROM t LEFT JOIN busy USING (owner) WHERE turn = 1
+    UNION ALL SELECT t.owner, t.id, t.turn, n + CASE WHEN n < {limit} THEN 1 ELSE 0 END, n < {limit} FROM walk JOIN t ON t.owner = walk.owner AND t.turn = walk.turn + 1)"""
+_JR = _J.replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["jobs_retry"] = f"""{_JR}, {_busy}, r AS (SELECT owner, CASE WHEN id::BIGINT % 10 = 3 THEN id || 'x' ELSE id END AS id FROM jobs WHERE id::BIGINT % 10 < 6), {_turns("SELECT r.owner, r.id, 0 AS since FROM r JOIN jobs USING (id) WHERE status = 'failed'", 7)}
+  SELECT r.owner, r.id, CASE WHEN j.id IS NULL THEN 'not_found' WHEN j.status <> 'failed' THEN 'not_failed' WHEN ok THEN 'retried' ELSE 'at_limit' END AS outcome FROM r LEFT JOIN jobs j ON j.owner = r.owner AND j.id = r.id LEFT JOIN walk w ON w.id = r.id"""
+_again = "coalesce(ok, false)"
+ORACLES["jobs_retried"] = f"""{_JR}, {_busy}, {_turns("SELECT owner, id, 0 AS since FROM jobs WHERE status = 'failed' AND id::BIGINT % 2 = 1", 9)}, x AS (SELECT jobs.*, {_again} AS g FROM jobs LEFT JOIN (SELECT id, ok FROM walk) USING (id)) SELECT id, owner, CASE WHEN g THEN 'queued' ELSE status END AS status, CASE WHEN g THEN {A.NOW} ELSE created_at END::BIGINT AS created_at, CASE WHEN g THEN {A.NOW} ELSE updated_at END::BIGINT AS updated_at,
   {', '.join(f'CASE WHEN g THEN 0 ELSE {c} END::BIGINT AS {c}' for c in ('total', 'completed', 'translated', 'failed_segments'))}, CASE WHEN g THEN NULL ELSE error END AS error, result_available AND NOT g AS result_available FROM x"""
 ORACLES["jobs_expired"] = f"{_J} SELECT {_cols} FROM jobs WHERE status IN {_END} AND updated_at < 900000000 ORDER BY updated_at, id LIMIT 500"
 ORACLES["jobs_delete"] = f"{_J} SELECT {_cols} FROM jobs WHERE NOT (id::BIGINT % 4 = 1 AND status IN {_END})"
-ORACLES["jobs_insert"] = f"{_J}, {_busy}, w AS (SELECT owner, count(*) AS more FROM jobs WHERE id::BIGINT % 5 = 0 GROUP BY 1), n AS (SELECT owner, count(*) AS n FROM jobs GROUP BY 1) SELECT n.owner, n.n + CASE WHEN coalesce(busy, 0) + more <= 9 THEN more ELSE 0 END AS n, coalesce(CASE WHEN coalesce(busy, 0) + more <= 9 THEN more END, 0) AS new FROM n LEFT JOIN w USING (owner) LEFT JOIN busy USING (owner)".replace("n.n + CASE WHEN coalesce(busy, 0) + more <= 9 THEN more ELSE 0 END", "n.n + coalesce(CASE WHEN coalesce(busy, 0) + more <= 9 THEN more END, 0)")
+ORACLES["jobs_insert"] = f"""{_JR}, {_busy}, {_turns("SELECT owner, 'n' || id AS id, created_at AS since FROM jobs WHERE id::BIGINT % 5 = 0", 9)}, w AS (SELECT owner, count(*) FILTER (WHERE ok) AS more FROM walk GROUP BY 1)
+  SELECT owner, count(*) + coalesce(any_value(more), 0) AS n, coalesce(any_value(more), 0) AS new FROM jobs LEFT JOIN w USING (owner) GROUP BY owner"""
+ORACLES["jobs_cancel"] = f"{_J}, r AS (SELECT owner, CASE WHEN id::BIGINT % 10 = 3 THEN id || 'x' ELSE id END AS id FROM jobs WHERE id::BIGINT % 10 < 6) SELECT r.owner, r.id, CASE WHEN j.id IS NULL THEN 'not_found' WHEN j.status IN {_END} THEN 'already_terminal' ELSE 'cancelled' END AS outcome FROM r LEFT JOIN jobs j ON j.id = r.id"
+ORACLES["jobs_cancelled"] = f"{_J} SELECT id, owner, CASE WHEN status IN {_ACT} AND id::BIGINT % 2 = 1 THEN 'cancelled' ELSE status END AS status, created_at, CASE WHEN status IN {_ACT} AND id::BIGINT % 2 = 1 THEN {A.NOW} ELSE updated_at END::BIGINT AS updated_at, CASE WHEN status IN {_ACT} AND id::BIGINT % 2 = 1 THEN NULL ELSE error END AS error FROM jobs"
+ORACLES["jobs_upsert"] = f"{_J} SELECT id, owner, CASE WHEN id::BIGINT % 3 = 0 THEN 'writing' ELSE status END AS status, created_at, updated_at FROM jobs UNION ALL SELECT 'new', 'me', 'queued', 1, 1"
+ORACLES["jobs_page_info"] = f"""{_J}, o AS (SELECT owner AS first FROM jobs ORDER BY owner LIMIT 1), p AS (SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS k, count(*) OVER () AS total FROM jobs, o WHERE owner = first)
+  SELECT string_agg(id, ',' ORDER BY k) FILTER (WHERE k <= 3) AS ids, count(*) > 3 AS has_more, max(CASE WHEN k = 3 AND total > 3 THEN created_at || ':' || id END) AS next_cursor, count(*) AS total FROM p"""
+ORACLES["jobs_cursor"] = f"{_J} SELECT id, CASE WHEN id::BIGINT % 3 > 0 THEN created_at END AS cursor_at, CASE WHEN id::BIGINT % 3 > 0 THEN id END AS cursor_id FROM jobs"
 ORACLES["jobs_progress"] = f"{_J} SELECT id, CASE WHEN status = 'queued' THEN 'queued' WHEN status IN {_RUN} THEN 'in_progress' WHEN status IN ('completed', 'failed') THEN status END AS phase, CASE WHEN total > 0 THEN least(100, floor(completed::DOUBLE / total * 100 + 0.5)) ELSE 0 END::BIGINT AS percent, status = 'completed' OR result_available AS downloadable FROM jobs"
 ORACLES["owner_hash"] = "SELECT c_custkey, substr(sha256(c_custkey::VARCHAR), 1, 32) AS owner FROM customer"
 
@@ -239,9 +252,9 @@ ORACLES["display_values"] = """WITH n AS (SELECT p_partkey, p_name, (1::BIGINT <
 ORACLES["file_urls"] = """WITH f AS (SELECT p_partkey, replace(p_name, ' ', '_') AS p FROM part) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://modelscope.cn/api/v1/models/o/r/repo?Revision=master&FilePath=' || replace(p, '#', '%23') || '%2B%C3%A9.json' WHEN 1 THEN 'https://hf-mirror.com/o/r/resolve/abc/' || p || '+é.json' WHEN 2 THEN 'https://huggingface.co/o/r/resolve/abc/' || p || '+é.json' END AS url,
   p_partkey % 3 > 0 AND p_partkey % 5 = p_partkey % 2 AS resumes FROM f"""
 ORACLES["log_lines"] = """WITH c AS (SELECT event_id, event_type, (event_id % 7 * 3000)::BIGINT AS n FROM events) SELECT event_id, 0::BIGINT AS pos, 1::BIGINT AS n, 'a' AS head FROM c UNION ALL SELECT event_id, 1, length(event_type), left(event_type, 5) FROM c UNION ALL SELECT event_id, 2 + k, least(8192, n - k * 8192), repeat('y', least(5, n - k * 8192)) FROM c, range(3) r(k) WHERE n > k * 8192"""
-ORACLES["manifest_files"] = """WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || l_linenumber || CASE l_partkey % 3 WHEN 0 THEN '.safetensors' WHEN 1 THEN '.json' ELSE '.bin' END AS path, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS size, CASE WHEN l_orderkey % 8 = 0 THEN 'h' ELSE 's' END AS sha256 FROM lineitem WHERE l_orderkey % 4 = 0)
+ORACLES["manifest_files"] = """WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber % 4 = 0 THEN 'sub/' ELSE '' END || 'm' || l_linenumber || CASE l_partkey % 3 WHEN 0 THEN '.safetensors' WHEN 1 THEN '.json' ELSE '.bin' END AS path, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS size, CASE WHEN l_orderkey % 8 = 0 THEN 'h' ELSE 's' END AS sha256 FROM lineitem)
   SELECT * FROM f WHERE path NOT LIKE '%/%' AND path NOT LIKE '%.bin'"""
-ORACLES["missing_shards"] = """WITH l AS (SELECT l_orderkey AS model, 'm' || (l_partkey % 6) || '.safetensors' AS shard, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey % 4 = 1) SELECT DISTINCT model, shard FROM l WHERE (model, shard) NOT IN (SELECT (model, shard) FROM l WHERE l_linenumber % 2 = 1 AND l_suppkey % 3 > 0)"""
+ORACLES["missing_shards"] = """WITH l AS (SELECT l_orderkey AS model, 'm' || (l_partkey % 6) || '.safetensors' AS shard, l_linenumber, l_suppkey FROM lineitem) SELECT DISTINCT model, shard FROM l WHERE (model, shard) NOT IN (SELECT (model, shard) FROM l WHERE l_linenumber % 2 = 1 AND l_suppkey % 3 > 0)"""
 ORACLES["weights_bytes"] = "SELECT l_orderkey AS model, coalesce(sum(l_suppkey) FILTER (WHERE l_partkey % 3 <> 0), -1)::BIGINT AS bytes FROM lineitem GROUP BY 1"
-ORACLES["spine_paths"] = """WITH i AS (SELECT l_orderkey AS book, l_linenumber AS k, CASE WHEN l_partkey % 4 = 0 THEN 'x.xhtml' ELSE 'OEBPS/t' || (l_suppkey % 3) || '.xhtml' END AS path FROM lineitem WHERE l_orderkey % 3 = 0 AND l_partkey % 5 <> 0 AND l_partkey % 7 <> 0)
+ORACLES["spine_paths"] = """WITH i AS (SELECT l_orderkey AS book, l_linenumber AS k, CASE WHEN l_partkey % 4 = 0 THEN 'x.xhtml' ELSE 'OEBPS/t' || (l_suppkey % 3) || '.xhtml' END AS path FROM lineitem WHERE l_partkey % 5 <> 0 AND l_partkey % 7 <> 0)
   SELECT i.book, i.path, min(r.l_linenumber)::BIGINT AS pos FROM lineitem r JOIN i ON i.book = r.l_orderkey AND i.k = r.l_linenumber * 3 % 8 GROUP BY 1, 2"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses and phases.
@@ -58,12 +58,19 @@ def claim(jobs: DataFrame, ids: Column, now: int) -> DataFrame:
     return jobs.withColumn("error", F.when(~hit, F.col("error"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")).cast("long")).withColumn("status", F.when(hit, "starting_model").otherwise(F.col("status")))
 
 
+def _admitted(wanted: DataFrame, jobs: DataFrame, limit: int, order: list[Column]) -> DataFrame:
+    """owner, id of the wanted jobs for which an owner has room, taken one after the other until the limit of active ones."""
+    busy = jobs.filter(F.col("status").isin(*ACTIVE)).groupBy("owner").agg(F.count("*").alias("busy"))
+    turn = wanted.select("owner", "id", F.row_number().over(Window.partitionBy("owner").orderBy(*order)).alias("turn")).filter(F.col("turn") <= limit)  # no owner has room for more, so no task sorts more
+    return turn.join(busy, "owner", "left").filter(F.coalesce("busy", F.lit(0)) + F.col("turn") <= limit).select("owner", "id")
+
+
 def retry(requests: DataFrame, jobs: DataFrame, active_limit: int) -> DataFrame:
-    """owner, id, outcome for requests(owner, id): not_found, not_failed, at_limit or retried."""
-    busy = jobs.groupBy("owner").agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("busy"))
-    r = requests.join(jobs.select("owner", "id", "status"), ["owner", "id"], "left").join(busy, "owner", "left")
-    outcome = F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "failed", "not_failed").when(F.coalesce("busy", F.lit(0)) >= active_limit, "at_limit").otherwise("retried")
-    return r.select("owner", "id", outcome.alias("outcome"))
+    """owner, id, outcome for the distinct requests(owner, id), taken by id: not_found, not_failed, at_limit or retried; each one retried counts as active for the next."""
+    r = requests.select("owner", "id").distinct().join(jobs.select("owner", "id", "status"), ["owner", "id"], "left")
+    done = _admitted(r.filter("status = 'failed'"), jobs, active_limit, [F.col("id")]).withColumn("done", F.lit(True))
+    outcome = F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "failed", "not_failed").when(F.col("done"), "retried").otherwise("at_limit")
+    return r.join(done, ["owner", "id"], "left").select("owner", "id", outcome.alias("outcome"))
 
 
 def retried(jobs: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
@@ -90,11 +97,49 @@ def delete_terminal(jobs: DataFrame, ids: Column) -> DataFrame:
 
 
 def insert(jobs: DataFrame, new: DataFrame, limit: int = 2000) -> DataFrame:
-    """The ledger after new jobs of owners that stay within their limit of active ones."""
-    wanted = new.groupBy("owner").agg(F.count("*").alias("more"))
-    busy = jobs.filter(F.col("status").isin(*ACTIVE)).groupBy("owner").agg(F.count("*").alias("busy"))
-    ok = wanted.join(busy, "owner", "left").filter(F.coalesce("busy", F.lit(0)) + F.col("more") <= limit).select("owner")
-    return jobs.unionByName(new.join(ok, "owner", "left_semi"))
+    """The ledger after new jobs, taken one after the other: those for which their owner has no room left are refused."""
+    return jobs.unionByName(new.join(_admitted(new, jobs, limit, [F.col("created_at"), F.col("id")]), ["owner", "id"], "left_semi"))
+
+
+def get(jobs: DataFrame, owner: str, id_: str) -> DataFrame:
+    """An owner's job; another owner's is not found."""
+    return jobs.filter((F.col("owner") == owner) & (F.col("id") == id_))
+
+
+def cancel(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """owner, id, outcome for requests(owner, id): not_found, already_terminal or cancelled, whether it waits or runs."""
+    status = F.col("status")
+    outcome = F.when(status.isNull(), "not_found").when(status.isin(*TERMINAL), "already_terminal").otherwise("cancelled")
+    return requests.select("owner", "id").distinct().join(jobs.select("owner", "id", "status"), ["owner", "id"], "left").select("owner", "id", outcome.alias("outcome"))
+
+
+def cancelled(jobs: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
+    """The ledger after cancellations: those jobs have ended, without an error."""
+    done = outcomes.filter("outcome = 'cancelled'").select("owner", "id", F.lit(True).alias("__c"))
+    j = jobs.join(done, ["owner", "id"], "left")
+    hit = F.col("__c").isNotNull()
+    return j.withColumn("error", F.when(~hit, F.col("error"))).withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status"))).withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")).cast("long")).drop("__c")
+
+
+def upsert(jobs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The ledger with the changed rows in place of those of the same id."""
+    return jobs.join(changed.select("id").distinct(), "id", "left_anti").unionByName(changed.dropDuplicates(["id"]))
+
+
+def page_info(jobs: DataFrame, owner: str, limit: int = PAGE, cursor: tuple[int, str] | None = None, in_phase: str | None = None) -> DataFrame:
+    """One row: ids of the page in order, has_more, next_cursor (of the last job shown, if there are more) and the total before any cursor."""
+    size = min(max(limit, 1), MOST)
+    shown = page(jobs, owner, limit, cursor, in_phase).agg(F.array_sort(F.collect_list(F.struct(F.col("created_at"), F.col("id"))), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("got"))
+    mine = jobs.filter(F.col("owner") == owner)
+    total = (mine.filter(F.col("status").isin(*PHASES[in_phase])) if in_phase else mine).agg(F.count("*").alias("total"))
+    row = shown.join(total).withColumn("has_more", F.size("got") > size).withColumn("last", F.element_at("got", size))
+    return row.select(F.transform(F.slice("got", 1, size), lambda x: x.id).alias("ids"), "has_more", F.when(F.col("has_more"), cursor_of(F.col("last.created_at"), F.col("last.id"))).alias("next_cursor"), "total")
+
+
+def read_cursor(cursor: Column) -> Column:
+    """struct(created_at, id) of a page's cursor; null where it isn't one: a whole number, a colon and a name of 1 to 64 letters, digits and hyphens."""
+    good = cursor.rlike("^[0-9]{1,18}:[0-9A-Za-z-]{1,64}$")
+    return F.when(good, F.struct(F.substring_index(cursor, ":", 1).cast("long").alias("created_at"), F.substring_index(cursor, ":", -1).alias("id")))
 
 
 def downloadable(status: Column, result_available: Column) -> Column:
