@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set: the warehouse, which a cluster shares, or on one machine a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='segloom-')}"
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        at = f"file://{tempfile.mkdtemp(prefix='segloom-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/segloom-scratch"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+class Sent:
+    """A broadcast of a value with its classes, so that executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.bytes, self.got = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def __getstate__(self) -> dict:
+        return {"bytes": self.bytes, "got": []}
+
+    @property
+    def value(self):
+        if not self.got:
+            self.got.append(pickle.loads(self.bytes.value))
+        return self.got[0]
+
+
 def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
 

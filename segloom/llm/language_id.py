@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import by_batch, raw_texts
+from segloom.llm.common import Sent, by_batch, raw_texts
 
 DIM, PER_LANG, ROWS, EXHAUSTIVE, UNKNOWN, MARGIN = 1 << 12, 500, 6000, 6, "und", 0.5
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     """
     held = F.coalesce(held_out, F.lit(False))
     model = fit(docs.filter(~held).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM times the code's bits
+    sent = Sent(docs.sparkSession, model)  # DIM times the code's bits
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw_texts(batch)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from segloom.llm import attention
 from segloom.llm.attention import T, UNITS, Attention, window_places, windows
-from segloom.llm.common import by_bytes, materialize, raw_texts
+from segloom.llm.common import Sent, by_bytes, materialize, raw_texts
 
 TOP, SEED_WINDOWS, STEPS, SLICE, MEMO, PIECE, COUNTED = 1 << 18, 24_000, 3000, 1 << 20, 150_000, 1 << 22, 1 << 23
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
@@ -215,7 +215,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     spark = docs.sparkSession
     model = Attention(units.share)
     expected = max(1.0, total / attention.STEP)
-    sent = spark.sparkContext.broadcast(units)
+    sent = Sent(spark, units)
     thin = min(1.0, SEED_WINDOWS / expected)
     of_docs = min(1.0, 8 * thin)  # many texts, some windows of each
 
@@ -232,7 +232,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     got = sorted((bytes(r[0]), bytes(r[1])) for r in _sample(docs, of_docs, 1).select("text").mapInArrow(seed, "x binary, scored binary").collect())
     x = np.frombuffer(b"".join(r[0] for r in got), np.int16).reshape(-1, T + 1).astype(np.int32)
     model.train(x, np.frombuffer(b"".join(r[1] for r in got), bool).reshape(-1, T), min(STEPS, len(x) // 4))
-    start = spark.sparkContext.broadcast(model)
+    start = Sent(spark, model)
     names = sorted(model.p)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc
     counts[size] = texts
     units = Units(counts, size + 1)
     model = train(learn, ranks, units, sum(counts.values()))
-    sent = spark.sparkContext.broadcast((model, units, Common(common_words(words), Subwords(ranks.value))))  # TOP words at most and the parameters
+    sent = Sent(spark, (model, units, Common(common_words(words), Subwords(ranks.value))))  # TOP words at most and the parameters
     log_all = float(np.log10(n + 0.5 * (v + 1)))
     end_base = float(np.log10(texts + 0.5)) - log_all
 

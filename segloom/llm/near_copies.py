@@ -1,154 +1,251 @@
-"""Near copies: SimHash candidates by Golay keys, verified by five-word shingles.
-
-Nodes are the distinct texts. A node's fingerprint is a SimHash of its distinct
-longer words (all of them where there are few), which an edited word moves less
-than shingles; its sketch holds the least SKETCH hashes of its distinct
-SHINGLE-word shingles, all of them in a short text. The fingerprint's three
-segments are decoded to fuzzy indices; pairs of segments make keys. A node is
-filed under the nearest index of each pair and asks under all of them, so that
-near copies with some errors in each segment still meet in one of three pairs
-while a key of 24 bits holds few of the others.
-
-Candidates differ in BITS bits at most and link where the sketches' resemblance
-is the wanted similarity. Links are found for connection alone: who asks is
-compared with one of those filed under a key, and then with all others there that
-are not in its own component by then, so no candidate is left out but those that
-are connected already. Texts with more shingles than similarity allows that no
-other text there has are out before that, as none can resemble them.
+"""Near copies: SimHash candidates by Golay keys, verified exactly by five-word shingles.
+
+Nodes are the distinct texts, sets of the hashes of their distinct SHINGLE-word
+shingles. Texts of which more than 1 - similarity are shingles that no other text
+has can resemble none and are out, in two rounds, the second among the texts that
+are left; this is exact, and counts travel by ranges of the hash, so that a
+shingle that many texts have is one number a range and text.
+
+The others get FPS fingerprints, SimHashes of the shingles that some other text
+has too: near copies agree in most of these, whatever was edited. Each
+fingerprint's three segments are decoded to fuzzy Golay indices; pairs of segments
+make keys. A node is filed under the nearest index of each pair and asks under all
+of them, so that near copies with some errors in each segment meet.
+
+Links are found for connection alone. Files under a key of up to SMALL meet all
+who ask. In a larger bucket each who asks is compared with the file of the largest
+shared part, mostly the text that the others were made of; what is then not in one
+component is compared in blocks of about BLOCK nodes, so that no candidate is left
+out but those that are connected already. Every link has the wanted similarity by
+the whole sets of shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import by_batch, fresh, materialize, raw_texts
+from segloom.llm.common import by_batch, by_bytes, fresh, materialize, raw_texts
 from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, BITS, SKETCH, SMALL, LONG, FEW, MARGIN, BROADCAST = 5, 0.8, 10, 256, 16, 7, 8, 0.06, 1_000_000
+SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 22, 1 << 22, 1 << 14, 1_000_000
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
-def features(words: list[bytes]) -> set[bytes]:
-    every = set(words)
-    longer = {w for w in every if len(w) >= LONG}
-    return longer if len(longer) >= FEW else every
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a text of fewer words, or none, is one shingle."""
+    from xxhash import xxh3_64_intdigest
 
-
-def hashes(words: list[bytes], shingle: int) -> np.ndarray:
-    """Sorted hashes of a text's distinct word shingles; a shorter text is one shingle, an empty one none."""
-    from xxhash import xxh32_intdigest
-
-    if not words:
-        return np.empty(0, np.int64)
-    flat, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    words = text.lower().split()
+    if len(words) <= shingle:
+        return np.array([xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    flat, n = b" ".join(words), len(words) - shingle + 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    h = np.fromiter((xxh32_intdigest(flat[a:b]) for a, b in zip(starts[:n].tolist(), ends[len(ends) - n :].tolist(), strict=True)), np.int64, n)
-    return np.unique(h)
+    return np.unique(np.fromiter((xxh3_64_intdigest(flat[a:b]) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, th (hash of the text), fp, m (distinct shingles), sketch (the least of them) for each row; a null text is as an empty one."""
+def shared(texts: DataFrame, ranges: int, whole: bool, shingle: int) -> DataFrame:
+    """th, m (shingles), own (those that no other of the texts has) and, if whole, held (the others) of texts(th, text), which are distinct.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from xxhash import xxh64_intdigest
-
-        fps, sizes, sketches = [], [], []
-        for text in raw_texts(batch):
-            words = text.lower().split()
-            h = np.array([xxh64_intdigest(w, 42) for w in features(words)], np.uint64)
-            fps.append(int(np.packbits(majority(h) * 2 > len(h), bitorder="little").view("<i8")[0]))
-            own = hashes(words, shingle)
-            sizes.append(len(own))
-            sketches.append((own[:SKETCH] - (1 << 31)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32()))], ["doc_id", "th", "fp", "m", "sketch"])
+    A range's hashes are compared by 32 bits unless whole: a text's own shingle
+    can be taken for a shared one by chance, never the other way round.
+    """
+    kind = np.dtype(np.uint64 if whole else np.uint32)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, SLICE):
+                sets = [hashes(x, shingle) for x in raw_texts(part)]
+                th, size = part.column(0).to_numpy(zero_copy_only=False), np.fromiter(map(len, sets), np.int64, len(sets))
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                at = ((flat >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                flat, owner, at = flat[order].astype(kind), owner[order], at[order]
+                run = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))  # of one text in one range
+                n, cut = np.diff(np.concatenate([run, [len(at)]])), np.flatnonzero(np.concatenate([[True], at[run][1:] != at[run][:-1]]))
+                stop = np.concatenate([cut[1:], [len(run)]])
+                ends = np.concatenate([run, [len(at)]])[stop]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(at[run[cut]]), pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(run)]]).astype(np.int32)), pa.array(th[owner[run]])),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(run)]]).astype(np.int32)), pa.array(n.astype(np.int32))), pa.array([flat[a:b].tobytes() for a, b in zip(run[cut].tolist(), ends.tolist(), strict=True)], pa.binary()),
+                    ],
+                    ["at", "ths", "ns", "hashes"],
+                )
+
+    def count(table: pa.Table) -> pa.Table:
+        ths, n = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("ths", "ns"))
+        flat = np.frombuffer(b"".join(table.column("hashes").to_pylist()), kind)
+        order = np.argsort(flat, kind="stable")
+        x = flat[order]
+        same = np.concatenate([[False], x[1:] == x[:-1], [False]])
+        alone = np.empty(len(x), bool)
+        alone[order] = ~(same[1:] | same[:-1])
+        first = np.cumsum(n) - n
+        own = np.add.reduceat(alone.astype(np.int64), first)
+        out = {"th": pa.array(ths), "m": pa.array(n.astype(np.int64)), "own": pa.array(own)}
+        if whole:
+            out["held"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - own)]).astype(np.int32)), pa.array(flat[~alone].view(np.int64)))
+        return pa.table(out)
+
+    schema = "th long, m long, own long" + (", held array<long>" if whole else "")
+    parts = texts.select("th", "text").mapInArrow(deal, "at long, ths array<long>, ns array<int>, hashes binary").groupBy("at").applyInArrow(count, schema)
+    sums = [F.sum("m").alias("m"), F.sum("own").alias("own")]
+    return parts.groupBy("th").agg(*sums, *([F.flatten(F.collect_list("held")).alias("held")] if whole else []))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(by_batch(run), "doc_id long, th long, fp long, m int, sketch array<int>")
+
+def fingerprints(held: list[np.ndarray]) -> np.ndarray:
+    """(texts, FPS) SimHashes of int64 hashes."""
+    out = np.empty((len(held), FPS), np.uint64)
+    for i, h in enumerate(held):
+        for j in range(FPS):
+            x = h.view(np.uint64) * np.uint64(_MIX[j])
+            x ^= x >> np.uint64(31)
+            out[i, j] = np.packbits(majority(x * np.uint64(_MIX[0])) * 2 > len(x), bitorder="little").view("<u8")[0]
+    return out
 
 
 def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
-    """key, th, fp, m: the keys under which nodes are filed (3 each), or ask (108 at most)."""
+    """key, th, m, s: the keys under which nodes(th, m, s, held) are filed (3 for each fingerprint), or ask (108 at most)."""
     made: list[Golay] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Golay())
-        x = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        cut = [made[0].indices((x >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)).astype(np.int64)[:, : 1 if filed else 6] for at, n in ((0, 22), (22, 21), (43, 21))]
+        held = batch.column(3)
+        flat, ends = held.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))])
+        fps = fingerprints([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
         keys = []
-        for a in range(3):
-            i, j = cut[a][:, :, None], cut[(a + 1) % 3][:, None, :]
-            keys.append(np.where((i < 0) | (j < 0), -1, a << 24 | i << 12 | j).reshape(len(x), -1))
+        for f in range(FPS):
+            x = fps[:, f]
+            cut = [made[0].indices((x >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)).astype(np.int64)[:, : 1 if filed else 6] for at, n in ((0, 22), (22, 21), (43, 21))]
+            for a in range(3):
+                i, j = cut[a][:, :, None], cut[(a + 1) % 3][:, None, :]
+                keys.append(np.where((i < 0) | (j < 0), -1, (f * 3 + a) << 24 | i << 12 | j).reshape(len(x), -1))
         keys = np.concatenate(keys, axis=1)
-        at = pa.array(np.repeat(np.arange(len(x)), (keys >= 0).sum(axis=1)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], ["key", "th", "fp", "m"])
+        at = pa.array(np.repeat(np.arange(len(fps)), (keys >= 0).sum(axis=1)))
+        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), *(batch.column(k).take(at) for k in range(3))], ["key", "th", "m", "s"])
+
+    return nodes.select("th", "m", "s", "held").mapInArrow(by_batch(run), "key int, th long, m long, s long")
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, m2: np.ndarray, similarity: float) -> np.ndarray:
+    """(len(a), len(b)) whether sets of m and m2 hashes, of which a and b are those to be shared, have the similarity."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(common), COLUMNS):  # a bounded piece of the two tables of sets at a time
+        part = common[at : at + COLUMNS]
+        x, y = (np.array([np.isin(part, h, assume_unique=True) for h in side], np.float32) for side in (a, b))
+        both += x @ y.T
+    return both >= similarity * (m[:, None] + m2[None, :] - both) - 1e-6
 
-    return nodes.select("th", "fp", "m").mapInArrow(by_batch(run), "key int, th long, fp long, m int")
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows are few enough for that."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
-def resemblance(a: str, b: str, size: int = SKETCH) -> F.Column:
-    """Share of shingles in both texts among the least of either's; two empty sketches are alike."""
-    least = f"slice(array_sort(array_union({a}, {b})), 1, {size})"
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, size(array_intersect({least}, array_intersect({a}, {b}))) / cast(greatest(1, size({least})) as double))")
+
+def _rest(met: DataFrame, roots: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links that connect members(key, th, filed, n, hub) of one bucket that have different roots, in blocks.
+
+    Those apart from the hub's component meet that component's members and each other.
+    """
+    r = small(materialize(roots.select(F.col("node").alias("th"), "root")))
+    named = met.join(r, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    hub_root = r.select(F.col("th").alias("hub"), F.col("root").alias("hub_root"))
+    named = named.join(hub_root, "hub", "left").withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub"))
+    sides = materialize(named.select("key", "th", "filed", "root", "apart"))
+    sizes = sides.groupBy("key").agg(F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).cast("int").alias("near")).filter("others > 0")
+    dealt = sides.join(small(sizes), "key").withColumn("b", F.expr("cast(pmod(xxhash64(th), if(apart, others, greatest(near, 1))) as int)"))
+    # block pairs: (0, other, near one) and (1, lesser other, greater other)
+    meets = F.expr("""if(apart, concat(if(near > 0, transform(sequence(0, near - 1), j -> struct(0 as kind, b as x, j as y)), array()),
+        transform(sequence(0, others - 1), j -> struct(1 as kind, least(b, j) as x, greatest(b, j) as y))), transform(sequence(0, others - 1), j -> struct(0 as kind, j as x, b as y)))""")
+    rows = dealt.select("key", "th", "filed", "root", "apart", "b", F.explode(meets).alias("p")).select("key", "p.*", "th", "filed", "root", "apart", "b")
+    rows = rows.join(nodes.select("th", "m", "held"), "th")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        th, root, m, b = (t.column(c).to_numpy() for c in ("th", "root", "m", "b"))
+        filed, apart = t.column("filed").to_numpy(), t.column("apart").to_numpy()
+        held = [np.asarray(x, np.int64) for x in t.column("held").to_pylist()]
+        first = apart if t.column("kind")[0].as_py() == 0 else b == t.column("x")[0].as_py()
+        second = ~apart if t.column("kind")[0].as_py() == 0 else b == t.column("y")[0].as_py()
+        i, j = np.flatnonzero(first), np.flatnonzero(second)
+        out, up = [], {x: x for x in np.unique(root).tolist()}
+        if len(i) and len(j):
+            ok = linked([held[k] for k in i], [held[k] for k in j], m[i], m[j], similarity) & (filed[i][:, None] | filed[j][None, :]) & (root[i][:, None] != root[j][None, :])
+
+            def top(x: int) -> int:
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for p, q in np.argwhere(ok).tolist():  # what connects components, once
+                x, y = top(int(root[i[p]])), top(int(root[j[q]]))
+                if x != y:
+                    up[x] = y
+                    out.append((int(th[i[p]]), int(th[j[q]])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "kind", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th, component_id for each row: the least doc_id of the texts that chains of links reach.
 
-    Null, empty and blank texts have no shingles and are alike. Repeated rows and
-    copies are one node. An empty table gives no rows.
+    Null, empty and blank texts are the same shingle and alike; a text of fewer
+    words than a shingle has is one. Repeated rows and copies are one node; a null
+    id is never the least. An empty table gives no rows; other columns are not read.
     """
-    rows = materialize(signatures(docs, id_col, text_col, shingle))
-    nodes = materialize(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("m").alias("m")))
-    files, asks = materialize(_keyed(nodes, True)), _keyed(nodes, False)
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= BITS
-    close = close & (F.least("m", "m2") >= similarity * F.greatest("m", "m2"))  # more can't be shared
-    pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = materialize(named.select("doc_id", "th", F.octet_length("text").alias("bytes")))
+    nodes = materialize(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")))
+    repeated = rows.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count() > 0
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """th, text once for each of the nodes(th, first)."""
+        s = small(some.select(F.col("th").alias("t"), "first"))
+        out = named.join(s, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("th", "text")
+        return out.dropDuplicates(["th"]) if repeated else out
+
+    def ranges(some: DataFrame) -> int:
+        return 1 + (some.agg(F.sum("bytes")).first()[0] or 0) // (6 * RANGE)  # six bytes a word
 
-    def small(df: DataFrame) -> DataFrame:
-        """df, to be broadcast if its rows are few enough for that."""
-        return F.broadcast(df) if df.count() <= BROADCAST else df
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("th")).unionByName(pairs.select(F.col("v").alias("th"))).distinct()
-        known = rows.select("th", "sketch").join(small(ends), "th", "left_semi").dropDuplicates(["th"])
-        both = pairs.join(known.select(F.col("th").alias("u"), F.col("sketch").alias("a")), "u").join(known.select(F.col("th").alias("v"), F.col("sketch").alias("b")), "v")
-        return both.filter(resemblance("a", "b") >= similarity).select("u", "v")
-
-    def odd_of(there: DataFrame) -> DataFrame:
-        """Those of the texts there that none of the others can resemble: too many of their shingles are theirs alone."""
-        shown = rows.select("th", "sketch").join(small(there), "th", "left_semi").dropDuplicates(["th"]).select("th", F.size("sketch").alias("size"), F.explode("sketch").alias("s"))
-        alone = shown.groupBy("s").agg(F.count("*").alias("n"), F.min("th").alias("th")).filter("n = 1").groupBy("th").agg(F.count("*").alias("own"))
-        spare = F.when(F.col("size") < SKETCH, 0.0).otherwise(MARGIN)  # a whole sketch tells exactly
-        return materialize(shown.groupBy("th").agg(F.first("size").alias("size")).join(alone, "th").filter(F.col("own") > F.col("size") * (1 - similarity + spare)).select("th"))
-
-    hot = materialize(files.groupBy("key").count().filter(F.col("count") > SMALL).select("key"))
-    odd = odd_of(materialize(asks.join(small(hot), "key", "left_semi").select("th").distinct()))
-    hot_files = files.join(hot, "key", "left_semi").join(odd, "th", "left_anti").select("key", "th", "fp", "m")
-    files = materialize(files.join(hot, "key", "left_anti").unionByName(hot_files))
-    # who asks, and one of those filed under the key
-    one = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("th", "fp", "m")).alias("o")).select("key", "n", F.col("o.th").alias("th2"), F.col("o.fp").alias("fp2"), F.col("o.m").alias("m2")))
-    links = materialize(verified(materialize(asks.join(one, "key").filter((F.col("th") != F.col("th2")) & close).select(*pair).distinct())))
+    might = F.col("own") <= (1 - similarity) * F.col("m") + 1e-9
+    first = shared(texts_of(nodes), ranges(nodes), False, shingle).filter(might).select("th")
+    left = materialize(nodes.join(first, "th"))
+    sets = materialize(shared(texts_of(left), ranges(left), True, shingle).filter(might).select("th", "m", (F.col("m") - F.col("own")).alias("s"), "held"))
+
+    def able(m: str, s: str, m2: str, s2: str) -> Column:
+        """More than either's shared part can't be in both."""
+        return F.least(s, s2) >= similarity / (1 + similarity) * (F.col(m) + F.col(m2)) - 1e-9
+
+    files = materialize(_keyed(sets, True))
+    buckets = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.max_by(F.struct("th", "m", "s"), F.struct(F.col("s") / F.col("m"), F.col("th"))).alias("hub")))
+    met = materialize(_keyed(sets, False).join(small(buckets), "key").filter((F.col("n") > 1) | (F.col("th") != F.col("hub.th"))))
+    pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
+    file2 = files.select("key", F.col("th").alias("th2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
+    few = met.filter(F.col("n") <= SMALL).join(file2, "key").filter(F.col("th") != F.col("th2"))
+    star = met.filter(F.col("n") > SMALL).select("th", "m", "s", F.col("hub.th").alias("th2"), F.col("hub.m").alias("m2"), F.col("hub.s").alias("s2")).filter(F.col("th") != F.col("th2"))
+    pairs = materialize(few.select("th", "m", "s", "th2", "m2", "s2").unionByName(star).filter(able("m", "s", "m2", "s2")).select(*pair).distinct())
+    side = lambda name, to: sets.select(F.col("th").alias(to), F.col("m").alias(f"m_{name}"), F.col("held").alias(name))
+    common = F.size(F.array_intersect("a", "b"))
+    links = materialize(pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter(common >= similarity * (F.col("m_a") + F.col("m_b") - common) - 1e-6).select("u", "v"))
     roots = materialize(components(links))
-    # the other files: those apart from that one meet all who ask, those connected to it meet who asks and is not
-    r = small(materialize(roots.select(F.col("node").alias("th"), "root")))
-    rooted = lambda df: df.join(r, "th", "left").withColumn("root", F.coalesce("root", "th"))
-    several = small(materialize(rooted(one.filter("n > 1").select("key", F.col("th2").alias("th"))).select("key", F.col("th").alias("one"), F.col("root").alias("ones"))))
-    rest = rooted(files.join(several, "key").filter("th != one")).select("key", (F.col("root") == F.col("ones")).alias("same"), F.col("th").alias("th2"), F.col("fp").alias("fp2"), F.col("m").alias("m2"), F.col("root").alias("root2"))
-    rest = materialize(rest)
-    who = rooted(asks.join(several.select("key", "ones"), "key")).withColumn("same", F.explode(F.expr("if(root != ones, array(false, true), array(false))"))).drop("ones")
-    odd = odd_of(materialize(who.join(small(rest.select("key", "same").distinct()), ["key", "same"], "left_semi").select("th").distinct()))
-    rest = small(materialize(rest.join(odd, rest.th2 == odd.th, "left_anti")))
-    pairs = materialize(who.join(rest, ["key", "same"]).filter((F.col("root") != F.col("root2")) & close).select(*pair).distinct())
-    roots = components(links.unionByName(verified(pairs)))
-    named = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "th").join(materialize(named.join(least, "root").select("th", "component_id")), "th")
+    hot = met.filter(F.col("n") > SMALL).select("key", "th", F.col("hub.th").alias("hub")).join(files.select("key", "th", F.lit(True).alias("f")), ["key", "th"], "left").select("key", "th", "hub", F.col("f").isNotNull().alias("filed"))
+    more = materialize(_rest(hot, roots, sets, similarity))
+    roots = components(links.unionByName(more))
+    whole = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    least = whole.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "th").join(materialize(whole.join(least, "root").select("th", "component_id")), "th")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -160,7 +257,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.withColumns({i: F.col(id_col).cast("long"), t: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     si, st = fresh(out, "__stay_id"), fresh(out, "__stay_th")
     s = stay.distinct().select(F.col("doc_id").alias(si), F.col("th").alias(st))
-    out = out.join(s, F.col(i).eqNullSafe(F.col(si)) & (F.col(t) == F.col(st)), "left_semi")
+    out = out.join(small(s), F.col(i).eqNullSafe(F.col(si)) & (F.col(t) == F.col(st)), "left_semi")
     if repeated:
         out = out.dropDuplicates([i, t])
     return out.drop(i, t)

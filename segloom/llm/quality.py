@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segloom.llm.common import by_batch, fresh, raw_texts
+from segloom.llm.common import Sent, by_batch, fresh, raw_texts
 
 DIM, PER_GRADE, STEMS, LEAST, ERRORS, GAP, KEEP, MEMO = 1 << 18, 3000, (4, 5), 3, 3.5, 0.5, 0.5, 400_000
 _STEPS = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
@@ -144,7 +144,7 @@ def with_grades(docs: DataFrame, model: Ordinal, text_col: str = "text", expecte
     Null is as the empty text, which has no features and gets the thresholds'
     own grade. Repeated rows get the same; an empty table stays empty.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
+    sent = Sent(docs.sparkSession, model)  # DIM weights
     schema = T.StructType([*docs.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
     text_at = docs.columns[docs.columns.index(text_col)]
     memo: dict[bytes, tuple[int, ...]] = {}

@@ -155,8 +155,29 @@ def test_near_copies(spark):
     assert near_copies.groups(docs.filter("false")).count() == 0
 
 
-def test_near_copies_connect_all_candidates(spark):
-    """Chains in which only neighbours resemble each other: groups are those of all candidates compared by brute force."""
+def links_of(texts):
+    """Brute force: the least number that chains of links at 0.8 reach, and the links."""
+    shingles = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    for i, j in links:
+        lo, hi = sorted((find(i), find(j)))
+        up[hi] = lo
+    return [find(i) for i in range(len(texts))], links
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_near_copies_in_chains(spark, many, monkeypatch):
+    """Chains in which only neighbours resemble each other, and a crowd of copies of one text that mostly don't: buckets of any size give the groups of brute force."""
+    if many:  # every bucket is a large one
+        monkeypatch.setattr(near_copies, "SMALL", 2)
+        monkeypatch.setattr(near_copies, "BLOCK", 7)
     rng = random.Random(8)
     vocab = [f"w{k}" for k in range(4000)]
     texts = []
@@ -166,28 +187,22 @@ def test_near_copies_connect_all_candidates(spark):
             at = rng.randrange(140)
             words = [*words[:at], *(rng.choice(vocab) for _ in range(8)), *words[at + 8 :]]
             texts.append(" ".join(words))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    nodes = near_copies.signatures(docs, "doc_id", "text", near_copies.SHINGLE).cache()
-    at = {r.th: (r.doc_id, r.fp & (1 << 64) - 1) for r in nodes.collect()}
-    filed = {}
-    for r in near_copies._keyed(nodes, True).collect():
-        filed.setdefault(r.key, []).append(r.th)
-    found = {(r.th, t) for r in near_copies._keyed(nodes, False).collect() for t in filed.get(r.key, []) if t != r.th}
-    shingles = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
-    up = list(range(len(texts)))
+    base = [rng.choice(vocab) for _ in range(160)]
+    texts += [" ".join(edited(base, rng, rng.choice([0.01, 0.02, 0.03]))) for _ in range(150)]
+    long = [rng.choice(vocab) for _ in range(6000)]
+    texts += [" ".join(long), " ".join(edited(long, rng, 0.015)), " ".join(edited(long, rng, 0.08))]
+    want, links = links_of(texts)
+    docs = spark.createDataFrame([(i, t, 1, "m", "s", "k") for i, t in enumerate(texts)], "doc_id long, text string, th long, __id string, root string, `key` string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
+    assert all(want[i] == want[c] for i, c in got.items())
+    stay = near_copies.one_of_each(docs)
+    assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(got.values()))
 
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for a, b in found:
-        (i, x), (j, y) = at[a], at[b]
-        if (x ^ y).bit_count() <= near_copies.BITS and len(shingles[i] & shingles[j]) >= near_copies.SIMILARITY * len(shingles[i] | shingles[j]):
-            lo, hi = sorted((find(i), find(j)))
-            up[hi] = lo
-    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+def test_near_copies_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "x y"), (4, "x y"), (5, None), (6, " "), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near_copies.one_of_each(docs).collect()) == [(False, 4), (False, 5), (True, 0)]
 
 
 @needs_tables
