@@ -189,11 +189,12 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", share: int = 20, **at) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated."""
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", share: int | None = None, **at) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs; with a share, those of whose words less than one in `share` are hit."""
     n, found = fresh(docs, "__n_words"), fresh(docs, "__matches")
     rows = with_matches(docs, bench, text_col, n_words=n, found=found, **at)
-    keep = ~((covered(found) > 0) & (share * covered(found) >= F.col(n)))
+    hit = covered(found)
+    keep = hit == 0 if share is None else ~((hit > 0) & (share * hit >= F.col(n)))
     return rows.filter(keep).drop(n, found)
 
 
