@@ -21,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth lie in benchmark passages."""
+    """Documents without any window of the benchmark: 13 words of an item, or a shorter item whole."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
