@@ -246,20 +246,54 @@ def test_sharding(spark, rows):
     assert len(sizes) == 8 and max(sizes) < 1.02 * min(sizes)
 
 
+def plain_packing(sizes, capacity):
+    """Best fit decreasing, one item after the other: a sorted list of (size, bin)."""
+    left, out = [], []
+    for n in sorted(sizes, reverse=True):
+        fits = [(c, b) for b, c in enumerate(left) if c >= n]
+        if not fits:
+            left.append(max(capacity, n))
+            fits = [(left[-1], len(left) - 1)]
+        out.append((n, min(fits)[1]))
+        left[min(fits)[1]] -= n
+    return sorted(out), len(left)
+
+
 def test_packing_is_best_fit_decreasing():
     rng = random.Random(0)
     for _ in range(50):
-        items = [(k, rng.randint(1, 60)) for k in range(rng.randint(1, 60))]
-        got, bins = sharding.pack(items, 64)
-        left = []
-        for k, n in sorted(items, key=lambda x: (-x[1], str(x[0]))):
-            fits = [(c, b) for b, c in enumerate(left) if c >= n]
-            if not fits:
-                left.append(64)
-                fits = [(64, len(left) - 1)]
-            assert got[k] == min(fits)[1]
-            left[min(fits)[1]] -= n
-        assert bins == len(left)
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 80))]
+        want, bins = plain_packing(sizes, 50)
+        got = sharding.pack(list(collections.Counter(sizes).items()), 50)
+        assert sorted((s, b) for s, n, b in got for _ in range(n)) == want and len({b for _, _, b in got}) == bins
+
+
+def test_shards_are_the_plain_packing_of_whole_groups(spark):
+    rng = random.Random(1)
+    texts = ["x" * rng.randint(0, 300) + str(rng.randint(0, 40)) for _ in range(900)] + ["hot " * 60] * 120 + [None, "", None]
+    rows = [(None if k % 50 == 0 else k % 700, t) for k, t in enumerate(texts)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 8).collect()
+    size = collections.Counter()
+    for t in texts:
+        size[t or ""] += len(t or "") + 16
+    at = collections.defaultdict(set)
+    for r in got:
+        at[r.text_crc32, r.size].add(r.shard)
+    assert len(got) == len(texts) and all(len(x) == 1 for x in at.values())  # groups are whole
+    runs = list(collections.Counter(size.values()).items())
+    share = sum(size.values()) / 8
+    assert size["hot " * 60] > share  # has a shard to itself, the others share the rest
+    (own,) = at[zlib.crc32(b"hot " * 60), 256]
+    assert {r.text_crc32 for r in got if r.shard == own} == {zlib.crc32(b"hot " * 60)}
+    bins = sharding.pack_into(runs, 8)
+    capacity = max(sum(s * n for s, n, b in bins if b == k) for k in range(1, 8))
+    want, _ = plain_packing(list(size.values()), capacity)
+    sums = collections.Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert sorted(sums.values()) == sorted(sum(n for n, b in want if b == k) for k in range(8))
+    others = sorted(v for k, v in sums.items() if k != own)
+    assert others[-1] < 1.02 * others[0]
 
 
 def test_imatch(spark, rows):
