@@ -6,16 +6,17 @@ taken, so their predecessors are dealt to their own buckets in one stable sort b
 letter. A predecessor in the same bucket waits for the bucket's next round; the
 rounds are as many as the longest run of the letter.
 
-Names of the reduced string that are few are sorted by the same routine again;
-over NAMES of them buckets would hold a suffix or two, and ranks of doubled length
-sort it instead.
+The reduced string is sorted by the same routine, to any depth. It can have very
+many names, whose buckets would hold a suffix or two; so each name over LETTERS is
+written as two or more letters of a smaller alphabet, in a fixed width. That keeps
+the order of the suffixes that begin with a name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-NAMES = 1 << 11
+LETTERS = 1 << 11
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -25,75 +26,60 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.repeat(np.concatenate([s[change] < s[change + 1], [True]]), run)
 
 
-def _deal(queues: list[list[np.ndarray]], at: np.ndarray, s: np.ndarray, own: int) -> np.ndarray:
-    """Appends suffixes to their letters' queues in order; gives those of the letter `own`."""
+def _deal(out: np.ndarray, next_: np.ndarray, step: int, at: np.ndarray, s: np.ndarray) -> None:
+    """Puts suffixes in order into their letters' buckets, from next_ on upward (step 1) or downward (-1)."""
     if not len(at):
-        return at
+        return
     letter = s[at]
     order = np.argsort(letter, kind="stable")
     at, letter = at[order], letter[order]
     cut = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
-    same = at[:0]
-    for b, e in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
-        c = int(letter[b])
-        if c == own:
-            same = at[b:e]
-        else:
-            queues[c].append(at[b:e])
-    return same
+    size, of = np.diff(np.concatenate([cut, [len(at)]])), letter[cut]
+    out[np.repeat(next_[of] - step * cut, size) + step * np.arange(len(at))] = at
+    next_[of] += step * size
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, letters: int) -> np.ndarray:
     """All suffixes in order (by their induced part) from the leftmost-smaller ones in order."""
     first = np.searchsorted(s[lms], np.arange(letters + 1))  # lms is sorted by letter at least
-    queues: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    large: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    none = np.empty(0, lms.dtype)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=letters))])
+    end = begin[1:] - 1
+    head, out = begin[:-1].copy(), np.empty(len(s), np.int32)
     for c in range(letters):
-        todo = queues[c]
-        queues[c] = []
-        chunk = np.concatenate(todo) if todo else none
-        while len(chunk):
-            large[c].append(chunk)
+        at = begin[c]
+        while at < head[c]:  # what the bucket gets from itself comes in the next round
+            chunk, at = out[at : head[c]], head[c]
             before = chunk[chunk > 0] - 1
-            chunk = _deal(queues, before[~is_s[before]], s, c)
+            _deal(out, head, 1, before[~is_s[before]], s)
         star = lms[first[c] : first[c + 1]]
-        if len(star):
-            _deal(queues, star[star > 0] - 1, s, -1)
-    small: list[list[np.ndarray]] = [[] for _ in range(letters)]
-    out: list[np.ndarray] = []
+        _deal(out, head, 1, star[star > 0] - 1, s)
+    tail = end.copy()
     for c in range(letters - 1, -1, -1):
-        todo = small[c]
-        small[c] = []
-        got: list[np.ndarray] = []
-        chunk = np.concatenate(todo) if todo else none
+        at = end[c]
         if c == 0:  # the end mark
-            chunk = np.array([len(s) - 1], lms.dtype)
-        while len(chunk):
-            got.append(chunk)
+            out[0], tail[0] = len(s) - 1, tail[0] - 1
+        while at > tail[c]:
+            chunk, at = out[tail[c] + 1 : at + 1][::-1], tail[c]
             before = chunk[chunk > 0] - 1
-            chunk = _deal(small, before[is_s[before]], s, c)
-        larger = np.concatenate(large[c])[::-1] if large[c] else none
-        if len(larger):
-            before = larger[larger > 0] - 1
-            _deal(small, before[is_s[before]], s, -1)
-        out += [*got, larger]
-    return np.concatenate(out)[::-1]
-
-
-def _by_doubling(r: np.ndarray) -> np.ndarray:
-    """Suffix array of names by ranks of doubled length."""
-    n, k = len(r), 1
-    r = r.astype(np.int64)
-    while True:
-        second = np.concatenate([r[k:] + 1, np.zeros(min(k, n), np.int64)])
-        key = r * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        if rank[order[-1]] == n - 1:
-            return order
-        r, k = rank, k * 2
+            _deal(out, tail, -1, before[is_s[before]], s)
+        larger = out[begin[c] : head[c]][::-1]
+        before = larger[larger > 0] - 1
+        _deal(out, tail, -1, before[is_s[before]], s)
+    return out
+
+
+def _reduced(names: np.ndarray, count: int) -> np.ndarray:
+    """Suffix array of a reduced string of `count` names; the last one is 0."""
+    if count <= LETTERS:
+        return suffix_array(names, count)
+    width = 2
+    while LETTERS**width < count:
+        width += 1
+    base = int(np.ceil(count ** (1 / width))) + 1
+    powers = base ** np.arange(width - 1, -1, -1, dtype=np.int64)
+    s = np.concatenate([(names[:-1, None] // powers % base + 1).ravel(), [0]]).astype(np.int32)
+    sa = suffix_array(s, base + 1)
+    return sa[sa % width == 0] // width
 
 
 def _names(s: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -129,9 +115,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         name = np.empty(len(s), np.int64)
         name[order] = np.cumsum(new) - 1
         if not new.all():
-            reduced = name[lms]
-            count = int(new.sum())
-            order = lms[suffix_array(reduced, count) if count <= NAMES and len(reduced) > 1 else _by_doubling(reduced)]
+            order = lms[_reduced(name[lms], int(new.sum()))]
     return _induce(s, is_s, order, letters)
 
 

@@ -95,8 +95,8 @@ def test_decontamination_in_blocks(spark, rows, monkeypatch):
 
 def test_suffix_arrays():
     rng = random.Random(1)
-    for names in (1 << 11, 2, 0):
-        suffix_array.NAMES = names
+    for names in (1 << 11, 16):
+        suffix_array.LETTERS = names
         for k in range(300):
             b = bytes(rng.randint(1, rng.choice([1, 2, 3, 200])) for _ in range(rng.randint(0, 60))) * (rng.randint(1, 4) if k % 3 == 0 else 1) + b"\0"
             s = np.frombuffer(b, np.uint8)
@@ -106,7 +106,21 @@ def test_suffix_arrays():
             for x, y in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
                 n = next(n for n in range(len(b)) if b[x + n : x + n + 1] != b[y + n : y + n + 1])
                 assert p[x] == n
-    suffix_array.NAMES = 1 << 11
+    suffix_array.LETTERS = 1 << 11
+
+
+def test_induced_sorting_recurses_at_any_size(monkeypatch):
+    """A shard's reduced string has far more names than letters: it is sorted by the same routine, on strings that get shorter."""
+    calls, sort = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda s, n: (calls.append((len(s), n)), sort(s, n))[1])
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(2, 28, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    text = b"\1".join(words[k] for k in rng.integers(0, 3000, 30_000))
+    s = np.frombuffer(text + text[50_000:90_000] + b"\0", np.uint8)
+    sa = suffix_array.suffix_array(s, 28)
+    assert len(calls) > 3 and all(a[0] > b[0] for a, b in zip(calls, calls[1:], strict=False)) and all(n <= suffix_array.LETTERS for _, n in calls)
+    raw = s.tobytes()
+    assert np.array_equal(np.sort(sa), np.arange(len(s))) and all(raw[a : a + 50_000] < raw[b : b + 50_000] for a, b in zip(sa[:-1:37].tolist(), sa[1::37].tolist(), strict=False))
 
 
 def removed(rows, length):
