@@ -68,8 +68,8 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, letters: int) -> n
     return out
 
 
-def _reduced(names: np.ndarray, count: int) -> np.ndarray:
-    """Suffix array of a reduced string of `count` names; the last one is 0."""
+def of_names(names: np.ndarray, count: int) -> np.ndarray:
+    """Suffix array of a string of names below `count`, however many; the last one is 0, and no other is."""
     if count <= LETTERS:
         return suffix_array(names, count)
     width = 2
@@ -115,7 +115,7 @@ def suffix_array(s: np.ndarray, letters: int) -> np.ndarray:
         name = np.empty(len(s), np.int64)
         name[order] = np.cumsum(new) - 1
         if not new.all():
-            order = lms[_reduced(name[lms], int(new.sum()))]
+            order = lms[of_names(name[lms], int(new.sum()))]
     return _induce(s, is_s, order, letters)
 
 

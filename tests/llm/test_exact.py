@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -82,7 +83,52 @@ def test_decontamination(spark, rows):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     kept = decontamination.decontaminate(docs_of(spark, rows), bench)
     assert kept.columns == docs_of(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[2])
+    share = decontamination.decontaminate(docs_of(spark, rows), bench, share=20)
+    assert sorted(r.doc_id for r in share.collect()) == sorted(w[0] for w in want if not w[5])
+
+
+def test_suffix_search_finds_longest_matches():
+    """Every suffix of the block has its longest match in the shard, and every text its longest ones, against plain loops."""
+    rng = random.Random(3)
+    for k in range(60):
+        vocab = [f"w{i}" for i in range(rng.choice([1, 2, 5, 40]))]
+        draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+        items = [draw(rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
+        texts = [[*draw(rng.randint(0, 15)), "other", *rng.choice(items), *draw(rng.randint(0, 9))] for _ in range(5)] + [[], draw(30)]
+        t = decontamination.Tests([(str(i), " ".join(x).encode()) for i, x in enumerate(items)], 4)
+        w = decontamination.Words([" ".join(x).encode() for x in texts])
+        found, names, longest = decontamination.search(w, t)
+        least = min(min(len(x), 4) for x in items)
+
+        def match(x, i, y, j):
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            return n
+
+        places = [(a, b) for a, x in enumerate(texts) for b in range(len(x))]
+        plain = [max((n for n in (match(x, j, texts[a], b) for a, b in places) if n), default=0) for x in items for j in range(len(x))]
+        assert all(n == m or (n < m < least) for n, m in zip(longest.tolist(), plain, strict=True)), k
+        for a, x in enumerate(texts):
+            at = [max((n for i, y in enumerate(items) for j in range(len(y)) if (n := match(x, b, y, j)) >= min(4, len(y)) and (j == 0 or len(y) > 4 or n >= 4)), default=0) for b in range(len(x))]
+            want = [(b, n) for b, n in enumerate(at) if n and all(b + n > c + m for c, m in enumerate(at[:b]))]
+            assert [(b, n) for b, n, _, _ in found[a]] == want
+            for b, n, i, o in found[a]:
+                assert items[int(i)][o : o + n] == x[b : b + n]
+            assert names[a] == sorted(str(i) for i, y in enumerate(items) if any(y[j : j + min(4, len(y))] == x[b : b + min(4, len(y))] for j in range(len(y) - min(4, len(y)) + 1) for b in range(len(x))))
+
+
+def test_repeated_words_make_no_pairs():
+    """A text of one word against an item of it: the search's rows are places, not places times windows."""
+    took = []
+    for n in (10_000, 40_000):
+        t = decontamination.Tests([("1", b"so " * 2000)])
+        began = time.time()
+        found, names, _ = decontamination.search(decontamination.Words([b"so " * n]), t)
+        took.append(time.time() - began)
+        assert names == [["1"]] and found[0][0][:2] == (0, 2000) and max(a + k for a, k, _, _ in found[0]) == n
+    assert took[1] < 10 * took[0] + 1
 
 
 def test_decontamination_in_blocks(spark, rows, monkeypatch):
