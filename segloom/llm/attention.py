@@ -1,8 +1,9 @@
 """A causal self-attention language model over units, trained and applied in numpy.
 
-Units are the more frequent subword ids and one for all others. A place's input
-is the sum of the embeddings of the two units before it and of its place in the
-window; one attention layer and one feed-forward layer, both with a residual,
+Ids are numbered by frequency. What is predicted is a unit: one of the UNITS - 1
+most frequent ids, or that it is another one. What is seen is finer: the INPUTS - 1
+most frequent ids have embeddings of their own. A place's input is the sum of the
+embeddings of the two ids before it and of its place in the window; one attention layer and one feed-forward layer, both with a residual,
 give a state. The next unit's probability is that of its class times that of the
 unit in its class, two softmaxes of about the root of the number of units.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-T, STEP, DIM, HIDDEN, CLASSES, UNITS = 32, 28, 24, 32, 32, 1024
+T, STEP, DIM, HIDDEN, CLASSES, UNITS, INPUTS = 32, 28, 24, 32, 32, 1024, 4096
 _MASK = np.tril(np.ones((T, T), np.float32))
 
 
@@ -28,7 +29,7 @@ class Attention:
         normal = lambda *s, by=1.0: (rng.standard_normal(s) * by / np.sqrt(s[-2])).astype(np.float32)
         p = unigram.reshape(CLASSES, size) + 1e-9
         self.p = {
-            "e1": normal(UNITS + 1, DIM, by=0.3 * np.sqrt(UNITS + 1)), "e2": normal(UNITS + 1, DIM, by=0.3 * np.sqrt(UNITS + 1)), "at": np.zeros((T, DIM), np.float32),
+            "e1": normal(INPUTS + 1, DIM, by=0.3 * np.sqrt(INPUTS + 1)), "e2": normal(INPUTS + 1, DIM, by=0.3 * np.sqrt(INPUTS + 1)), "at": np.zeros((T, DIM), np.float32),
             "q": normal(DIM, DIM), "k": normal(DIM, DIM), "v": normal(DIM, DIM), "o": normal(DIM, DIM, by=0.3),
             "w1": normal(DIM, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": normal(HIDDEN, DIM, by=0.3),
             "c": normal(DIM, CLASSES, by=0.1), "cb": np.log(p.sum(axis=1)).astype(np.float32),
@@ -36,7 +37,7 @@ class Attention:
         }
 
     def states(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """(n, T, DIM) states from (n, T + 1) units: x[:, t + 1] is what place t predicts, x[:, t] and x[:, t - 1] what it sees."""
+        """(n, T, DIM) states from (n, T + 1) inputs: x[:, t + 1] is what place t predicts, x[:, t] and x[:, t - 1] what it sees."""
         p = self.p
         n = len(x)
         seen = x[:, :T]
@@ -108,7 +109,7 @@ class Attention:
         p, keep, g = self.p, {}, {}
         h2 = self.states(x, keep)
         at = np.flatnonzero(counted.ravel())
-        loss = -float(self.log_probs(h2[at], x[:, 1:].ravel()[at], g).mean())
+        loss = -float(self.log_probs(h2[at], targets(x[:, 1:].ravel()[at]), g).mean())
         dh = np.zeros_like(h2)
         dh[at] = g.pop("h")
         n = len(x)
@@ -156,6 +157,11 @@ class Attention:
         return float(np.mean(losses[-50:]))
 
 
+def targets(x: np.ndarray) -> np.ndarray:
+    """Units of inputs."""
+    return np.minimum(x, UNITS - 1)
+
+
 def window_places(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and number in it of each window over texts of units, one after the other. begins: where each text begins, and the end."""
     n = np.diff(begins)
@@ -165,13 +171,13 @@ def window_places(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(units: np.ndarray, begins: np.ndarray, text: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, T + 1) units of windows and which of their T places are scored.
+    """(n, T + 1) inputs of windows and which of their T places are scored.
 
-    The unit UNITS stands before a text and pads its last window; no window
+    The input INPUTS stands before a text and pads its last window; no window
     reaches into another text.
     """
     first, end = begins[text][:, None], begins[text + 1][:, None]
     place = first + (number.astype(np.int64) * STEP)[:, None] + np.arange(-1, T)
     inside = (place >= first) & (place < end)
-    x = np.where(inside, units[np.clip(place, 0, max(len(units) - 1, 0))], UNITS)
+    x = np.where(inside, units[np.clip(place, 0, max(len(units) - 1, 0))], INPUTS)
     return x, inside[:, 1:] & ((np.arange(T) >= T - STEP) | (number == 0)[:, None])

@@ -3,16 +3,25 @@
 Words are runs without blanks, ASCII folded to lower case; a text ends with one
 more token. A public byte-level vocabulary gives the subword ids of " " + word,
 so that ids tell words and spaces apart and no text is out of vocabulary. The
-attention model (attention.py) predicts units: the UNITS - 1 most frequent ids in
-training, and one for the others, whose own probabilities are add-half shares.
+attention model (attention.py) sees the INPUTS most frequent ids in training one by
+one and predicts units: the UNITS - 1 most frequent ids, and one for the others,
+whose own probabilities are add-half shares.
+
+The score mixes two models of the next word: the network's, the product of its
+subwords, and the add-half share of the words seen in training. A text's
+probability is the mean of those that the mixes with each of WEIGHTS give it, so
+each text has the weight that suits it at the price of one choice.
 
 Training: all training texts are counted, words and ids. A seed of SEED_WINDOWS
-windows sets the model up on the driver; then each task refines it on all windows
-of the training texts it holds, and the parameters are averaged by windows.
+windows sets the network up on the driver; then it is refined on all windows of all
+training texts, in shards of about SHARD texts that a hash of the row makes, each in
+the order of the hash, and the parameters are averaged by windows. So the model
+depends on the rows and not on how files or partitions hold them.
 
 Scoring walks whole texts in overlapping windows. The TOP most frequent words
 have their counts on the executors; the others, few in each text but without
-bound in all, meet the count table in a join by their XXH64.
+bound in all, meet the count table in a join by their XXH64, with the network's
+probability of each, and are mixed there.
 """
 
 from __future__ import annotations
@@ -25,19 +34,21 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segloom.llm import attention
-from segloom.llm.attention import T, UNITS, Attention, window_places, windows
+from segloom.llm.attention import INPUTS, STEP, T, UNITS, Attention, targets, window_places, windows
 from segloom.llm.common import Sent, by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SLICE, MEMO, PIECE, COUNTED = 1 << 18, 24_000, 3000, 1 << 20, 150_000, 1 << 22, 1 << 23
+TOP, SEED_WINDOWS, STEPS, SHARD, SLICE, MEMO, PIECE, COUNTED, WEIGHTS = 1 << 18, 24_000, 3000, 8192, 1 << 20, 150_000, 1 << 22, 1 << 23, (0.1, 0.3, 0.5, 0.7, 0.9)
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+_LN10 = float(np.log(10))
+
+
 class Subwords:
     """Ids of words by a rank file; the id after the last ends a text."""
 
@@ -103,17 +114,18 @@ def count_ids(words: DataFrame, ranks) -> dict[int, int]:
 
 
 class Units:
-    """Units of ids, and log probabilities of the ids that share the last unit."""
+    """Inputs of ids by frequency, log probabilities of the ids that share the last unit, and shares of the units."""
 
     def __init__(self, counts: dict[int, int], ids: int) -> None:
         c = np.zeros(ids, np.int64)
         c[list(counts)] = list(counts.values())
         order = np.argsort(-c, kind="stable")
-        self.of = np.full(ids, UNITS - 1, np.int32)
-        self.of[order[: UNITS - 1]] = np.arange(UNITS - 1)
+        self.of = np.empty(ids, np.int32)
+        self.of[order] = np.minimum(np.arange(ids), INPUTS - 1)
+        unit = targets(self.of)
         rest = c[order[UNITS - 1 :]].sum()
-        self.tail = np.where(self.of == UNITS - 1, np.log((c + 0.5) / (rest + 0.5 * max(1, ids - UNITS + 1))), 0.0)
-        self.share = np.bincount(self.of, weights=c, minlength=UNITS) + 0.5
+        self.tail = np.where(unit == UNITS - 1, np.log((c + 0.5) / (rest + 0.5 * max(1, ids - UNITS + 1))), 0.0)
+        self.share = np.bincount(unit, weights=c, minlength=UNITS) + 0.5
         self.share /= self.share.sum()
 
 
@@ -185,36 +197,35 @@ class Reader:
         return words, ids, np.concatenate([[0], upto[ends]])
 
 
-def score_units(model: Attention, units: np.ndarray, begins: np.ndarray, at_once: int = 128, together: int = 4) -> np.ndarray:
-    """Natural log of the probability of each text's units; each unit is scored in one window.
+def score_units(model: Attention, inputs: np.ndarray, begins: np.ndarray, at_once: int = 128, together: int = 4) -> np.ndarray:
+    """Natural log of the probability of each unit of the texts; each is scored in one window.
 
     States are worked out for at_once windows, which stay in a core's cache, and scored for some times as many.
     """
     text, number = window_places(begins)
-    out = np.zeros(len(begins) - 1)
+    out = np.zeros(len(inputs))
     for a in range(0, len(text), at_once * together):
-        hs, ys, ts = [], [], []
+        hs, ys, places = [], [], []
         for b in range(a, min(a + at_once * together, len(text)), at_once):
-            t = text[b : b + at_once]
-            x, scored = windows(units, begins, t, number[b : b + at_once])
+            t, n = text[b : b + at_once], number[b : b + at_once]
+            x, scored = windows(inputs, begins, t, n)
             at = np.flatnonzero(scored)
             hs.append(model.states(x).take(at, axis=0))
-            ys.append(x[:, 1:].ravel().take(at))
-            ts.append(t.take(at // T))
-        lp = model.log_probs(np.concatenate(hs), np.concatenate(ys))
-        out += np.bincount(np.concatenate(ts), weights=lp, minlength=len(out))
+            ys.append(targets(x[:, 1:].ravel().take(at)))
+            places.append((begins[t] + n.astype(np.int64) * STEP)[at // T] + at % T)
+        out[np.concatenate(places)] = model.log_probs(np.concatenate(hs), np.concatenate(ys))
     return out
 
 
-def _sample(docs: DataFrame, share: float, salt: int) -> DataFrame:
-    return docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
+def _hash(docs: DataFrame, salt: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(salt))
 
 
 def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
-    """docs: training rows doc_id, text; total: their units. Seeded on the driver, refined over the cluster."""
+    """docs: training rows doc_id, text; total: their subwords. Seeded on the driver, refined over the cluster."""
     spark = docs.sparkSession
     model = Attention(units.share)
-    expected = max(1.0, total / attention.STEP)
+    expected = max(1.0, total / STEP)
     sent = Sent(spark, units)
     thin = min(1.0, SEED_WINDOWS / expected)
     of_docs = min(1.0, 8 * thin)  # many texts, some windows of each
@@ -225,31 +236,47 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
             for part in by_bytes(batch, SLICE):
                 _, ids, begins = reader.read(raw_texts(part))
                 text, number = window_places(begins)
-                keep = np.random.default_rng(len(ids)).random(len(text)) < thin / of_docs
+                h = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)[text] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                keep = (h >> np.uint64(32)).astype(np.float64) < thin / of_docs * 2.0**32
                 x, scored = windows(sent.value.of[ids], begins, text[keep], number[keep])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.int16)], pa.binary()), pa.array([r.tobytes() for r in scored], pa.binary())], ["x", "scored"])
 
-    got = sorted((bytes(r[0]), bytes(r[1])) for r in _sample(docs, of_docs, 1).select("text").mapInArrow(seed, "x binary, scored binary").collect())
+    sample = docs.filter(F.pmod(_hash(docs, 1), F.lit(1 << 30)) < int(of_docs * (1 << 30)))
+    got = sorted((bytes(r[0]), bytes(r[1])) for r in sample.select("text", _hash(docs, 2).alias("h")).mapInArrow(seed, "x binary, scored binary").collect())
     x = np.frombuffer(b"".join(r[0] for r in got), np.int16).reshape(-1, T + 1).astype(np.int32)
     model.train(x, np.frombuffer(b"".join(r[1] for r in got), bool).reshape(-1, T), min(STEPS, len(x) // 4))
     start = Sent(spark, model)
     names = sorted(model.p)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own, n = Reader(ranks.value), None, 0
+        reader, shard, own, n, texts, size = Reader(ranks.value), None, None, 0, [], 0
+
+        def learn() -> int:
+            _, ids, begins = reader.read(texts)
+            x, scored = windows(sent.value.of[ids], begins, *window_places(begins))
+            own.train(x, scored, None, rate=1e-3, seed=len(x))
+            return len(x)
+
+        def made() -> pa.RecordBatch:
+            flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
+            return pa.RecordBatch.from_arrays([pa.array([shard % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
+
         for batch in batches:
-            for part in by_bytes(batch, SLICE):
-                _, ids, begins = reader.read(raw_texts(part))
-                text, number = window_places(begins)
-                x, scored = windows(sent.value.of[ids], begins, text, number)
-                if own is None:
-                    own = Attention(sent.value.share)
+            for s, text in zip(batch.column(1).to_pylist(), raw_texts(batch), strict=True):
+                if texts and (s != shard or size + len(text) > SLICE):
+                    n += learn()
+                    texts, size = [], 0
+                if s != shard:
+                    if own is not None:
+                        yield made()
+                    shard, n, own = s, 0, Attention(sent.value.share)
                     own.p = {k: v.copy() for k, v in start.value.p.items()}
-                own.train(x, scored, None, rate=1e-3, seed=len(x))
-                n += len(x)
-        if n:
-            flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
+                texts.append(text)
+                size += len(text)
+        if own is not None:
+            n += learn()
+            yield made()
 
     def total_of(rows: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
         n, w = 0, 0.0
@@ -262,7 +289,9 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
         n, w = total_of(rows)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([n]), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
 
-    tuned = docs.select("text").mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
+    dealt = docs.select("text", F.pmod(_hash(docs, 3), F.lit(1 + docs.count() // SHARD)).alias("shard"), _hash(docs, 4).alias("h"))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "h").select("text", "shard")
+    tuned = dealt.mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
     n, w = total_of([pa.RecordBatch.from_pylist([r.asDict()]) for r in sorted(tuned.collect(), key=lambda r: r[0])])  # 64 rows at most
     if n:
         at = 0
@@ -272,12 +301,23 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     return model
 
 
+def word_sums(values: np.ndarray, words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Sums over each word's subwords, of texts one after the other."""
+    n = size.take(np.concatenate(words))
+    return np.add.reduceat(values, np.cumsum(n) - n)
+
+
+def mixed(net: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """(WEIGHTS, words) log10 probabilities of words from the network's and their shares' (-inf for none)."""
+    return np.array([np.logaddexp(net * _LN10 + np.log(w), share * _LN10 + np.log(1 - w)) / _LN10 for w in WEIGHTS])
+
+
 def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns where held_out is not true.
 
     base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens, score is the
-    model's log10 probability. A null or empty text is its end alone. Repeated
-    rows get the same answer. Without training rows N and V are 0 and the model
+    mix's log10 probability. A null or empty text is its end alone. Repeated
+    rows get the same answer. Without training rows N and V are 0 and the network
     is as it starts. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
@@ -294,9 +334,9 @@ def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc
     counts[size] = texts
     units = Units(counts, size + 1)
     model = train(learn, ranks, units, sum(counts.values()))
-    sent = Sent(spark, (model, units, Common(common_words(words), Subwords(ranks.value))))  # TOP words at most and the parameters
+    common = Common(common_words(words), Subwords(ranks.value))
     log_all = float(np.log10(n + 0.5 * (v + 1)))
-    end_base = float(np.log10(texts + 0.5)) - log_all
+    sent = Sent(spark, (model, units, common))  # TOP words at most and the parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, units, common = sent.value
@@ -305,36 +345,48 @@ def score(docs: DataFrame, ranks_path: str, held_out: Column, id_col: str = "doc
             for part in by_bytes(batch, SLICE):
                 texts_ = raw_texts(part)
                 words_, ids, begins = reader.read(texts_)
-                total = score_units(model, units.of[ids], begins)
-                total += np.add.reduceat(units.tail[ids], begins[:-1])
-                count, hash_ = reader.count, reader.hash
-                base, known, rare = [], [], []
-                for w in words_:
-                    w = w[:-1]
-                    c = count[w]
-                    base.append(end_base + float((np.log10(c[c >= 0] + 0.5) - log_all).sum()))
-                    known.append(int((c >= 0).sum()) + int(texts > 0))
-                    h, m = np.unique(hash_[w[c < 0]], return_counts=True)
-                    rare.append([{"h": a, "m": b} for a, b in zip(h.tolist(), m.tolist(), strict=True)])
-                kind = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))
+                net = word_sums(score_units(model, units.of[ids], begins) + units.tail[ids], words_, reader.size) / _LN10
+                every = np.concatenate(words_)
+                c = reader.count[every].astype(np.float64)
+                ends = np.cumsum([len(w) for w in words_])
+                first = np.concatenate([[0], ends[:-1]])
+                c[ends - 1] = texts
+                base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5) - log_all, 0.0)
+                sure = np.where(c < 0, 0.0, mixed(net, np.where(c > 0, base, -np.inf)))
+                at = np.flatnonzero(c < 0)
+                kind = pa.struct([("h", pa.int64()), ("p", pa.float64())])
+                pairs = pa.StructArray.from_arrays([pa.array(reader.hash[every[at]]), pa.array(net[at])], fields=list(kind))
+                scores = np.add.reduceat(sure, first, axis=1).T
+                scores = pa.FixedSizeListArray.from_arrays(pa.array(scores.ravel()), len(WEIGHTS)).cast(pa.list_(pa.float64()))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.concatenate([first, ends[-1:]])).astype(np.int32)), pairs)
+                sums = lambda x: pa.array(np.add.reduceat(x, first))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([zip_hash(x) for x in texts_], pa.int64()), pa.array([len(w) for w in words_], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total / np.log(10)), pa.array(rare, kind)],
-                    ["doc_id", "held_out", "text_hash", "n_tokens", "known", "base", "score", "rare"],
+                    [part.column(0), part.column(1), pa.array([zip_hash(x) for x in texts_], pa.int64()), pa.array(np.diff(np.concatenate([[0], ends]))), sums((c > 0).astype(np.int64)), sums(base), scores, lists],
+                    ["doc_id", "held_out", "text_hash", "n_tokens", "known", "base", "scores", "rare"],
                 )
 
-    done = materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, text_hash long, n_tokens long, known long, base double, score double, rare array<struct<h:long,m:long>>"))
+    done = materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, text_hash long, n_tokens long, known long, base double, scores array<double>, rare array<struct<h:long,p:double>>"))
     # rows of one id and text are alike: their sums are divided by their number
-    spread = done.select("doc_id", "text_hash", F.posexplode("rare").alias("pos", "r")).select("doc_id", "text_hash", "pos", F.col("r.h").alias("h"), F.col("r.m").alias("m"))
+    spread = done.select("doc_id", "text_hash", F.posexplode("rare").alias("pos", "r")).select("doc_id", "text_hash", "pos", F.col("r.h").alias("h"), F.col("r.p").alias("p"))
     table = words.select(F.xxhash64("word").alias("h"), "c")
+    share = F.log10(F.col("c") + 0.5) - log_all
     met = spread.join(table, "h", "left")
+
+    def mixed_(w: float) -> Column:
+        a, b = F.col("p") + float(np.log10(w)), share + float(np.log10(1 - w))
+        return F.when(F.col("c") > 0, F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b)))).otherwise(a)
+
     sums = met.groupBy("doc_id", "text_hash").agg(
-        F.sum(F.col("m") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - log_all)).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known_rare"), F.sum((F.col("pos") == 0).cast("long")).alias("rows")
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5) - log_all).alias("base_rare"), F.array(*[F.sum(mixed_(w)) for w in WEIGHTS]).alias("scores_rare"), F.count_if(F.col("c") > 0).alias("known_rare"), F.count_if(F.col("pos") == 0).alias("rows")
     )
     d, s = done.drop("rare").alias("d"), sums.alias("s")
     both = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")), "left")
-    return both.select(
-        F.col("d.doc_id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce((F.col("known_rare") / F.col("rows")).cast("long"), F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("base_rare") / F.col("rows"), F.lit(0.0))).alias("base_score"), "score",
+    with_rare = lambda own, rare: F.col(own) + F.coalesce(F.col(rare) / F.col("rows"), F.lit(0.0))
+    each = both.withColumn("each", F.expr("if(rows is null, scores, zip_with(scores, scores_rare, (x, y) -> x + y / rows))"))
+    mean = F.expr(f"array_max(each) + log10(aggregate(each, 0D, (s, x) -> s + pow(10D, x - array_max(each))) / {len(WEIGHTS)})")
+    return each.select(
+        F.col("d.doc_id").alias("doc_id"), "held_out", "n_tokens", with_rare("known", "known_rare").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        with_rare("base", "base_rare").alias("base_score"), mean.alias("score"),
     )
 
 

@@ -431,6 +431,35 @@ def test_lm_refines_on_all_texts(spark, monkeypatch):
     assert seen.value == len(texts)
 
 
+def test_lm_scores_are_the_mix_and_do_not_depend_on_files(spark, rows, monkeypatch):
+    """The mean over weights of the products of mixed word probabilities, from the trained network's own answers; the same for rows in other partitions and order."""
+    import public_tokenizers
+
+    path, held = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), crc_part("doc_id", 5) == 1
+    made, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: made.append((train(*a), a[2])) or made[-1][0])
+    monkeypatch.setattr(lm_scoring, "TOP", 4)
+    monkeypatch.setattr(lm_scoring, "SHARD", 20)
+    one = {(r.doc_id, r.n_tokens): r.score for r in lm_scoring.score(docs_of(spark, rows), path, held).collect()}
+    two = {(r.doc_id, r.n_tokens): r.score for r in lm_scoring.score(docs_of(spark, rows[::-1]).repartition(7), path, held).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 * abs(one[k]) for k in one)
+    (model, units), sub = made[0], lm_scoring.Subwords(open(path, "rb").read())
+    words = {i: folded(t, r"[^\x20\x09-\x0D]+") for i, t, _, _ in rows}
+    learned = [[*words[i], None] for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for x in learned for w in x)
+    n, v = sum(c.values()), len(c)
+    for i, w in words.items():
+        ids = [sub.ids(x.encode()) for x in w] + [[sub.end]]
+        flat = np.array([y for x in ids for y in x])
+        lp = lm_scoring.score_units(model, units.of[flat], np.array([0, len(flat)])) + units.tail[flat]
+        ends = np.cumsum([len(x) for x in ids])
+        net = [lp[a:b].sum() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        share = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) if c[x] else 0.0 for x in [*w, None]]
+        each = [sum(np.log10(k * np.exp(a) + (1 - k) * b) for a, b in zip(net, share, strict=True)) for k in lm_scoring.WEIGHTS]
+        want = max(each) + np.log10(np.mean([10 ** (x - max(each)) for x in each]))
+        assert abs(one[i, len(w) + 1] - want) < 1e-4 * abs(want) + 1e-4
+
+
 def test_a_pass_takes_each_window_once(monkeypatch):
     taken = []
     model = lm_scoring.Attention(np.full(attention.UNITS, 1 / attention.UNITS))
