@@ -12,11 +12,11 @@ fingerprint's three segments are decoded to fuzzy Golay indices; pairs of segmen
 make keys. A node is filed under the nearest index of each pair and asks under all
 of them, so that near copies with some errors in each segment meet.
 
-Links are found for connection alone. Files under a key of up to SMALL meet all
-who ask. In a larger bucket each who asks is compared with the file of the largest
-shared part, mostly the text that the others were made of; what is then not in one
-component is compared in blocks of about BLOCK nodes, so that no candidate is left
-out but those that are connected already. Every link has the wanted similarity by
+Links are found for connection alone. Who asks is first compared with the file of
+the largest shared part that it meets, mostly the text that the others were made
+of. What is then not in one component is compared, under keys of up to SMALL files
+as pairs and in larger buckets in blocks of about BLOCK nodes, so that no candidate
+is left out but those that are connected already. Every link has the wanted similarity by
 the whole sets of shingles.
 """
 
@@ -34,7 +34,7 @@ from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 22, 1 << 22, 1 << 14, 1_000_000
+SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, SLICED, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 22, 1 << 22, 1 << 16, 1 << 14, 1_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -51,11 +51,12 @@ def hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh3_64_intdigest(flat[a:b]) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def shared(texts: DataFrame, ranges: int, whole: bool, shingle: int) -> DataFrame:
+def shared(texts: DataFrame, ranges: int, slices: int, whole: bool, shingle: int) -> DataFrame:
     """th, m (shingles), own (those that no other of the texts has) and, if whole, held (the others) of texts(th, text), which are distinct.
 
     A range's hashes are compared by 32 bits unless whole: a text's own shingle
-    can be taken for a shared one by chance, never the other way round.
+    can be taken for a shared one by chance, never the other way round. What a
+    range tells of its texts comes together by slices of them, a row for each of both.
     """
     kind = np.dtype(np.uint64 if whole else np.uint32)
 
@@ -88,17 +89,44 @@ def shared(texts: DataFrame, ranges: int, whole: bool, shingle: int) -> DataFram
         same = np.concatenate([[False], x[1:] == x[:-1], [False]])
         alone = np.empty(len(x), bool)
         alone[order] = ~(same[1:] | same[:-1])
-        first = np.cumsum(n) - n
-        own = np.add.reduceat(alone.astype(np.int64), first)
-        out = {"th": pa.array(ths), "m": pa.array(n.astype(np.int64)), "own": pa.array(own)}
+        own = np.add.reduceat(alone.astype(np.int64), np.cumsum(n) - n)
+        order = np.argsort(ths % slices, kind="stable")
+        at, n, own = (ths % slices)[order], n[order], own[order]
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        stops = pa.array(np.concatenate([cut, [len(at)]]).astype(np.int32))
+        lists = lambda x: pa.ListArray.from_arrays(stops, pa.array(x))
+        out = {"at": pa.array(at[cut]), "ths": lists(ths[order]), "ns": lists(n.astype(np.int64)), "own": lists(own)}
         if whole:
-            out["held"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - own)]).astype(np.int32)), pa.array(flat[~alone].view(np.int64)))
+            flat, size = flat[~alone].view(np.int64), n - own
+            ends, before = np.cumsum(size), _undo(size, order)
+            begin = (np.cumsum(before) - before)[order]
+            take = np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+            out["held"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[np.concatenate([cut, [len(at)]])].astype(np.int32)), pa.array(flat[take]))
         return pa.table(out)
 
-    schema = "th long, m long, own long" + (", held array<long>" if whole else "")
-    parts = texts.select("th", "text").mapInArrow(deal, "at long, ths array<long>, ns array<int>, hashes binary").groupBy("at").applyInArrow(count, schema)
-    sums = [F.sum("m").alias("m"), F.sum("own").alias("own")]
-    return parts.groupBy("th").agg(*sums, *([F.flatten(F.collect_list("held")).alias("held")] if whole else []))
+    def gather(table: pa.Table) -> pa.Table:
+        ths, n, own = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("ths", "ns", "own"))
+        order = np.argsort(ths, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(ths[order]) != 0]))
+        out = {"th": pa.array(ths[order][first]), "m": pa.array(np.add.reduceat(n[order], first)), "own": pa.array(np.add.reduceat(own[order], first))}
+        if whole:
+            size = n - own
+            begin, held = (np.cumsum(size) - size)[order], table.column("held").combine_chunks().flatten().to_numpy()
+            size, ends = size[order], np.cumsum(size[order])
+            take = np.repeat(begin - ends + size, size) + np.arange(ends[-1])
+            out["held"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(size, first))]).astype(np.int32)), pa.array(held[take]))
+        return pa.table(out)
+
+    more = ", held array<long>" if whole else ""
+    parts = texts.select("th", "text").mapInArrow(deal, "at long, ths array<long>, ns array<int>, hashes binary").groupBy("at").applyInArrow(count, f"at long, ths array<long>, ns array<long>, own array<long>{more}")
+    return parts.groupBy("at").applyInArrow(gather, f"th long, m long, own long{more}")
+
+
+def _undo(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """x as it was before x = x[order]."""
+    out = np.empty_like(x)
+    out[order] = x
+    return out
 
 
 def fingerprints(held: list[np.ndarray]) -> np.ndarray:
@@ -216,13 +244,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         out = named.join(s, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("th", "text")
         return out.dropDuplicates(["th"]) if repeated else out
 
-    def ranges(some: DataFrame) -> int:
-        return 1 + (some.agg(F.sum("bytes")).first()[0] or 0) // (6 * RANGE)  # six bytes a word
+    def dealt(some: DataFrame) -> tuple[int, int]:
+        """Ranges of about RANGE hashes, slices of SLICED texts."""
+        total, n = some.agg(F.sum("bytes"), F.count("*")).first()
+        return 1 + (total or 0) // (6 * RANGE), 1 + n // SLICED  # six bytes a word
 
     might = F.col("own") <= (1 - similarity) * F.col("m") + 1e-9
-    first = shared(texts_of(nodes), ranges(nodes), False, shingle).filter(might).select("th")
+    first = shared(texts_of(nodes), *dealt(nodes), False, shingle).filter(might).select("th")
     left = materialize(nodes.join(first, "th"))
-    sets = materialize(shared(texts_of(left), ranges(left), True, shingle).filter(might).select("th", "m", (F.col("m") - F.col("own")).alias("s"), "held"))
+    sets = materialize(shared(texts_of(left), *dealt(left), True, shingle).filter(might).select("th", "m", (F.col("m") - F.col("own")).alias("s"), "held"))
 
     def able(m: str, s: str, m2: str, s2: str) -> Column:
         """More than either's shared part can't be in both."""
@@ -232,13 +262,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     buckets = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.max_by(F.struct("th", "m", "s"), F.struct(F.col("s") / F.col("m"), F.col("th"))).alias("hub")))
     met = materialize(_keyed(sets, False).join(small(buckets), "key").filter((F.col("n") > 1) | (F.col("th") != F.col("hub.th"))))
     pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
-    file2 = files.select("key", F.col("th").alias("th2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
-    few = met.filter(F.col("n") <= SMALL).join(file2, "key").filter(F.col("th") != F.col("th2"))
-    star = met.filter(F.col("n") > SMALL).select("th", "m", "s", F.col("hub.th").alias("th2"), F.col("hub.m").alias("m2"), F.col("hub.s").alias("s2")).filter(F.col("th") != F.col("th2"))
-    pairs = materialize(few.select("th", "m", "s", "th2", "m2", "s2").unionByName(star).filter(able("m", "s", "m2", "s2")).select(*pair).distinct())
     side = lambda name, to: sets.select(F.col("th").alias(to), F.col("m").alias(f"m_{name}"), F.col("held").alias(name))
     common = F.size(F.array_intersect("a", "b"))
-    links = materialize(pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter(common >= similarity * (F.col("m_a") + F.col("m_b") - common) - 1e-6).select("u", "v"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.filter(able("m", "s", "m2", "s2")).select(*pair).distinct())
+        return materialize(pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter(common >= similarity * (F.col("m_a") + F.col("m_b") - common) - 1e-6).select("u", "v"))
+
+    # who asks, and the best hub that it meets
+    hubs = met.filter((F.col("th") != F.col("hub.th")) & able("m", "s", "hub.m", "hub.s")).groupBy("th", "m", "s").agg(F.max_by("hub", F.struct(F.col("hub.s") / F.col("hub.m"), F.col("hub.th"))).alias("hub"))
+    links = verified(hubs.select("th", "m", "s", F.col("hub.th").alias("th2"), F.col("hub.m").alias("m2"), F.col("hub.s").alias("s2")))
+    # the files of a small bucket that are not in one component with who asks
+    r = small(materialize(components(links)))
+    rooted = lambda df, th, root: df.join(r.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
+    file2 = rooted(files.select("key", F.col("th").alias("th2"), F.col("m").alias("m2"), F.col("s").alias("s2")), "th2", "root2")
+    few = rooted(met.filter(F.col("n") <= SMALL), "th", "root").join(file2, "key").filter((F.col("root") != F.col("root2")) & able("m", "s", "m2", "s2"))
+    links = materialize(links.unionByName(verified(few.select("th", "m", "s", "th2", "m2", "s2"))))
     roots = materialize(components(links))
     hot = met.filter(F.col("n") > SMALL).select("key", "th", F.col("hub.th").alias("hub")).join(files.select("key", "th", F.lit(True).alias("f")), ["key", "th"], "left").select("key", "th", "hub", F.col("f").isNotNull().alias("filed"))
     more = materialize(_rest(hot, roots, sets, similarity))
