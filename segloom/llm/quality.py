@@ -11,7 +11,10 @@ features that are clearly more common in a lower grade get a weight.
 
 Expected grade and tail probability (of the best grade) follow from the
 thresholds. The model is fitted on PER_GRADE labelled rows of a grade at most, drawn by a
-hash of the id; every row is scored on its whole text.
+hash of the id; every row is scored on its whole text. What is kept follows from a
+fold of FOLD of these rows that a first fit leaves out: the least probability of
+the best grade, KEEP at least, at which no lower grade has over MISSED of its rows
+left. With fewer than ENOUGH rows of a grade in the fold it is KEEP.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 
 from segloom.llm.common import Sent, by_batch, fresh, raw_texts
 
-DIM, PER_GRADE, STEMS, LEAST, ERRORS, GAP, KEEP, MEMO = 1 << 18, 3000, (4, 5), 3, 3.5, 0.5, 0.5, 400_000
+DIM, PER_GRADE, STEMS, LEAST, ERRORS, GAP, KEEP, MISSED, FOLD, ENOUGH, MEMO = 1 << 18, 3000, (4, 5), 3, 3.5, 0.5, 0.5, 0.03, 0.25, 20, 400_000
 _STEPS = np.array([1e-9, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MARKS = bytes(97 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 if c in b" \t\n\r\v\f" else 33 for c in range(256))
@@ -65,7 +68,7 @@ class Ordinal:
 
     def __init__(self, grades: int) -> None:
         self.w, self.grades = np.zeros(DIM, np.float32), grades
-        self.cut = np.linspace(-1.0, 1.0, max(1, grades - 1))
+        self.cut, self.keep = np.linspace(-1.0, 1.0, max(1, grades - 1)), KEEP
 
     def telling(self, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
         """Features of LEAST rows or more whose share in a lower grade exceeds that in the best one by ERRORS standard errors."""
@@ -78,7 +81,7 @@ class Ordinal:
             out |= (own >= LEAST) & (own / size[g] - best / size[-1] > ERRORS * np.sqrt(p * (1 - p) * (1 / size[g] + 1 / size[-1])))
         return out
 
-    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.3, seed: int = 3) -> Ordinal:
+    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int = 40, rate: float = 0.5, seed: int = 3) -> Ordinal:
         """AdaGrad over shuffled rows; a grade weighs as the root of its share, between rows and grades alike."""
         seen = np.bincount([y for _, y in rows], minlength=self.grades)
         share = np.sqrt(len(rows) / np.maximum(seen, 1) / self.grades)
@@ -114,8 +117,24 @@ class Ordinal:
         return float(above.sum()), float(above[-1])
 
 
+def threshold(rows: list[tuple[np.ndarray, int]], grades: int, missed: float = MISSED) -> float:
+    """What to keep, from a fold that a fit on the other rows hasn't seen."""
+    every = int(1 / FOLD)
+    fold = rows[::every]
+    model = Ordinal(grades).fit([r for k, r in enumerate(rows) if k % every])
+    out = KEEP
+    for g in range(grades - 1):
+        tails = np.sort([model.grade(x)[1] for x, y in fold if y == g])
+        if len(tails) >= ENOUGH:
+            out = max(out, float(np.nextafter(tails[-1 - int(missed * len(tails))], 1)))
+    return min(out, 0.9)
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int = PER_GRADE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """ratings: doc_id, grade. Null grades teach nothing; without ratings every text gets the middle grade."""
+    """ratings: doc_id, grade. Null grades teach nothing; without ratings every text gets the middle grade.
+
+    Rows of one id are all drawn or none; of more than twice the rows asked for those of least hash count.
+    """
     ratings = ratings.filter("grade is not null and doc_id is not null").distinct()
     counts = {r[0]: r[1] for r in ratings.groupBy("grade").count().collect()}
     limit = F.lit(-1)
@@ -127,13 +146,16 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int = P
         memo: dict[bytes, tuple[int, ...]] = {}
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.sort(features(x, memo)).astype(np.int32).tobytes() for x in raw_texts(batch)], pa.binary())], ["doc_id", "grade", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text").orderBy(F.xxhash64("doc_id", "text")).limit(2 * per_grade * grades)
     got = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(by_batch(run), "doc_id long, grade int, x binary").collect())
-    return Ordinal(grades).fit([(np.frombuffer(x, np.int32).astype(np.int64), g) for _, g, x in got if 0 <= g < grades])
+    learn = [(np.frombuffer(x, np.int32).astype(np.int64), g) for _, g, x in got if 0 <= g < grades]
+    model = Ordinal(grades).fit(learn)
+    model.keep = threshold(learn, grades)
+    return model
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """doc_id, grade: 0 poor, 1 toxic, 2 neither."""
+    """doc_id, grade: 0 poor, 1 toxic, 2 neither, in the order of use: noise is no text, toxic text is well formed but unwanted. A poor text that is toxic too is poor."""
     poor, toxic = F.col("quality") == 0, F.coalesce(F.col("toxic") == 1, F.lit(False))
     return labels.filter("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(poor, 0).when(toxic, 1).otherwise(2).alias("grade"))
 
@@ -142,8 +164,10 @@ def with_grades(docs: DataFrame, model: Ordinal, text_col: str = "text", expecte
     """docs with two more columns: the expected grade and the probability of the best one.
 
     Null is as the empty text, which has no features and gets the thresholds'
-    own grade. Repeated rows get the same; an empty table stays empty.
+    own grade. Repeated rows get the same; an empty table stays empty. Where docs has
+    a column of a new one's name, underscores are added to the new one.
     """
+    expected, tail = fresh(docs, expected), fresh(docs, tail)
     sent = Sent(docs.sparkSession, model)  # DIM weights
     schema = T.StructType([*docs.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())])
     text_at = docs.columns[docs.columns.index(text_col)]
@@ -156,7 +180,7 @@ def with_grades(docs: DataFrame, model: Ordinal, text_col: str = "text", expecte
     return docs.mapInArrow(by_batch(run), schema)
 
 
-def select(docs: DataFrame, model: Ordinal, keep: float = KEEP, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose probability of the best grade is `keep` or more."""
+def select(docs: DataFrame, model: Ordinal, keep: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose probability of the best grade is `keep` or more; the model's own threshold if none is given."""
     expected, tail = fresh(docs, "__expected"), fresh(docs, "__tail")
-    return with_grades(docs, model, text_col, expected, tail).filter(F.col(tail) >= keep).drop(expected, tail)
+    return with_grades(docs, model, text_col, expected, tail).filter(F.col(tail) >= (model.keep if keep is None else keep)).drop(expected, tail)

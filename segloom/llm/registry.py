@@ -23,7 +23,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")))
     graded = quality.with_grades(docs, model)
-    return graded.select("doc_id", "expected_grade", "tail_prob", (graded.tail_prob >= quality.KEEP).alias("keep"))
+    return graded.select("doc_id", "expected_grade", "tail_prob", (graded.tail_prob >= model.keep).alias("keep"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,18 +129,39 @@ def test_quality_of_held_out_documents(spark):
     model = quality.fit(docs, quality.grades_of(learn))
     assert (np.diff(model.cut) >= 0).all() and (model.w <= 0).all()
     got = quality.with_grades(docs.join(labels.filter("doc_id % 4 = 0"), "doc_id").select("doc_id", "text", "quality", "toxic"), model).collect()
-    clean = [r.tail_prob >= quality.KEEP for r in got if r.quality == 1 and r.toxic == 0]
-    poor = [r.tail_prob >= quality.KEEP for r in got if r.quality == 0]
-    toxic = [r.tail_prob >= quality.KEEP for r in got if r.toxic == 1]
-    assert np.mean(clean) > 0.95 and np.mean(poor) < 0.1 and np.mean(toxic) < 0.25
+    clean = [r.tail_prob >= model.keep for r in got if r.quality == 1 and r.toxic == 0]
+    poor = [r.tail_prob >= model.keep for r in got if r.quality == 0]
+    toxic = [r.tail_prob >= model.keep for r in got if r.toxic == 1]
+    assert np.mean(clean) > 0.94 and np.mean(poor) < 0.05 and np.mean(toxic) < 0.08
     assert all(0 <= r.expected_grade <= 2 for r in got)
 
 
+def test_quality_is_the_cumulative_link_model():
+    """Grade probabilities and the gradient step against the formula, P(grade <= k) = sigmoid(cut_k - w.x)."""
+    rng = np.random.default_rng(0)
+    model = quality.Ordinal(4)
+    model.cut = np.array([-2.0, -0.5, 1.0])
+    model.w[:50] = -rng.random(50)
+    for _ in range(20):
+        x = np.unique(rng.integers(0, 60, 12))
+        s = float(sum(model.w[k] for k in x))
+        upto = [1 / (1 + np.exp(-(c - s))) for c in model.cut] + [1.0]
+        p = np.diff([0.0, *upto])
+        expected, tail = model.grade(x)
+        assert abs(expected - sum(k * q for k, q in enumerate(p))) < 1e-6 and abs(tail - p[3]) < 1e-6
+    rows = [(np.array([g, 10 + k % 7]), g) for k in range(300) for g in range(3)]
+    fitted = quality.Ordinal(3).fit(rows)
+    assert (np.diff(fitted.cut) >= quality.GAP).all() and all(abs(fitted.grade(x)[0] - g) < 0.4 for x, g in rows)
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(i, "good text here" if i % 2 else "BAD!! BAD!! BAD!!", "x") for i in range(30)] + [(90, None, "x"), (91, "", "x"), (1, "good text here", "x")], "doc_id long, text string, __tail string")
     ratings = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(30)] + [(1, 2), (3, None)], "doc_id long, grade int")
+    docs = docs.unionByName(spark.createDataFrame([(None, "good text here", "x"), (92, "good words " * 200_000, "x")], docs.schema))
+    graded = quality.with_grades(docs.withColumn("tail_prob", F.lit(1)), quality.fit(docs, ratings))
+    assert graded.columns == [*docs.columns, "tail_prob", "expected_grade", "tail_prob_"] and graded.count() == docs.count()
     out = quality.select(docs, quality.fit(docs, ratings))
-    assert out.columns == docs.columns and {r.doc_id for r in out.collect() if r.doc_id < 50} == set(range(1, 30, 2))
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect() if (r.doc_id or 99) < 50} == set(range(1, 30, 2))
     assert quality.select(docs.filter("false"), quality.fit(docs, ratings.filter("false"))).count() == 0
 
 
