@@ -6,9 +6,10 @@ replacement. A source whose budget exceeds its size is taken whole as often as
 it fits (complete epochs); the rest of the budget is the prefix of the source in
 the order of e, and the document on which it ends is taken in part.
 
-The prefix needs no sort of a whole source. 1 - exp(-e) lies in [0, 1) and is cut
-into SLICES equal slices; sums by slice tell in which slice the budget ends, and
-only its rows are sorted.
+The prefix needs no sort of a whole source. e is cut into steps of 2^(1 / STEPS):
+whatever the weights are, no step holds more than a thousandth of a source, as
+exponential keys are nowhere denser on that scale. Sums by step tell in which one
+the budget ends, and only its rows are sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from segloom.llm.common import WORD, materialize
 
-SLICES, FLOOR, SHARE, CAP, WEIGHTS, SEED = 1024, 0.05, 1.5, 2.0, (3.0, 1.0, 2.0), "mix"
+STEPS, LAST, FLOOR, SHARE, CAP, WEIGHTS, SEED = 256, (1 << 31) - 1, 0.05, 1.5, 2.0, (3.0, 1.0, 2.0), "mix"
 
 
 def quality(text: Column) -> Column:
@@ -52,13 +53,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.withColumn("target", F.coalesce(F.least("cap", F.col("w") * level), F.col("cap"))).select("source", "source_size", "target")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> DataFrame:
-    """docs with __id, __source, __size, __e and __slice."""
+def keyed(rows: DataFrame, seed: str) -> DataFrame:
+    """rows(i, t, s, q, ...) with __id, __source, __size, __e and __slice; a null id is keyed by its text."""
+    size = F.coalesce(F.regexp_count(F.col("t"), F.lit(WORD)), F.lit(0)).cast("long")
+    id_ = F.coalesce(F.col("i").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col("t"), F.lit("")).cast("binary"))))
+    rows = rows.select("*", F.col("i").cast("long").alias("__id"), F.col("s").alias("__source"), size.alias("__size"), (-F.log(unit(id_, seed)) / F.col("q")).alias("__e")).drop("i", "t", "s", "q")
+    return rows.withColumn("__slice", F.floor(F.log2("__e") * STEPS).cast("int"))
+
+
+def _fields(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> list[Column]:
     q = quality(F.col(text_col)) if weight is None else weight
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = -F.log(unit(F.col(id_col), seed)) / q
-    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.col(source_col).alias("__source"), size.alias("__size"), key.alias("__e"))
-    return rows.withColumn("__slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.coalesce("__e", F.lit(0.0)))) * SLICES)).cast("int"))
+    return [F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), q.alias("q")]
 
 
 def plan(rows: DataFrame, **law) -> DataFrame:
@@ -71,7 +76,7 @@ def plan(rows: DataFrame, **law) -> DataFrame:
     upto = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     ends = wanted.alias("p").join(before.alias("s"), F.col("p.source").eqNullSafe(F.col("s.__source")) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")), "left")
-    return materialize(ends.select(F.col("p.source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("before").alias("__before"), F.coalesce("__slice", F.lit(SLICES)).alias("__end")))
+    return materialize(ends.select(F.col("p.source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("before").alias("__before"), F.coalesce("__slice", F.lit(LAST)).alias("__end")))
 
 
 def with_taken(rows: DataFrame, made: DataFrame) -> DataFrame:
@@ -90,19 +95,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken sums to the source's target, rounded to whole words; a document's is
     its size times the complete epochs, plus all, some or none of it. A null or
     empty text has size 0 and nothing is taken of it; null is a source of its own.
-    Repeated rows have the same key and are drawn one after the other; a null id
-    comes first. An empty table gives no rows. Other columns are not read.
+    Repeated rows have the same key and are drawn one after the other. An empty table gives no rows. Other columns are not read.
     """
-    rows = materialize(keyed(docs, id_col, text_col, source_col, weight, seed).select("__id", "__source", "__size", "__e", "__slice"))
+    rows = materialize(keyed(docs.select(*_fields(docs, id_col, text_col, source_col, weight)), seed))
     out = with_taken(rows, plan(rows, **law))
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = SEED, **law) -> DataFrame:
     """The rows of docs, with their columns, as often as the mix takes them; a part counts as a whole from its half on."""
-    q = quality(F.col(text_col)) if weight is None else weight
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), q.alias("q"))
-    rows = keyed(packed, "i", "t", "s", F.col("q"), seed).drop("i", "t", "s", "q")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_fields(docs, id_col, text_col, source_col, weight))
+    rows = keyed(packed, seed)
     out = with_taken(rows, plan(rows, **law)).filter("__size > 0")
     return out.select("row", F.explode(F.expr("array_repeat(0, cast(floor((__taken * 2 + __size) / (2 * __size)) as int))"))).select("row.*")
 
