@@ -15,7 +15,9 @@ distinct piece once while the memo holds it.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -63,24 +65,40 @@ def splice_at(text: str, left: Chunk, right: Chunk) -> int | None:
 def count_long(text: str, encode: Callable, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of one long text. encode: text -> the library's encoding with ids and offsets."""
     total, at = 0, 0  # tokens before `at` are counted
-    left = Chunk(text, 0, min(chunk, len(text)), encode)
+    left, wide = Chunk(text, 0, min(chunk, len(text)), encode), overlap
     while left.end < len(text):
-        wide = overlap
         while True:
             begin = max(left.end - wide, at, left.begin)
             right = Chunk(text, begin, min(begin + chunk + wide, len(text)), encode)
             cut = splice_at(text, left, right)
             if cut is not None:
                 total += left.first(cut) - left.first(at)
-                at, left = cut, right
+                at, left, wide = cut, right, max(overlap, wide // 2)
                 break
             if begin <= max(at, left.begin):  # nothing to widen into: both become one chunk
-                left = Chunk(text, left.begin, min(left.end + chunk, len(text)), encode)
+                left = Chunk(text, left.begin, min(2 * left.end - left.begin, len(text)), encode)
                 break
             wide *= 2
     return total + len(left.encoding) - left.first(at)
 
 
+def splits_at_blanks(vocabulary: str) -> bool:
+    """Whether a tokenizer file is known to drop blanks and to let no token, added ones included, span one; its normalizer may only change letters and runs of blanks."""
+    file = json.loads(vocabulary)
+
+    def steps(x: dict | None) -> list[dict]:
+        return [y for part in x.get("pretokenizers", x.get("normalizers", [])) for y in steps(part)] or [x] if x else []
+
+    def plain(x: dict) -> bool:
+        return x["type"] in ("Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "
+
+    first = (steps(file.get("pre_tokenizer")) or [{"type": ""}])[0]
+    alternatives = first.get("pattern", {}).get("Regex", "").split("|")  # literals, or classes that a blank isn't in
+    pieces = first["type"] == "Split" and first.get("behavior") == "Removed" and first.get("invert") and all(re.fullmatch(r"'?\w+|\[(\\p\{\w+\})+\]\+?|\[\^\\s(\\p\{\w+\})*\]\+?", x) for x in alternatives)
+    added = all(not t.get("lstrip") and not t.get("rstrip") and not re.search(r"\s", t["content"]) for t in file.get("added_tokens") or [])
+    return bool((pieces or first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")) and added and all(map(plain, steps(file.get("normalizer")))))
+
+
 def token_counter(vocabulary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
     """texts -> token counts, with the text of a tokenizer file; one thread, as a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,6 +113,9 @@ def token_counter(vocabulary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
     def encode(x: str):
         return tok.encode(x, add_special_tokens=False)
 
+    if not splits_at_blanks(vocabulary):
+        return lambda texts: [len(encode(x)) for x in texts]
+
     def count(texts: list[str]) -> list[int]:
         pieces = [x.replace("\n", " ").split(" ") if len(x) <= chunk else [] for x in texts]
         new = list({y for x in pieces for y in x if y not in memo})

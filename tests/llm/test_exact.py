@@ -60,6 +60,31 @@ def test_token_counts_of_any_text():
         assert count([x]) == [len(lib.encode(x, add_special_tokens=False))]
 
 
+def test_token_counts_of_texts_without_blanks():
+    """Chunks grow to double their length: the time at doubling stays in proportion, and other pre-tokenisers are left to the library."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocabulary = open(path, encoding="utf-8").read()
+    lib, count, took = Tokenizer.from_file(path), token_counts.token_counter(vocabulary), []
+    for n in (50_000, 200_000):
+        x = "".join(random.Random(2).choices("abcdé1", k=n))
+        began = time.time()
+        assert count([x, x[:100]]) == [len(lib.encode(y, add_special_tokens=False)) for y in (x, x[:100])]
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+    assert token_counts.splits_at_blanks(vocabulary)
+    other = json.loads(vocabulary)
+    other["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    other = json.dumps(other)
+    assert not token_counts.splits_at_blanks(other)
+    text = "Some words  and more.\n" * 40
+    assert token_counts.token_counter(other, 50, 8)([text]) == [len(Tokenizer.from_str(other).encode(text, add_special_tokens=False))]
+
+
 def folded(text, pattern):
     return re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -285,6 +310,21 @@ def test_mixing(spark, rows):
     assert sum(n.values()) == sum((2 * r.taken + r.size) // (2 * r.size) for r in got if r.size)
 
 
+def test_mixing_with_clashing_columns_and_null_ids(spark):
+    rows = [(None if k % 9 == 0 else k, " ".join(["w"] * (k % 13)) if k % 17 else None, "ab"[k % 2], 1.0, 2, k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __id double, __size int, row int")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 300 and abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 2
+    assert mixing.mixed(docs).columns == docs.columns and sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_no_step_of_the_mix_is_large(spark):
+    """At any weight a step of keys holds a small share of a source, so the one that is sorted does."""
+    for q in (0.05, 1.0):
+        rows = mixing.keyed(spark.range(40_000).select(F.col("id").alias("i"), F.lit("one two").alias("t"), F.lit("s").alias("s"), F.lit(q).alias("q")), "mix")
+        assert rows.groupBy("__slice").count().agg(F.max("count")).first()[0] < 0.003 * 40_000
+
+
 def test_sampling_follows_weights(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("s").alias("source"))
     heavy = F.col("doc_id") % 2 == 0
