@@ -396,26 +396,47 @@ def test_shards_are_the_plain_packing_of_whole_groups(spark):
     assert others[-1] < 1.02 * others[0]
 
 
-def test_imatch(spark, rows):
-    every = [r for r in rows if r[0] is not None]
-    unique = list({r[0]: r for r in every}.values())
-    got = {r.doc_id: r for r in imatch.digest(imatch.fingerprints(docs_of(spark, unique))).collect()}
-    down = sorted(unique, key=lambda r: -r[0])
-    after = {a[0]: b[1] or "" for a, b in zip(down, [*down[1:], down[0]], strict=True)}
-    for i, t, _, _ in unique:
-        t = t or ""
+def plain_parts(terms, known):
+    """Parts of a sorted set of signed term hashes: an MD5 for each subset of the lexicon that bits of the hash make."""
+    md5 = lambda x: hashlib.md5(",".join(map(str, x)).encode()).hexdigest()[:8] if x else ""
+    out = []
+    for i, bits in enumerate(imatch.RATE_BITS):
+        for j in range(imatch.EACH):
+            out.append(md5([t for t in terms if t in known and ((t & (1 << 64) - 1) >> (7 * j + 2 * i) % (64 - bits)) & ((1 << bits) - 1) == 0]))
+    return [*out, "" if any(out) else md5(terms)]
+
+
+def signed(w):
+    return (h := xxhash.xxh64_intdigest(w.encode(), 42)) - ((h >> 63) << 64)
+
+
+@pytest.mark.parametrize("buckets", [4096, 3])
+def test_imatch(spark, rows, buckets, monkeypatch):
+    """Edits, parts and likeness against a plain version, with repeated rows, null ids, blanks and ties."""
+    monkeypatch.setattr(imatch, "PER_BUCKET", 10)
+    monkeypatch.setattr(imatch, "MOST_BUCKETS", buckets)
+    rows = [*rows, (None, "no id", None, None), (None, rows[5][1], None, None), (None, None, None, None), (10**12, "far away", None, None), (-(10**12), "x " * 5000, None, None)]
+    words = lambda t: {w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w}
+    df = collections.Counter(w for _, t, _, _ in rows for w in words(t))
+    known = {signed(w) for w, n in df.items() if max(2, 0.02 * len(rows)) <= n <= 0.6 * len(rows)}
+    parts = lambda t: plain_parts(sorted(map(signed, words(t))), known)
+    down = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or "")), reverse=True)
+    want = []
+    for (i, t, _, _), (_, after, _, _) in zip(down, [*down[1:], down[0]], strict=True):
+        t, after = t or "", after or ""
         half = len(t) // 2
-        edited = t[: len(t) - half] + after[i][:half]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert len({got[i].fingerprint for i in range(70, 110)}) == 1 and got[75].near_next == 1
+        edited = t[: len(t) - half] + after[:half]
+        p, e, x = parts(t), parts(edited), parts(after)
+        like = lambda a, b: 1.0 if a == b else sum(u == v != "" for u, v in zip(a, b, strict=True)) / max(1, sum(u != "" or v != "" for u, v in zip(a, b, strict=True)))
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), ".".join(p), ".".join(e), round(like(p, e), 9), round(like(p, x), 9)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in imatch.digest(imatch.fingerprints(docs_of(spark, rows), low=0.02, high=0.6)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_imatch_lexicon(spark, rows):
     docs = docs_of(spark, rows)
-    known = set(imatch.lexicon(docs, "text", 0.02, 0.6))
+    known = {r.t for r in imatch.lexicon(docs, "text", 0.02, 0.6).collect()}
     df = collections.Counter(w for _, t, _, _ in rows for w in set(re.split(r"[\x20\x09-\x0D]+", (t or "").lower())) - {""})
-    signed = lambda w: (h := xxhash.xxh64_intdigest(w.encode(), 42)) - ((h >> 63) << 64)
     assert known == {signed(w) for w, n in df.items() if max(2, 0.02 * len(rows)) <= n <= 0.6 * len(rows)}
 
 
@@ -423,8 +444,9 @@ def test_imatch_tells_short_texts_apart(spark):
     words = [f"term{k}" for k in range(200)]
     texts = ["", *(f"{w} only{w}" for w in words), *words]  # one lexicon term at most, which few subsets hold
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    known = [r[0] for r in rows.filter("doc_id > 200").select(F.xxhash64("text")).collect()]
-    got = {r.doc_id: ".".join(r.parts) for r in imatch.with_parts(rows, F.col("text"), known, "parts").collect()}
+    known = rows.filter("doc_id > 200").select(F.xxhash64("text").alias("t"))
+    terms = rows.select(F.col("doc_id").alias("k"), imatch.term_hashes(F.col("text")).alias("a"))
+    got = {r.k: ".".join(r.parts) for r in imatch.with_parts(terms, {"parts": F.col("a")}, known).collect()}
     assert not got[0].strip(".") and all(got[i].strip(".") for i in range(1, len(texts)))
     assert len({got[i] for i in range(201, 401)}) == 200
 
