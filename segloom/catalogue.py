@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segloom import adapters as A
 from segloom.functions import paths as P
 from segloom.functions import text as X
-from segloom.operators import cache, render, segments, translate, units
+from segloom.operators import cache, engine, render, segments, translate, units
 from segloom.oracles import ORACLES as ORACLES
 from segloom.plans import ledger, planning, settings, telemetry
 from segloom.sources import files, formats, zipped
@@ -166,6 +166,12 @@ def context_windows(spark, sf):
     return _batches(spark, sf).select("doc_id", "unit_idx", F.size("context").cast("long").alias("n_context"), F.array_join("context", "|").alias("context"))
 
 
+@query
+def units_limited_greedy(spark, sf):
+    d = units.limited_greedy(_txt(spark, sf), LIMIT, units.BATCH, units.CONTEXT, BUDGET)
+    return d.select("doc_id", F.posexplode("units").alias("unit_idx", "u")).select("doc_id", F.col("unit_idx").cast("long").alias("unit_idx"), F.get("u.ids", F.lit(0)).alias("first_id"), F.size("u.ids").cast("long").alias("n"))
+
+
 @query
 def batch_prompts(spark, sf):
     return _batches(spark, sf).select("doc_id", "unit_idx", F.sha2(X.batch_prompt(F.col("cues"), F.col("context"), F.lit(TARGET)), 256).alias("prompt_sha"))
@@ -296,6 +302,13 @@ def translate_fake_e2e(spark, sf):
     return t.select("doc_id", F.size("segments").cast("long").alias("n_segments"), F.size("units").cast("long").alias("n_units"), F.size("tr").cast("long").alias("n_translated"), F.sha2(render.render("txt", F.col("blocks"), F.col("tr")), 256).alias("rendered_sha"))
 
 
+@query
+def translate_cached_e2e(spark, sf):
+    """The engine over an Arrow translator, with a table that has the lines of a third of the documents."""
+    got = engine.produce(A.txt_sources(spark, sf), "txt", _cache(spark, sf), lambda: translate.fake, MODEL, TARGET, lambda new: new)
+    return got.select("doc_id", F.sha2("output", 256).alias("rendered_sha"), "n_segments", "n_hits", "n_translated")
+
+
 @query
 def render_txt_bilingual(spark, sf):
     return _translated(spark, sf).select("doc_id", render.render("txt", F.col("blocks"), F.col("tr")).alias("output"))
@@ -434,6 +447,14 @@ def jobs_upsert(spark, sf):
     return ledger.upsert(j, j.filter("CAST(id AS BIGINT) % 3 = 0").withColumn("status", F.lit("writing")).unionByName(new))
 
 
+@query
+def schedule_dispatch_busy(spark, sf):
+    """What starts beside five running jobs of one preset, some of whose outputs are wanted again."""
+    j = A.jobs(spark, sf).withColumn("output", F.when(F.expr("CAST(id AS BIGINT) % 3 != 0"), F.col("save_to"))).withColumn("queue_pos", F.concat(F.lpad(F.col("created_at").cast("string"), 12, "0"), F.col("id")))
+    running = j.filter("status = 'translating' and preset = '30b-fp8'").orderBy("queue_pos").limit(5)
+    return planning.dispatch(j.filter("status = 'queued'").select("id", "preset", "output", "queue_pos"), running.select("preset", "output"))
+
+
 @query
 def jobs_page_info(spark, sf):
     """The first owner's first page of three, as the service answers it."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters at which an overlong text may be halved.
 BOUNDARIES = " \t\n\r.!?;:,，。！？；：、"
 RUN_CAP = 8
+#: Fixed value: wordings of a prompt that is too long.
+OVERFLOW = "context length|input prompt|context window|token limit|maximum context"
 
 
 def let(value: Column, f) -> Column:
@@ -60,28 +64,45 @@ def split_boundary(x: Column) -> Column:
     return let(halves, lambda h: F.when((n > 0) & ~is_blank(h.left) & ~is_blank(h.right), h))
 
 
+#: The requests' wording and sampling.
+SINGLE = "Translate the following text into {target}. Note that you should only output the translated result without any additional explanation:\n\n"
+BATCH = "Please accurately translate the following text into {target}. You must retain the exact same number of <cN></cN> delimiters in the translation, in the same order. Strictly do not omit, escape, or translate these delimiters. Translate only the text between them; do not merge, split, add, or skip any.\n\n"
+CONTEXT = "The lines below under 'Context' are for context only — do NOT translate or wrap them in tags:\n\nContext:\n"
+SAMPLING = {"temperature": 0.7, "top_p": 0.6, "top_k": 20, "repetition_penalty": 1.05}
+
+
+def _for_target(wording: str, target: Column) -> Column:
+    before, after = wording.split("{target}")
+    return F.concat(F.lit(before), target, F.lit(after))
+
+
 def single_prompt(text: Column, target: Column) -> Column:
-    #: Fixed value: the request's wording.
-    return F.concat(F.lit("Translate the following text into "), target, F.lit(". Note that you should only output the translated result without any additional explanation:\n\n"), trim(text))
+    return F.concat(_for_target(SINGLE, target), trim(text))
 
 
 def batch_prompt(cues: Column, context: Column, target: Column) -> Column:
     """Cues in numbered tags, after an optional block of context."""
-    #: The request's wording.
-    head = F.concat(
-        F.lit("Please accurately translate the following text into "), target,
-        F.lit(". You must retain the exact same number of <cN></cN> delimiters in the translation, in the same order. Strictly do not omit, escape, or translate these delimiters. Translate only the text between them; do not merge, split, add, or skip any.\n\n"),
-    )
-    before = F.concat(F.lit("The lines below under 'Context' are for context only — do NOT translate or wrap them in tags:\n\nContext:\n"), F.array_join(context, "\n"), F.lit("\n\n"))
+    before = F.concat(F.lit(CONTEXT), F.array_join(context, "\n"), F.lit("\n\n"))
     tagged = F.transform(cues, lambda c, i: F.concat(F.lit("<c"), (i + 1).cast("string"), F.lit(">"), collapse_runs(c), F.lit("</c"), (i + 1).cast("string"), F.lit(">")))
-    return F.concat(head, F.when(F.size(context) > 0, before).otherwise(""), F.array_join(tagged, "\n"))
+    return F.concat(_for_target(BATCH, target), F.when(F.size(context) > 0, before).otherwise(""), F.array_join(tagged, "\n"))
+
+
+def single_prompt_text(text: str, target: str) -> str:
+    """single_prompt() of a Python string, for requests that halving makes on an executor."""
+    return SINGLE.replace("{target}", target) + text.strip()
+
+
+def batch_prompt_text(cues: list[str], context: list[str], target: str) -> str:
+    """batch_prompt() of Python strings."""
+    before = CONTEXT + "\n".join(context) + "\n\n" if context else ""
+    clean = [re.sub(rf"(?s)(.)\1{{{RUN_CAP},}}", lambda m: m[1] * RUN_CAP, c) for c in cues]
+    return BATCH.replace("{target}", target) + before + "\n".join(f"<c{i}>{c}</c{i}>" for i, c in enumerate(clean, 1))
 
 
 def chat_request(model: Column, prompt: Column) -> Column:
     """The request body; sampling is fixed and no length limit is sent."""
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
-    #: The sampling parameters.
-    return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages"), F.lit(0.7).alias("temperature"), F.lit(0.6).alias("top_p"), F.lit(20).alias("top_k"), F.lit(1.05).alias("repetition_penalty")))
+    return F.to_json(F.struct(model.alias("model"), F.array(message).alias("messages"), *[F.lit(v).alias(k) for k, v in SAMPLING.items()]))
 
 
 def chat_content(body: Column) -> Column:
@@ -116,7 +137,7 @@ def owner_hash(user: Column) -> Column:
 
 def is_context_overflow(error: Column) -> Column:
     #: Wordings of an overlong request's error.
-    return F.lower(error).rlike("context length|input prompt|context window|token limit|maximum context")
+    return F.lower(error).rlike(OVERFLOW)
 
 
 def http_class(status: Column) -> Column:

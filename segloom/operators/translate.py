@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segloom.functions.text import BOUNDARIES, OVERFLOW, SAMPLING, batch_prompt_text, single_prompt_text
+
 ATTEMPTS, MAX_DEPTH, MIN_CHARS = 4, 6, 64
 
 
@@ -27,7 +29,7 @@ class Fatal(Exception):
 
     def __init__(self, message: str) -> None:
         super().__init__(message)
-        self.overflow = bool(re.search("context length|input prompt|context window|token limit|maximum context", message.lower()))
+        self.overflow = bool(re.search(OVERFLOW, message.lower()))
 
 
 class Transient(Exception):
@@ -60,7 +62,7 @@ def http(endpoint: str, model: str, timeout: float = 180) -> Callable[[str], str
     """A chat server with the usual completions route."""
 
     def ask(prompt: str) -> str:
-        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0.7, "top_p": 0.6, "top_k": 20, "repetition_penalty": 1.05}
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], **SAMPLING}
         req = urllib.request.Request(f"{endpoint.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"content-type": "application/json"})
         try:
             with urllib.request.urlopen(req, timeout=timeout) as r:
@@ -90,8 +92,6 @@ def parse(response: str, count: int) -> list[str | None]:
 
 def halves(text: str) -> tuple[str, str] | None:
     """Parts at the run of boundary characters nearest to the middle, or None."""
-    from segloom.functions.text import BOUNDARIES
-
     mid = len(text) // 2
     marks = [i for i, c in enumerate(text) if c in BOUNDARIES]
     if not marks:
@@ -113,10 +113,11 @@ def _asking(ask: Callable[[str], str], prompt: str, wait: Callable[[float], None
     raise AssertionError
 
 
-def translate_one(ask: Callable[[str], str], text: str, target: str, prompt_of: Callable, wait=time.sleep, depth: int = 0) -> str | None:
-    """A single segment; one that is too long for the model is halved, at most MAX_DEPTH times."""
+def translate_one(ask: Callable[[str], str], text: str, target: str, prompt_of: Callable = single_prompt_text, wait=time.sleep, depth: int = 0) -> str | None:
+    """A single segment, trimmed as its answer is; one that is too long for the model is halved, at most MAX_DEPTH times."""
+    text = text.strip()
     try:
-        return _asking(ask, prompt_of(text.strip(), target), wait)
+        return _asking(ask, prompt_of(text, target), wait).strip()
     except Transient:
         return None
     except Fatal as e:
@@ -127,8 +128,8 @@ def translate_one(ask: Callable[[str], str], text: str, target: str, prompt_of:
         return None if None in done else "".join(done)
 
 
-def translate_batch(ask: Callable[[str], str], cues: list[str], context: list[str], target: str, prompt_of: Callable, wait=time.sleep) -> list[str | None]:
-    """Cues in one prompt, the best of ATTEMPTS; halves while two or more are missing.
+def translate_batch(ask: Callable[[str], str], cues: list[str], context: list[str], target: str, prompt_of: Callable = batch_prompt_text, wait=time.sleep) -> list[str | None]:
+    """Cues in one prompt, the best of ATTEMPTS; halves with the same context while two or more are missing, whose answers then count.
 
     A fatal error that isn't an overflow is not split: every half would fail alike.
     """
@@ -150,17 +151,12 @@ def translate_batch(ask: Callable[[str], str], cues: list[str], context: list[st
             return best
     if len(cues) > 1 and sum(x is None for x in best) >= 2:
         mid = len(cues) // 2
-        again = translate_batch(ask, cues[:mid], context, target, prompt_of, wait) + translate_batch(ask, cues[mid:], cues[:mid][-5:] if context else [], target, prompt_of, wait)
-        best = [a if a is not None else b for a, b in zip(best, again, strict=True)]
+        best = translate_batch(ask, cues[:mid], context, target, prompt_of, wait) + translate_batch(ask, cues[mid:], context, target, prompt_of, wait)
     return best
 
 
-def _single_prompt(text: str, target: str) -> str:
-    return f"Translate the following text into {target}. Note that you should only output the translated result without any additional explanation:\n\n{text}"
-
-
 def translate_units(units: DataFrame, make: Callable[[], Callable[[str], str]], target: str, single: bool = False) -> DataFrame:
-    """seg_id, text of each translated segment, with the units' doc_id. units: doc_id, ids, cues, context, prompt.
+    """seg_id, text of each translated segment, with the units' doc_id. units: doc_id, ids, cues, context.
 
     make() gives the translator on the executor, once for each task that has a
     unit. Answers can differ between runs: write them to the cache before use.
@@ -172,34 +168,24 @@ def translate_units(units: DataFrame, make: Callable[[], Callable[[str], str]],
             rows = []
             for u in b.to_pylist():
                 ask = ask or make()
-                if single:
-                    got = [translate_one(ask, c, target, _single_prompt) for c in u["cues"]]
-                else:
-                    whole = u["prompt"]
-
-                    def prompt_of(cues, context, target, u=u, whole=whole):
-                        if len(cues) == len(u["cues"]):
-                            return whole
-                        head = whole[: whole.index("<c1>")] if "<c1>" in whole else ""
-                        return head + "\n".join(f"<c{i + 1}>{c}</c{i + 1}>" for i, c in enumerate(cues))
-
-                    got = translate_batch(ask, u["cues"], u["context"], target, prompt_of)
+                got = [translate_one(ask, c, target) for c in u["cues"]] if single else translate_batch(ask, u["cues"], u["context"], target)
                 rows += [(u["doc_id"], i, t) for i, t in zip(u["ids"], got, strict=True) if t is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "seg_id", "text"])
 
-    return units.select("doc_id", "ids", "cues", "context", "prompt").mapInArrow(run, "doc_id long, seg_id long, text string")
+    return units.select("doc_id", "ids", "cues", "context").mapInArrow(run, "doc_id long, seg_id long, text string")
 
 
 def split_plan(batches: DataFrame, n: str = "n") -> DataFrame:
     """path, first, size of every request that a batch of n cues leads to if none is ever answered: n halves down to one."""
-    level = batches.select("*", F.lit("").alias("path"), F.lit(0).alias("first"), F.col(n).cast("int").alias("size"))
-    out = level
-    for _ in range(7):  # batches hold 100 cues at most
-        mid = F.floor(F.col("size") / 2).cast("int")
-        both = F.explode(F.array(F.struct(F.concat("path", F.lit("L")).alias("path"), F.col("first").alias("first"), mid.alias("size")), F.struct(F.concat("path", F.lit("R")).alias("path"), (F.col("first") + mid).alias("first"), (F.col("size") - mid).alias("size"))))
-        level = level.filter("size > 1").select(*batches.columns, both.alias("h")).select(*batches.columns, "h.path", "h.first", "h.size")
-        out = out.unionByName(level)
-    return out
+    node = lambda path, first, size: F.struct(path.alias("path"), first.alias("first"), size.alias("size"))
+    level = F.array(node(F.lit(""), F.lit(0), F.col(n).cast("int")))
+    out = [level]
+    for _ in range(max(0, int(batches.agg(F.max(n)).first()[0] or 0) - 1).bit_length()):  # as deep as the largest batch needs
+        mid = lambda h: F.floor(h.size / 2).cast("int")
+        both = lambda h: F.array(node(F.concat(h.path, F.lit("L")), h.first, mid(h)), node(F.concat(h.path, F.lit("R")), h.first + mid(h), h.size - mid(h)))
+        level = F.flatten(F.transform(F.filter(level, lambda h: h.size > 1), both))
+        out.append(level)
+    return batches.select("*", F.explode(F.concat(*out)).alias("h")).select(*batches.columns, "h.path", "h.first", "h.size")
 
 
 def best_attempt(attempts: DataFrame, key: str) -> DataFrame:

@@ -60,14 +60,49 @@ def prompt_size(cues: Column, context: Column) -> Column:
     return HEAD + total(context, 0) + total(cues, EACH)
 
 
+def _room(counts: DataFrame, limit: int, key: str) -> DataFrame:
+    """__key, __room of the documents that get some of `limit`, in order of the key, where each takes its __n.
+
+    Quantiles of the keys cut them into blocks; sums by block tell in which one the
+    limit is reached, and only the blocks up to it are sorted.
+    """
+    n = counts.count()
+    m = max(1, min(4096, n // 2000))
+    cuts = sorted(set(counts.agg(F.percentile_approx(key, [k / m for k in range(1, m)], 40_000)).first()[0] or [])) if m > 1 else []
+    block = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    counts = counts.withColumn("__b", block)
+    sums = counts.groupBy("__b").agg(F.sum("__n").alias("__s"))
+    bases = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")).filter(F.col("__base") < limit)
+    own = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.join(F.broadcast(bases), "__b")  # a row for each block
+    return within.select(F.col(key).alias("__key"), (limit - F.col("__base") - F.coalesce(F.sum("__n").over(own), F.lit(0))).alias("__room")).filter(F.col("__room") > 0)
+
+
 def limited(df: DataFrame, limit: int, key: str = "doc_id", segments: str = "segments") -> DataFrame:
     """df with each document's segments cut so that `limit` of them, first documents first, are left in all."""
-    counts = df.select(key, F.size(segments).alias("__n"))
-    # a row for each document that still has room, found from sums by blocks of keys
-    blocks = counts.withColumn("__b", F.floor(F.col(key) / 4096)).groupBy("__b").agg(F.sum("__n").alias("__s"))
-    blocks = blocks.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base")).filter(F.col("__base") < limit)
-    within = counts.withColumn("__b", F.floor(F.col(key) / 4096)).join(blocks, "__b")
-    own = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    room = within.select(F.col(key).alias("__key"), F.least(F.col("__n").cast("long"), limit - F.col("__base") - F.coalesce(F.sum("__n").over(own), F.lit(0))).cast("int").alias("__room")).filter(F.col("__room") > 0)
-    return df.join(room, df[key] == room["__key"]).withColumn(segments, F.slice(segments, F.lit(1), F.col("__room"))).drop("__key", "__room")
+    room = _room(df.select(key, F.size(segments).alias("__n")), limit, key)
+    cut = F.slice(segments, F.lit(1), F.least(F.size(segments).cast("long"), F.col("__room")).cast("int"))
+    return df.join(room, df[key] == room["__key"]).withColumn(segments, cut).drop("__key", "__room")
+
 
+def limited_greedy(df: DataFrame, limit: int, batch: int, context: int, budget: int, key: str = "doc_id", segments: str = "segments") -> DataFrame:
+    """df with units under a size budget and a global limit, first documents first.
+
+    A unit is charged what it could have held by count, also where the size budget
+    then leaves some of that to the next unit, which is charged for it again. The unit
+    in which the limit ends holds as many cues as are left of it at most.
+    """
+    sizes = F.transform(segments, lambda s: F.octet_length(s.text).cast("long"))
+    d = df.withColumn("__starts", starts_greedy(sizes, batch, context, budget))
+    charge = lambda start: F.least(F.lit(batch), F.size(segments) - start).cast("long")
+    d = d.withColumn("__n", F.aggregate("__starts", F.lit(0).cast("long"), lambda n, s: n + charge(s)))
+    room = _room(d.select(key, "__n"), limit, key)
+    d = d.join(room, d[key] == room["__key"]).withColumn("units", units(F.col(segments), F.col("__starts"), context))
+    before = F.transform("__starts", lambda s, u: F.aggregate(F.slice("__starts", F.lit(1), u), F.lit(0).cast("long"), lambda n, x: n + charge(x)))
+    paired = F.filter(F.arrays_zip("units", before.alias("before")), lambda p: p.before < F.col("__room"))
+
+    def held(p: Column) -> Column:
+        n = F.least(F.size(p.units.ids).cast("long"), F.col("__room") - p.before).cast("int")
+        return F.struct(F.slice(p.units.ids, F.lit(1), n).alias("ids"), F.slice(p.units.cues, F.lit(1), n).alias("cues"), p.units.context.alias("context"))
+
+    return d.withColumn("units", F.transform(paired, held)).drop("__starts", "__n", "__key", "__room")

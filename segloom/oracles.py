@@ -106,6 +106,10 @@ ORACLES["units_greedy"] = f"""WITH RECURSIVE {_SEGS}, s AS (SELECT *, coalesce(s
   r AS (SELECT doc_id, ord, seg_id, (512 + cb + b + 16)::BIGINT AS c, 1::BIGINT AS n, 0::BIGINT AS u FROM s WHERE ord = 0 UNION ALL
     SELECT s.doc_id, s.ord, s.seg_id, CASE WHEN r.n >= 25 OR r.c + s.b + 16 > 1500 THEN 512 + s.cb + s.b + 16 ELSE r.c + s.b + 16 END, CASE WHEN r.n >= 25 OR r.c + s.b + 16 > 1500 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 25 OR r.c + s.b + 16 > 1500 THEN r.u + 1 ELSE r.u END FROM r JOIN s ON s.doc_id = r.doc_id AND s.ord = r.ord + 1)
   SELECT doc_id, u AS unit_idx, min(seg_id) AS first_id, count(*) AS n FROM r GROUP BY 1, 2"""
+_greedy = ORACLES["units_greedy"]
+ORACLES["units_limited_greedy"] = _greedy[: _greedy.rindex("SELECT doc_id, u AS")].rstrip() + """, g AS (SELECT doc_id, u, min(ord) AS o, min(seg_id) AS first_id, count(*) AS n FROM r GROUP BY 1, 2), z AS (SELECT doc_id, count(*) AS len FROM seg GROUP BY 1),
+  h AS (SELECT g.*, coalesce(sum(least(25, len - o)) OVER (ORDER BY g.doc_id, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS charged FROM g JOIN z USING (doc_id))
+  SELECT doc_id, u AS unit_idx, first_id, least(n, 1000 - charged)::BIGINT AS n FROM h WHERE charged < 1000"""
 ORACLES["units_limited"] = f"WITH {_SEGS}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS o FROM (SELECT *, row_number() OVER (ORDER BY doc_id, ord) AS r FROM seg) WHERE r <= 1000) SELECT doc_id, (o // 25)::BIGINT AS unit_idx, count(*) AS n FROM k GROUP BY 1, 2"
 ORACLES["context_windows"] = f"WITH {_UNIT} SELECT doc_id, unit_idx, n_context, bar AS context FROM ctx"
 
@@ -151,6 +155,9 @@ ORACLES["error_classes"] = """WITH e AS (SELECT event_id, 200 + event_id % 400 A
 _E2E = f"{_SEGS}, tr AS (SELECT doc_id, seg_id, 'translated ' || (ord % 25 + 1) AS tr FROM seg)"
 _BI = "string_agg(text || CASE WHEN tr IS NULL THEN '' ELSE chr(10) || tr END, chr(10) ORDER BY block_idx)"
 ORACLES["translate_fake_e2e"] = f"WITH {_E2E} SELECT doc_id, count(tr) AS n_segments, ((count(tr) + 24) // 25)::BIGINT AS n_units, count(tr) AS n_translated, sha256({_BI}) AS rendered_sha FROM blk LEFT JOIN tr ON tr.doc_id = blk.doc_id AND seg_id = block_idx GROUP BY blk.doc_id".replace("SELECT doc_id, count", "SELECT blk.doc_id, count")
+ORACLES["translate_cached_e2e"] = f"""WITH {_SEGS}, tab AS (SELECT text FROM seg WHERE doc_id % 3 = 0 UNION SELECT text FROM benchmark), both_ AS (SELECT seg.*, tab.text IS NOT NULL AS hit FROM seg LEFT JOIN tab ON tab.text = seg.text),
+  tr AS (SELECT doc_id, seg_id, hit, CASE WHEN hit THEN 'T:' || text ELSE 'translated ' || ((row_number() OVER (PARTITION BY doc_id, hit ORDER BY seg_id) - 1) % 25 + 1) END AS tr FROM both_)
+  SELECT blk.doc_id, sha256({_BI}) AS rendered_sha, count(tr) AS n_segments, count(*) FILTER (WHERE hit) AS n_hits, count(*) FILTER (WHERE NOT hit) AS n_translated FROM blk LEFT JOIN tr ON tr.doc_id = blk.doc_id AND seg_id = block_idx GROUP BY 1"""
 ORACLES["render_txt_bilingual"] = f"WITH {_E2E} SELECT blk.doc_id, {_BI} AS output FROM blk LEFT JOIN tr ON tr.doc_id = blk.doc_id AND seg_id = block_idx GROUP BY 1"
 ORACLES["render_txt_replace"] = f"WITH {_E2E} SELECT blk.doc_id, string_agg(coalesce(tr, text), chr(10) ORDER BY block_idx) AS output FROM blk LEFT JOIN tr ON tr.doc_id = blk.doc_id AND seg_id = block_idx GROUP BY 1"
 
@@ -211,6 +218,9 @@ ORACLES["save_plan"] = f"""WITH {P}, f AS (SELECT *, {_STORE}, p_partkey % 4 < 2
   SELECT p_partkey, path, CASE WHEN outcome = 'planned' AND p_partkey % 3 <> 1 AND save_path IN (SELECT save_path FROM t WHERE p_partkey % 5 = 0 AND save_path IS NOT NULL) THEN 'existing' ELSE outcome END AS outcome, save_path FROM t"""
 ORACLES["schedule_dispatch"] = f"""{_J}, q AS (SELECT id, preset, CASE WHEN id::BIGINT % 3 <> 0 THEN save_to END AS output, row_number() OVER (ORDER BY created_at, id) AS pos FROM jobs WHERE status = 'queued'), s AS (SELECT * FROM q WHERE preset = (SELECT preset FROM q WHERE pos = 1)),
   d AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY pos) AS k FROM s), c AS (SELECT id, pos FROM d WHERE k = 1 OR output IS NULL ORDER BY pos LIMIT 8) SELECT id, row_number() OVER (ORDER BY pos) AS place FROM c"""
+ORACLES["schedule_dispatch_busy"] = f"""{_J}, q AS (SELECT id, status, preset, CASE WHEN id::BIGINT % 3 <> 0 THEN save_to END AS output, row_number() OVER (ORDER BY created_at, id) AS pos FROM jobs), a AS (SELECT * FROM q WHERE status = 'translating' AND preset = '30b-fp8' ORDER BY pos LIMIT 5),
+  s AS (SELECT * FROM q WHERE status = 'queued' AND preset = coalesce((SELECT max(preset) FROM a), (SELECT preset FROM q WHERE status = 'queued' ORDER BY pos LIMIT 1)) AND (output IS NULL OR output NOT IN (SELECT output FROM a WHERE output IS NOT NULL))),
+  d AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY pos) AS k FROM s), c AS (SELECT id, row_number() OVER (ORDER BY pos) AS place FROM d WHERE k = 1 OR output IS NULL) SELECT id, place FROM c WHERE place <= 8 - (SELECT count(*) FROM a)"""
 _MIR = "m AS (SELECT s_nationkey::BIGINT AS grp, ['modelscope', 'hf_mirror', 'huggingface'][(s_suppkey % 3 + 1)::INT] AS source, (s_suppkey % 3)::INT AS rank, max(s_suppkey % 5 <> 0) AS available, max(s_suppkey * 37 % 101)::BIGINT AS speed FROM supplier GROUP BY ALL), up AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY speed DESC, rank DESC) AS k, max(speed) OVER (PARTITION BY grp) AS best FROM m WHERE available), rec AS (SELECT grp, coalesce(max(CASE WHEN rank = 0 AND speed >= best * 85 // 100 THEN source END), max(CASE WHEN k = 1 THEN source END)) AS recommended FROM up GROUP BY 1)"
 ORACLES["source_ranking"] = f"WITH {_MIR} SELECT grp, recommended FROM rec"
 ORACLES["source_preference"] = f"""WITH {_MIR}, a AS (SELECT grp, 0 AS o, 0 AS p, recommended AS s FROM rec UNION ALL SELECT grp, 1, row_number() OVER (PARTITION BY grp ORDER BY speed DESC, rank), source FROM up UNION ALL SELECT grp, 2, i, s FROM (SELECT DISTINCT grp FROM m), (VALUES (0, 'modelscope'), (1, 'hf_mirror'), (2, 'huggingface')) v(i, s)),

@@ -45,16 +45,23 @@ def skip_existing(planned: DataFrame, existing: DataFrame, strategy: Column) ->
     return p.withColumn("outcome", F.when(F.col("__there") & (F.col("outcome") == "planned") & (strategy != "sibling_overwrite"), "existing").otherwise(F.col("outcome"))).drop("__there")
 
 
-def dispatch(queue: DataFrame, most: int = MAX_ACTIVE) -> DataFrame:
-    """id, place of the queued jobs that start at once, from a queue(id, preset, output, queue_pos) with nothing running.
+def dispatch(queue: DataFrame, running: DataFrame | None = None, most: int = MAX_ACTIVE) -> DataFrame:
+    """id, place of the queued jobs that start at once, from a queue(id, preset, output, queue_pos) beside the running(preset, output).
 
-    The head's preset is the only one; of jobs with one output the first runs. The head is a minimum, not a sort.
+    Only jobs of the running ones' preset start, or of the head's where nothing runs;
+    of jobs with one output the first runs, and none while that output is being
+    written. The head is a minimum, not a sort.
     """
+    busy = running if running is not None else queue.limit(0)
     head = queue.agg(F.min_by("preset", "queue_pos").alias("head"))
-    same = queue.crossJoin(F.broadcast(head)).filter(F.col("preset") == F.col("head"))  # one row
-    first = same.filter("output is not null").groupBy("output").agg(F.min_by(F.struct("id", "queue_pos"), "queue_pos").alias("j")).select("j.id", "j.queue_pos")
-    chosen = first.unionByName(same.filter("output is null").select("id", "queue_pos")).orderBy("queue_pos").limit(most)
-    return chosen.select("id", F.row_number().over(Window.orderBy("queue_pos")).cast("long").alias("place"))  # of `most` rows
+    now = busy.agg(F.max("preset").alias("current"), F.count("*").alias("busy"))
+    state = F.broadcast(head.join(now))  # one row
+    same = queue.crossJoin(state).filter(F.col("preset") == F.coalesce("current", "head"))
+    taken = busy.filter("output is not null").select("output").distinct()
+    first = same.filter("output is not null").join(F.broadcast(taken), "output", "left_anti").groupBy("output").agg(F.min_by(F.struct("id", "queue_pos", "busy"), "queue_pos").alias("j")).select("j.*")
+    chosen = first.unionByName(same.filter("output is null").select("id", "queue_pos", "busy")).orderBy("queue_pos").limit(most)
+    placed = chosen.select("id", "busy", F.row_number().over(Window.orderBy("queue_pos")).cast("long").alias("place"))  # of `most` rows
+    return placed.filter(F.col("place") + F.col("busy") <= most).select("id", "place")
 
 
 def ranked_sources(results: DataFrame, group: str) -> DataFrame:

@@ -100,9 +100,9 @@ def range_starts_at(content_range: Column, offset: Column) -> Column:
 
 
 def log_lines(chunk: Column, most: int = 8192) -> Column:
-    """Lines of a log chunk: ended by LF or CR, none empty, none over `most` bytes (ASCII)."""
-    pieces = F.split(chunk, "[\n\r]")
-    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length(p), F.lit(1)) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))
+    """Lines of a log chunk: ended by LF or CR, none empty, none over `most` bytes; a character that a cut splits shows as replacement characters on both sides."""
+    pieces = F.transform(F.split(chunk, "[\n\r]"), lambda p: F.encode(p, "UTF-8"))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length(p), F.lit(1)) - 1) / most).cast("int")), lambda k: F.make_valid_utf8(F.substring(p, k * most + 1, F.lit(most)).cast("string")))
     return F.filter(F.flatten(F.transform(pieces, cut)), lambda x: x != "")
 
 

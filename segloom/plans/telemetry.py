@@ -58,13 +58,22 @@ def lease_sessions(uses: DataFrame, key: str, at: str, idle_s: int = IDLE_S) ->
 def throttled(updates: DataFrame, key: str, at: str, interval_s: int = INTERVAL_S) -> DataFrame:
     """key, at of the progress updates that are written: the first, then each that comes interval_s or later after the last written one.
 
-    at: seconds. Keys' updates are one sorted array each, walked once; what is kept is at most one number for each interval.
+    at: seconds. Keys' updates pass in order, sorted by the shuffle; what is held is the last written one of a key.
     """
-    times = updates.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("long"))).alias("ats"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        due = acc.last.isNull() | (t - acc.last >= interval_s)
-        return F.struct(F.when(due, t).otherwise(acc.last).alias("last"), F.when(due, F.concat(acc.kept, F.array(t))).otherwise(acc.kept).alias("kept"))
-
-    return times.select(key, F.explode(F.aggregate("ats", start, step)["kept"]).alias(at))
+    rows = updates.select(F.col(key).alias("key"), F.col(at).cast("long").alias("at"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def walk(batches):
+        import pyarrow as pa
+
+        now, last = object(), 0
+        for b in batches:
+            keep = []
+            for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if k != now or t - last >= interval_s:
+                    now, last = k, t
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    kept = rows.filter("at is not null").distinct().repartition("key").sortWithinPartitions("key", "at").mapInArrow(walk, f"key {kind}, at long")
+    return kept.select(F.col("key").alias(key), F.col("at").alias(at))

@@ -92,10 +92,57 @@ def test_long_single_text_is_halved():
         return f"({p})"
 
     out = translate.translate_one(ask, "word " * 40, "fr", lambda t, _: t)
-    assert out and out.count("(") == 4
+    assert out and out.count("(") == 4 and "( " not in out and " )" not in out  # halves are trimmed
     assert translate.translate_one(ask, "x" * 200, "fr", lambda t, _: t) is None
 
 
+def test_halves_are_asked_as_wholes_are(spark):
+    """Halved requests have the same context, collapsed runs and wording as whole ones."""
+    asked = []
+
+    def ask(p):
+        asked.append(p)
+        if p.count("</c") > 1 + 1:  # the wording has one
+            raise translate.Fatal("maximum context length")
+        return "<c1>ok</c1>"
+
+    assert translate.translate_batch(ask, ["a" * 30, "see <c1> here"], ["before"], "fr") == ["ok", "ok"]
+    row = spark.createDataFrame([(["a" * 30], ["before"]), (["see <c1> here"], ["before"])], "cues array<string>, context array<string>").select(X.batch_prompt(F.col("cues"), F.col("context"), F.lit("fr")).alias("p")).collect()
+    assert asked[1:] == [r.p for r in row]
+
+
+def test_engine_asks_for_what_the_table_lacks(spark, tmp_path):
+    """Two runs over a table on disk: the second one asks nothing and gives the same files; the newest value of a key counts."""
+    from segloom.operators import engine
+
+    docs = spark.createDataFrame([(1, "a\nb\n\nc"), (2, "b\nd"), (3, "")], "doc_id long, source string")
+    path, asked = str(tmp_path / "table"), spark.sparkContext.accumulator(0)
+
+    def make():
+        def ask(p):
+            asked.add(1)
+            return translate.fake(p)
+
+        return ask
+
+    def save(new):
+        new.write.mode("overwrite").parquet(str(tmp_path / "new"))
+        kept = spark.read.parquet(str(tmp_path / "new"))
+        cache.write(kept.dropDuplicates(["key"]), path, 2)
+        return kept
+
+    key = lambda t: spark.createDataFrame([(t,)], "text string").select(X.cache_key(F.lit("m"), F.lit("fr"), F.col("text")).alias("key"), F.concat(F.lit("T:"), F.col("text")).alias("value"))
+    assert cache.read(spark, path).count() == 0
+    cache.write(key("a").withColumn("value", F.lit("old")), path, 0)
+    cache.write(key("a"), path, 1)
+    one = {r.doc_id: r for r in engine.produce(docs, "txt", cache.read(spark, path), make, "m", "fr", save, "replace").collect()}
+    assert one[1].output == "T:a\ntranslated 1\n\ntranslated 2" and (one[1].n_hits, one[1].n_translated) == (1, 2) and one[3].n_segments == 0
+    first = asked.value
+    assert first == 2 and cache.read(spark, path).count() == 4
+    two = {r.doc_id: r for r in engine.produce(docs, "txt", cache.read(spark, path), make, "m", "fr", lambda new: new, "replace").collect()}
+    assert asked.value == first and {k: r.n_hits for k, r in two.items()} == {1: 3, 2: 2, 3: 0}
+
+
 def test_cache_sends_misses_once(spark):
     df = formats.parse(spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, source string"), "txt").withColumn("segments", segments.of_blocks(F.col("blocks")))
     seg = cache.keyed(segments.explode_segments(df, ["doc_id"]), F.lit("m"), F.lit("fr"))
