@@ -41,7 +41,7 @@ from segloom.llm import attention
 from segloom.llm.attention import INPUTS, STEP, T, UNITS, Attention, targets, window_places, windows
 from segloom.llm.common import Sent, by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SHARD, SLICE, MEMO, PIECE, COUNTED, WEIGHTS = 1 << 18, 24_000, 3000, 8192, 1 << 20, 150_000, 1 << 22, 1 << 23, (0.1, 0.3, 0.5, 0.7, 0.9)
+TOP, SEED_WINDOWS, STEPS, SHARD, SLICE, MEMO, PIECE, COUNTED, WEIGHTS = 1 << 18, 24_000, 3000, 4096, 1 << 20, 150_000, 1 << 22, 1 << 23, (0.1, 0.3, 0.5, 0.7, 0.9)
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -255,7 +255,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
         def learn() -> int:
             _, ids, begins = reader.read(texts)
             x, scored = windows(sent.value.of[ids], begins, *window_places(begins))
-            own.train(x, scored, None, rate=1e-3, seed=len(x))
+            own.train(x, scored, None, batch=256, rate=2e-3, seed=len(x))
             return len(x)
 
         def made() -> pa.RecordBatch:
@@ -289,8 +289,9 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
         n, w = total_of(rows)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([n]), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
 
-    dealt = docs.select("text", F.pmod(_hash(docs, 3), F.lit(1 + docs.count() // SHARD)).alias("shard"), _hash(docs, 4).alias("h"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "h").select("text", "shard")
+    shards = 1 + docs.count() // SHARD
+    dealt = docs.select("text", F.pmod(_hash(docs, 3), F.lit(shards)).alias("shard"), _hash(docs, 4).alias("h"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("text", "shard")
     tuned = dealt.mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
     n, w = total_of([pa.RecordBatch.from_pylist([r.asDict()]) for r in sorted(tuned.collect(), key=lambda r: r[0])])  # 64 rows at most
     if n:
