@@ -10,7 +10,7 @@ from segloom.functions import paths as P
 from segloom.functions import text as X
 from segloom.operators import cache, engine, render, segments, translate, units
 from segloom.oracles import ORACLES as ORACLES
-from segloom.plans import ledger, planning, settings, telemetry
+from segloom.plans import ledger, models, planning, settings, telemetry
 from segloom.sources import files, formats, zipped
 
 QUERIES: dict = {}
@@ -682,6 +682,65 @@ def spine_paths(spark, sf):
     return settings.spine(items, refs)
 
 
+def _model_files(spark, sf):
+    """Order lines as files of models: the required ones by line number, others shards; some empty."""
+    path = F.expr("CASE l_linenumber WHEN 1 THEN 'config.json' WHEN 2 THEN 'tokenizer.json' WHEN 3 THEN 'model.safetensors.index.json' ELSE 'm' || CAST(l_linenumber AS STRING) || '.safetensors' END")
+    return A.table(spark, sf, "lineitem").filter("l_partkey % 11 != 0").select(F.col("l_orderkey").alias("model"), path.alias("path"), F.when(F.expr("l_partkey % 13 = 0"), 0).otherwise(F.col("l_suppkey")).cast("long").alias("size"))
+
+
+def _checked(spark, sf):
+    shards = A.table(spark, sf, "lineitem").filter("l_linenumber > 3").select(F.col("l_orderkey").alias("model"), F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit(".safetensors")).alias("shard"))
+    return models.validated(_model_files(spark, sf), shards)
+
+
+@query
+def model_directories(spark, sf):
+    return _checked(spark, sf)
+
+
+@query
+def model_status(spark, sf):
+    partial = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("model"), (F.col("o_custkey") % 5).alias("downloaded"))
+    return models.status(_checked(spark, sf), partial)
+
+
+@query
+def storage_sizes(spark, sf):
+    """Sizes of the folders of parts, without one of them."""
+    f = A.paths(spark, sf).select((F.col("p_partkey") % 3).alias("store"), "path", F.col("p_size").alias("size"))
+    return models.sizes(f, "store", F.lit("d2"))
+
+
+@query
+def model_order(spark, sf):
+    p = A.table(spark, sf, "part").select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN '30b-fp8' WHEN 1 THEN '7b-fp8' ELSE p_brand END").alias("preset"))
+    return p.select("p_partkey", models.display_rank(F.col("preset")).cast("long").alias("rank"), settings.display_speed(F.col("p_partkey") * 1000).alias("speed"))
+
+
+@query
+def usable_benchmarks(spark, sf):
+    r = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("grp"), (F.col("o_orderkey") * 10).alias("tested_at"), F.when(F.expr("o_orderkey % 4 > 0"), "complete").otherwise("testing").alias("state"))
+    return models.usable_benchmarks(r, "grp", 150_000)
+
+
+@query
+def start_attempts(spark, sf):
+    e = A.events(spark, sf).select("event_id", "run", "at", (~F.col("ok")).alias("failed"))
+    return models.start_attempts(e, "run", [F.col("at"), F.col("event_id")]).select("event_id", "failures", "then")
+
+
+@query
+def upload_limits(spark, sf):
+    o = A.table(spark, sf, "orders")
+    return o.select("o_orderkey", models.accepts(F.when(F.expr("o_orderkey % 2 = 0"), "file").otherwise("field"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 50000 ELSE o_orderkey % 16384 END")).alias("accepted"))
+
+
+@query
+def ascending_ranges(spark, sf):
+    li = A.table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 100).alias("start"), (F.col("l_linenumber") * 100 + 98 + F.col("l_suppkey") % 4).alias("end"))
+    return models.ascending(li, "l_orderkey")
+
+
 # archives
 
 

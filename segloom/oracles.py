@@ -268,3 +268,16 @@ ORACLES["missing_shards"] = """WITH l AS (SELECT l_orderkey AS model, 'm' || (l_
 ORACLES["weights_bytes"] = "SELECT l_orderkey AS model, coalesce(sum(l_suppkey) FILTER (WHERE l_partkey % 3 <> 0), -1)::BIGINT AS bytes FROM lineitem GROUP BY 1"
 ORACLES["spine_paths"] = """WITH i AS (SELECT l_orderkey AS book, l_linenumber AS k, CASE WHEN l_partkey % 4 = 0 THEN 'x.xhtml' ELSE 'OEBPS/t' || (l_suppkey % 3) || '.xhtml' END AS path FROM lineitem WHERE l_partkey % 5 <> 0 AND l_partkey % 7 <> 0)
   SELECT i.book, i.path, min(r.l_linenumber)::BIGINT AS pos FROM lineitem r JOIN i ON i.book = r.l_orderkey AND i.k = r.l_linenumber * 3 % 8 GROUP BY 1, 2"""
+_MF = "f AS (SELECT l_orderkey AS model, CASE l_linenumber WHEN 1 THEN 'config.json' WHEN 2 THEN 'tokenizer.json' WHEN 3 THEN 'model.safetensors.index.json' ELSE 'm' || l_linenumber || '.safetensors' END AS path, CASE WHEN l_partkey % 13 = 0 THEN 0 ELSE l_suppkey END::BIGINT AS size FROM lineitem WHERE l_partkey % 11 <> 0)"
+_MC = f"""{_MF}, k AS (SELECT DISTINCT model FROM f UNION SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3), s AS (SELECT l_orderkey AS model, 'm' || l_linenumber || '.safetensors' AS path FROM lineitem WHERE l_linenumber > 3),
+  w AS (SELECT model, 4 AS rank, path FROM s UNION ALL SELECT model, rank, path FROM k, (VALUES (0, 'config.json'), (1, 'tokenizer.json'), (2, 'model.safetensors.index.json')) v(rank, path)),
+  b AS (SELECT w.model, rank, w.path, CASE WHEN size IS NULL THEN 'missing ' ELSE 'invalid ' END || w.path AS problem FROM w LEFT JOIN f ON f.model = w.model AND f.path = w.path WHERE size IS NULL OR size <= 0 UNION ALL SELECT model, 3, '', 'no shards' FROM k WHERE model NOT IN (SELECT model FROM s)),
+  p AS (SELECT model, problem FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rank, path) AS n FROM b) WHERE n = 1), checked AS (SELECT k.model, problem, (SELECT coalesce(sum(size), 0) FROM f WHERE f.model = k.model)::BIGINT AS bytes FROM k LEFT JOIN p ON p.model = k.model)"""
+ORACLES["model_directories"] = f"WITH {_MC} SELECT * FROM checked"
+ORACLES["model_status"] = f"WITH {_MC} SELECT model, CASE WHEN problem IS NULL THEN 'ready' WHEN o_custkey % 5 > 0 THEN 'paused' ELSE 'absent' END AS state, CASE WHEN problem IS NULL THEN bytes ELSE coalesce(o_custkey % 5, 0) END::BIGINT AS bytes FROM checked LEFT JOIN orders ON o_orderkey = model"
+ORACLES["storage_sizes"] = "SELECT p_partkey % 3 AS store, sum(p_size)::BIGINT AS bytes FROM part WHERE p_partkey % 5 <> 2 GROUP BY 1"
+ORACLES["model_order"] = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 99 END::BIGINT AS rank, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) || ' MiB' ELSE printf('%.2f', floor(n / 1073741824 * 100 + 0.5) / 100) || ' GiB' END || '/s' AS speed FROM (SELECT *, p_partkey * 1000 AS n FROM part)"""
+ORACLES["usable_benchmarks"] = "SELECT grp, tested_at, state, state = 'complete' AND 150000 - tested_at < 86400 AS usable FROM (SELECT o_custkey AS grp, o_orderkey * 10 AS tested_at, CASE WHEN o_orderkey % 4 > 0 THEN 'complete' ELSE 'testing' END AS state, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1"
+ORACLES["start_attempts"] = "WITH e AS (SELECT event_id, user_id, event_type = 'error' AS failed, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY epoch(ts::TIMESTAMP)::BIGINT, event_id) AS n FROM events) SELECT event_id, n::BIGINT AS failures, CASE WHEN NOT failed THEN 'wait' WHEN n < 3 THEN 'retry' ELSE 'give_up' END AS \"then\" FROM e WHERE n < 3 OR n = 3 AND failed"
+ORACLES["upload_limits"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 50000 <= 536870912 ELSE o_orderkey % 16384 <= 8192 END AS accepted FROM orders"
+ORACLES["ascending_ranges"] = "SELECT l_orderkey, bool_and(ok) AS ok FROM (SELECT l_orderkey, coalesce(lag(l_linenumber * 100 + 98 + l_suppkey % 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= l_linenumber * 100, true) AS ok FROM lineitem) GROUP BY 1"

@@ -77,6 +77,10 @@ def display_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(number(kb, 1), F.lit(" KB"))).when(n < 1024**3, F.concat(number(mib, 1), F.lit(" MiB"))).otherwise(F.concat(number(gib, 2), F.lit(" GiB")))
 
 
+def display_speed(per_second: Column) -> Column:
+    return F.concat(display_bytes(per_second), F.lit("/s"))
+
+
 def display_duration(seconds: Column) -> Column:
     """For display; the unit names are fixed values."""
     s = F.greatest(F.lit(0), F.round(seconds)).cast("long")
