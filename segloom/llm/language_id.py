@@ -97,13 +97,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> Mode
     from pyspark.sql import Window
 
     labelled = labelled.filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    quota = max(1, min(per_lang, rows // max(1, len(counts))))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    quota = max(1, min(per_lang, rows // max(1, counts.count())))
     at = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    limit = F.lit(None)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, 2.0 * quota / n) * (1 << 30))).otherwise(limit)
-    some = labelled.withColumn("at", at).filter(F.col("at") <= limit)  # about twice the quota; then the quota itself
+    # about twice the quota; then the quota itself
+    some = labelled.withColumn("at", at).join(counts, "lang").filter(F.col("at") <= F.least(F.lit(1.0), 2.0 * quota / F.col("n")) * (1 << 30)).select("id", "text", "lang", "at")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
