@@ -103,11 +103,15 @@ def links(fps: DataFrame, bits: int = 2, small: int = SMALL) -> DataFrame:
     few = rest.filter(F.col("n") <= small)
     some = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").filter(F.col("u") < F.col("v")).filter(close).select("u", "v")
     many = rest.filter(F.col("n") > small).select("fp").distinct()
-    if bits < 2:  # too few to meet: the pairs' own test decides
-        raise NotImplementedError("one or no differing bit")
-    around = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("at"))
-    meet = around.groupBy("at").agg(F.min("fp").alias("u"), F.count("*").alias("n")).filter("n > 1")
-    star = around.join(meet, "at").select("u", F.col("fp").alias("v")).filter("u != v")
+    if bits == 0:  # different fingerprints don't link
+        star = many.filter("false").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    elif bits == 1:  # a word and its neighbours that are there
+        beside = many.select(F.col("fp").alias("u"), F.explode(F.expr("transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b))")).alias("v"))
+        star = beside.join(many, beside.v == many.fp, "left_semi").filter("u < v")
+    else:
+        around = many.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("at"))
+        meet = around.groupBy("at").agg(F.min("fp").alias("u"), F.count("*").alias("n")).filter("n > 1")
+        star = around.join(meet, "at").select("u", F.col("fp").alias("v")).filter("u != v")
     return two.unionByName(some).unionByName(star).distinct()
 
 

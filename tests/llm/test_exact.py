@@ -262,6 +262,30 @@ def test_simhash(spark, rows, monkeypatch):
     assert len({find(i) for i, *_ in near}) < 60
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_simhash_links_in_large_buckets(spark, bits):
+    rng = random.Random(bits)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    words = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(60)}
+    fps = spark.createDataFrame([(w - (1 << 64) if w >> 63 else w,) for w in words], "fp long")
+    up = {w: w for w in words}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in words:
+        for b in words:
+            if (a ^ b).bit_count() <= bits:
+                up[find(a)] = find(b)
+    want = {frozenset(x for x in words if find(x) == find(w)) for w in words}
+    up = {w: w for w in words}
+    for r in simhash.links(fps, bits, small=2).collect():
+        up[find(r.u & (1 << 64) - 1)] = find(r.v & (1 << 64) - 1)
+    assert {frozenset(x for x in words if find(x) == find(w)) for w in words} == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(-1, k) for k in range(5000, 5050)]

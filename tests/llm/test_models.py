@@ -103,6 +103,31 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in got) > 0.98 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_decoding_is_loss_weighted():
+    """Language, score and ambiguity against loops over languages and bits."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 60).astype(np.uint8)) for _ in range(40)]
+    x, y = language_id.grams(texts), np.arange(40) % 5
+    model = language_id.Model(list("abcde"), x, y)
+    lang, score, unsure = model.predict(texts + [b"", b"x"])
+    for k, text in enumerate(texts + [b"", b"x"]):
+        f = language_id.grams([text])[0].astype(np.float64) @ model.w + model.b
+        loss = [sum(t * np.log1p(np.exp(-c * v)) for t, c, v in zip(model.trust, word, f, strict=True)) for word in model.code]
+        p = np.exp(-np.array(loss))
+        p /= p.sum()
+        best = int(p.argmax())
+        assert lang[k] == model.languages[best] and abs(score[k] - p[best]) < 1e-5
+        assert unsure[k] == (sorted(p)[-2] > language_id.MARGIN * p[best])
+    assert sum(lang[k] == "abcde"[k % 5] for k in range(40)) > 35
+
+
+def test_language_with_clashing_columns(spark):
+    rows = [(None if i == 3 else i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * (1 if i else 60_000), "en" if i % 2 else "fr", 1, "x", 0.5, "k", 7) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, at int, id string, score double, k string, n int")
+    got = language_id.identify(docs, F.lit(False)).collect()
+    assert len(got) == 40 and sum(r.lang_pred == "en" for r in got) == 20 and sum(r.doc_id is None for r in got) == 1
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog " * 3, "en") for i in range(8)] + [(20 + i, "le chat et le chien " * 3, "fr") for i in range(8)] + [(50, None, "en"), (51, "", None), (52, "12 ½ !", "fr"), (53, "le chat", None), (53, "le chat", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
