@@ -25,3 +25,19 @@ def test_save(spark, tmp_path):
     over = {r.path: r.outcome for r in files.save(df.filter("path = 'there.txt'").withColumn("overwrite", F.lit(True)), tmp_path.as_uri()).collect()}
     assert over == {"there.txt": "written"} and (tmp_path / "there.txt").read_bytes() == b"new"
     assert not [p for p in tmp_path.rglob("*.tmp")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from segloom.__main__ import arguments, main
+
+    root = tmp_path / "in"
+    for path, body in {"a.txt": "one\ntwo\n", "sub/b.srt": "1\n00:00:01,000 --> 00:00:02,000\none\n", "c.md": "# one\n\nthree"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(body)
+    argv = [str(root), "--cache", str(tmp_path / "cache"), "--translator", "fake", "--out", str(tmp_path / "out"), "--mode", "replace"]
+    assert main(argv) == 0
+    assert (tmp_path / "out/a.translated.txt").read_text().split("\n")[:2] == ["translated 1", "translated 2"]
+    assert "translated 1" in (tmp_path / "out/sub/b.translated.srt").read_text()
+    assert sorted(line.split("\t")[0] for line in capsys.readouterr().out.splitlines()) == ["written"] * 3
+    assert main(argv) == 0 and {line.split("\t")[0] for line in capsys.readouterr().out.splitlines()} == {"identical"}
+    assert arguments([str(root), "--cache", "x"]).batch_size == 25
