@@ -34,7 +34,7 @@ from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, SLICED, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 22, 1 << 22, 1 << 16, 1 << 14, 1_000_000
+SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, SLICED, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 21, 1 << 21, 1 << 16, 1 << 14, 1_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -84,12 +84,14 @@ def shared(texts: DataFrame, ranges: int, slices: int, whole: bool, shingle: int
     def count(table: pa.Table) -> pa.Table:
         ths, n = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("ths", "ns"))
         flat = np.frombuffer(b"".join(table.column("hashes").to_pylist()), kind)
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat, kind="stable").astype(np.int32)
         x = flat[order]
         same = np.concatenate([[False], x[1:] == x[:-1], [False]])
-        alone = np.empty(len(x), bool)
+        del x
+        alone = np.empty(len(flat), bool)
         alone[order] = ~(same[1:] | same[:-1])
-        own = np.add.reduceat(alone.astype(np.int64), np.cumsum(n) - n)
+        del order, same
+        own = np.add.reduceat(alone, np.cumsum(n) - n, dtype=np.int64)
         order = np.argsort(ths % slices, kind="stable")
         at, n, own = (ths % slices)[order], n[order], own[order]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
