@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from segloom.llm.common import by_bytes, fresh, materialize, raw_texts
 from segloom.llm.suffix_array import of_names
 
-WINDOW, SHARD, BLOCK, WORDS_AT_ONCE, STEP, SEPARATOR = 13, 2 << 20, 8 << 20, 1 << 17, 16, 1
+WINDOW, SHARD, BLOCK, WORDS_AT_ONCE, STEP, SEPARATOR = 13, 8 << 20, 8 << 20, 1 << 17, 16, 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
