@@ -246,6 +246,7 @@ def with_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item
         out = out.mapInArrow(run, schema)
         if b < blocks - 1:  # or all blocks' workers would live at once
             out = done = materialize(out, done)
+            block.unpersist()
     return out
 
 
