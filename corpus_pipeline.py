@@ -11,7 +11,7 @@ SHARDS = 40
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is a half or more; fitted on the labelled ones."""
+    """Documents whose probability of the best grade reaches the threshold of a held-out fold; fitted on the labelled ones."""
     return quality.select(docs, quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels"))))
 
 
