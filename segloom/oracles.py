@@ -281,3 +281,12 @@ ORACLES["usable_benchmarks"] = "SELECT grp, tested_at, state, state = 'complete'
 ORACLES["start_attempts"] = "WITH e AS (SELECT event_id, user_id, event_type = 'error' AS failed, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY epoch(ts::TIMESTAMP)::BIGINT, event_id) AS n FROM events) SELECT event_id, n::BIGINT AS failures, CASE WHEN NOT failed THEN 'wait' WHEN n < 3 THEN 'retry' ELSE 'give_up' END AS \"then\" FROM e WHERE n < 3 OR n = 3 AND failed"
 ORACLES["upload_limits"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 50000 <= 536870912 ELSE o_orderkey % 16384 <= 8192 END AS accepted FROM orders"
 ORACLES["ascending_ranges"] = "SELECT l_orderkey, bool_and(ok) AS ok FROM (SELECT l_orderkey, coalesce(lag(l_linenumber * 100 + 98 + l_suppkey % 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= l_linenumber * 100, true) AS ok FROM lineitem) GROUP BY 1"
+# archives: what is read from the books and documents that the tables' pages and turns make, and from those with a translation after every other segment
+_EPUB = f"WITH {_HTML}, b AS (SELECT page_id % 50 AS doc_id, row_number() OVER (PARTITION BY page_id % 50 ORDER BY page_id, leaf_idx) - 1 AS seg_id, text FROM leaf)"
+_DOCX = r"WITH b AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg_id, text FROM conversations WHERE regexp_matches(coalesce(text, ''), '\S'))"
+_read = "SELECT doc_id, seg_id, text, NULL::VARCHAR AS error FROM b"
+_added = "'T & ' || upper(replace(text, 'ß', 'ss'))"
+_with_added = lambda added: f", n AS (SELECT doc_id, seg_id * 2 AS o, text FROM b UNION ALL SELECT doc_id, seg_id * 2 + 1, {added} FROM b WHERE seg_id % 2 = 0) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS seg_id, text, NULL::VARCHAR AS error FROM n"
+ORACLES["epub_segments"], ORACLES["docx_segments"] = f"{_EPUB} {_read}", f"{_DOCX} {_read}"
+ORACLES["epub_render"] = _EPUB + _with_added(f"replace(replace(replace({_added}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
+ORACLES["docx_render"] = _DOCX + _with_added(_added)
