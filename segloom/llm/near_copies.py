@@ -34,7 +34,7 @@ from segloom.llm.components import components
 from segloom.llm.golay import Golay
 from segloom.llm.simhash import majority
 
-SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, SLICED, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 21, 1 << 21, 1 << 16, 1 << 14, 1_000_000
+SHINGLE, SIMILARITY, FPS, SMALL, BLOCK, SLICE, RANGE, SLICED, COLUMNS, BROADCAST = 5, 0.8, 4, 16, 256, 1 << 21, 1 << 21, 1 << 13, 1 << 14, 1_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
