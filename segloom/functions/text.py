@@ -55,13 +55,21 @@ def truncate_bytes(x: Column, most: int) -> Column:
 
 def split_boundary(x: Column) -> Column:
     """struct(left, right): halves at the boundary run nearest to the middle, the run on the left; null where either is blank."""
-    n = F.char_length(x)
-    mid = F.floor(n / 2).cast("int")
-    marks = F.filter(F.transform(F.split(x, ""), lambda c, i: F.when(F.instr(F.lit(BOUNDARIES), c) > 0, i)), lambda i: i.isNotNull())
-    nearest = F.array_min(F.transform(marks, lambda i: F.struct(F.abs(i - mid).alias("d"), i.alias("i"))))["i"]
-    run = lambda near: F.char_length(F.regexp_extract(F.substring(x, near + 1, n), "(?s)^[" + BOUNDARIES.replace(".", r"\.") + "]+", 0))
-    halves = let(let(nearest, lambda near: near + run(near)), lambda cut: F.struct(F.substring(x, F.lit(1), cut).alias("left"), F.substring(x, cut + 1, n).alias("right")))
-    return let(halves, lambda h: F.when((n > 0) & ~is_blank(h.left) & ~is_blank(h.right), h))
+    marks = BOUNDARIES.replace(".", r"\.")
+
+    def lead(y: Column, kind: str) -> Column:
+        """Characters of the kind at the front of y."""
+        return F.char_length(F.regexp_extract(y, f"^[{kind}]*", 0))
+
+    def cut(n: Column) -> Column:
+        # only the words at the middle are looked at, on either side; the left side has the middle itself
+        mid = F.floor(n / 2).cast("int")
+        sides = F.struct(lead(F.reverse(F.substring(x, F.lit(1), mid + 1)), "^" + marks).alias("l"), lead(F.substring(x, mid + 2, n), "^" + marks).alias("r"))
+        near = lambda s: F.when((s.l < F.least(mid + 1, n)) & ((s.l <= s.r + 1) | (s.r >= n - mid - 1)), mid - s.l).when(s.r < n - mid - 1, mid + 1 + s.r)
+        return let(let(sides, near), lambda i: i + lead(F.substring(x, i + 1, n), marks))
+
+    parts = let(F.char_length(x), lambda n: let(cut(n), lambda c: F.struct(F.substring(x, F.lit(1), c).alias("left"), F.substring(x, c + 1, n).alias("right"))))
+    return let(parts, lambda h: F.when(~is_blank(h.left) & ~is_blank(h.right), h))
 
 
 #: The requests' wording and sampling.

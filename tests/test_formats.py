@@ -1,5 +1,8 @@
 """Samples of each format and what they must give, and round trips of any text."""
 
+import time
+from itertools import product
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -115,3 +118,25 @@ def test_text_functions(spark, texts):
         if r.h:
             assert r.h.left + r.h.right == r.t and r.h.left.strip() and r.h.right.strip()
         assert r.cut == r.t if len(r.t.encode()) <= 10 else len(r.cut[:-1].encode()) <= 10 and r.t.startswith(r.cut[:-1])
+
+
+def _halves(t: str) -> tuple[str, str] | None:
+    marks = [i for i, c in enumerate(t) if c in X.BOUNDARIES]
+    if not marks:
+        return None
+    cut = min(marks, key=lambda i: (abs(i - len(t) // 2), i))
+    while cut < len(t) and t[cut] in X.BOUNDARIES:
+        cut += 1
+    return (t[:cut], t[cut:]) if t[:cut].strip() and t[cut:].strip() else None
+
+
+def test_split_boundary_plain_and_long(spark):
+    texts = ["", " ", "a", "ab", "a b", ".a", "a.", "ab cd", "aaaa b", "a bbbb", "a, b.. c", "日本。語、文🙂 x", "a" * 50, "x \\^-] y", *("".join(p) for n in range(1, 6) for p in product("a .", repeat=n))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", X.split_boundary(F.col("t")).alias("h")).collect():
+        assert (tuple(r.h) if r.h else None) == _halves(r.t), r.t
+    # a mark in every second place: the work grows with the text, not with its marks times its length
+    began = time.monotonic()
+    got = spark.range(1).select(F.expr("repeat('a ', 300000)").alias("t")).select(X.split_boundary(F.col("t")).alias("h")).select(F.length("h.left"), F.length("h.right")).first()
+    assert tuple(got) == (300_000, 300_000)
+    assert time.monotonic() - began < 30
