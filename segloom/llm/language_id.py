@@ -92,17 +92,22 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def fit(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> Model:
-    """labelled: id, text, lang. Rows without a language or a letter teach nothing."""
+def sample(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> DataFrame:
+    """text, lang of the rows to learn from, of labelled(id, text, lang)."""
     from pyspark.sql import Window
 
     labelled = labelled.filter("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     quota = max(1, min(per_lang, rows // max(1, counts.count())))
     at = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    # about twice the quota; then the quota itself
-    some = labelled.withColumn("at", at).join(counts, "lang").filter(F.col("at") <= F.least(F.lit(1.0), 2.0 * quota / F.col("n")) * (1 << 30)).select("id", "text", "lang", "at")
+    # about twice the quota, before any text is dealt by language (the counts are as many as the model's languages); then the quota itself
+    some = labelled.withColumn("at", at).join(F.broadcast(counts), "lang").filter(F.col("at") <= F.least(F.lit(1.0), 2.0 * quota / F.col("n")) * (1 << 30)).select("id", "text", "lang", "at")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))
+    return some.withColumn("k", first).filter(F.col("k") <= quota).select("text", "lang")
+
+
+def fit(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> Model:
+    """labelled: id, text, lang. Rows without a language or a letter teach nothing."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw_texts(batch)
@@ -110,7 +115,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS) -> Mode
         x = grams([texts[i] for i in keep])
         return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = some.withColumn("k", first).filter(F.col("k") <= quota).select("text", "lang").mapInArrow(by_batch(run), "lang string, x binary").collect()
+    got = sample(labelled, per_lang, rows).mapInArrow(by_batch(run), "lang string, x binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in got})
     x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(got), DIM)

@@ -128,6 +128,35 @@ def test_language_with_clashing_columns(spark):
     assert len(got) == 40 and sum(r.lang_pred == "en" for r in got) == 20 and sum(r.doc_id is None for r in got) == 1
 
 
+def test_language_sample_is_drawn_before_texts_move(spark):
+    """Texts dealt by language would meet in as many tasks as there are languages."""
+    rows = spark.range(20_000).selectExpr("id", "concat('text ', id) as text", "if(id % 50 = 0, 'en', 'fr') as lang")
+    some = language_id.sample(rows)
+    assert {r.lang: r["count"] for r in some.groupBy("lang").count().collect()} == {"en": 400, "fr": 500}
+    some.collect()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    written = _shuffled(some)
+    assert written and max(written) < 2_000, written
+
+
+def _shuffled(df):
+    """Records that each exchange of an executed plan has written."""
+    out, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        kids = node.children()
+        open_ += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog " * 3, "en") for i in range(8)] + [(20 + i, "le chat et le chien " * 3, "fr") for i in range(8)] + [(50, None, "en"), (51, "", None), (52, "12 ½ !", "fr"), (53, "le chat", None), (53, "le chat", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
