@@ -223,6 +223,42 @@ def test_substring_dedup(spark, rows, hot, monkeypatch):
     assert sorted(map(tuple, got)) == removed([(i, (t or "").encode()) for i, t, _, _ in every], 40)
 
 
+def test_substring_dedup_sorts_open_stretches_alone():
+    """Of contexts that share their anchor, only stretches that another one may have reach the suffix array."""
+    rng = np.random.default_rng(4)
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    core, long = some(300), some(420)
+    h = substring_dedup.Powers(1000).grams(np.frombuffer(long, np.uint8), 160)
+    p = int(np.argmin(h[:241]))  # the least hash of all stretches that begin here up to 20 bytes later
+    contexts = [some(120) + core + some(220) for _ in range(2)] + [some(240 - p) + long + some(400 + p - 420) for _ in range(2)]
+    of, lo, hi = substring_dedup.open_stretches(contexts, np.array([1, 1, 2, 2]), np.array([240] * 4), 400, 160)
+    assert set(of.tolist()) <= {2, 3} and (hi - lo <= 20 + 2 * substring_dedup.CORE).all()
+    # whatever another one has stays, with its place, for any contexts whose anchors are the least hashes
+    for k in range(200):
+        shared, n = bytes(rng.integers(97, 97 + (2, 26)[k % 2], 90).astype(np.uint8)) if k % 3 else b"ab" * 45, 40
+        contexts, at = [], []
+        for _ in range(3):
+            a, b = sorted(rng.integers(0, 91, 2).tolist())
+            text = some(int(rng.integers(0, 30))) + shared[a:b] + some(60)
+            h = substring_dedup.Powers(len(text)).grams(np.frombuffer(text, np.uint8), 16)
+            for q in {i + int(np.argmin(h[i : i + n - 15])) for i in range(len(text) - n + 1)}:
+                contexts.append(text[max(0, q - 24) : q + n])
+                at.append(min(q, 24))
+        keys = np.array([hash(c[q : q + 16]) for c, q in zip(contexts, at, strict=True)])
+        left = {}
+        for o, a, b in zip(*(x.tolist() for x in substring_dedup.open_stretches(contexts, keys, np.array(at), n, 16)), strict=True):
+            left.setdefault(o, set()).update(range(a, b + 1))
+        seen = collections.defaultdict(set)
+        for c, x in enumerate(contexts):
+            grams = substring_dedup.Powers(len(x)).grams(np.frombuffer(x, np.uint8), 16)
+            for i in range(len(x) - n + 1):
+                if i <= at[c] <= i + n - 16 and grams[at[c]] == grams[i : i + n - 15].min():
+                    seen[x[i : i + n], at[c] - i].add((c, i))
+        for places in seen.values():
+            if len(places) > 1:
+                assert all(i in left.get(c, ()) for c, i in places)
+
+
 def test_golay():
     g = Golay()
     words = np.random.default_rng(0).integers(0, 1 << 23, 3000)
