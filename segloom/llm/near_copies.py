@@ -12,9 +12,11 @@ fingerprint's three segments are decoded to fuzzy Golay indices; pairs of segmen
 make keys. A node is filed under the nearest index of each pair and asks under all
 of them, so that near copies with some errors in each segment meet.
 
-Links are found for connection alone. Who asks is first compared with the file of
-the largest shared part that it meets, mostly the text that the others were made
-of. What is then not in one component is compared, under keys of up to SMALL files
+Links are found for connection alone. The files of a bucket are first compared with
+that of the largest shared part, the hub, mostly the text that the others were made
+of. Who asks then meets a bucket of up to SMALL files only if one of them is in
+another component and by its size can be alike; of the hubs that are met, the best
+one is compared first. What is then not in one component is compared, under keys of up to SMALL files
 as pairs and in larger buckets in blocks of about BLOCK nodes, so that no candidate
 is left out but those that are connected already. Every link has the wanted similarity by
 the whole sets of shingles.
@@ -142,14 +144,14 @@ def fingerprints(held: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
-    """key, th, m, s: the keys under which nodes(th, m, s, held) are filed (3 for each fingerprint), or ask (108 at most)."""
+def _keyed(nodes: DataFrame, filed: bool, columns: tuple[str, ...] = ("th", "m", "s")) -> DataFrame:
+    """key and the columns, numbers: the keys under which nodes(th, m, s, held) are filed (3 for each fingerprint), or ask (108 at most)."""
     made: list[Golay] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
             made.append(Golay())
-        held = batch.column(3)
+        held = batch.column(len(columns))
         flat, ends = held.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))])
         fps = fingerprints([flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
         keys = []
@@ -161,9 +163,9 @@ def _keyed(nodes: DataFrame, filed: bool) -> DataFrame:
                 keys.append(np.where((i < 0) | (j < 0), -1, (f * 3 + a) << 24 | i << 12 | j).reshape(len(x), -1))
         keys = np.concatenate(keys, axis=1)
         at = pa.array(np.repeat(np.arange(len(fps)), (keys >= 0).sum(axis=1)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), *(batch.column(k).take(at) for k in range(3))], ["key", "th", "m", "s"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[keys >= 0].astype(np.int32)), *(batch.column(k).take(at) for k in range(len(columns)))], ["key", *columns])
 
-    return nodes.select("th", "m", "s", "held").mapInArrow(by_batch(run), "key int, th long, m long, s long")
+    return nodes.select(*columns, "held").mapInArrow(by_batch(run), ", ".join(["key int", *(f"{c} long" for c in columns)]))
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], m: np.ndarray, m2: np.ndarray, similarity: float) -> np.ndarray:
@@ -262,7 +264,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     files = materialize(_keyed(sets, True))
     buckets = materialize(files.groupBy("key").agg(F.count("*").alias("n"), F.max_by(F.struct("th", "m", "s"), F.struct(F.col("s") / F.col("m"), F.col("th"))).alias("hub")))
-    met = materialize(_keyed(sets, False).join(small(buckets), "key").filter((F.col("n") > 1) | (F.col("th") != F.col("hub.th"))))
     pair = [F.least("th", "th2").alias("u"), F.greatest("th", "th2").alias("v")]
     side = lambda name, to: sets.select(F.col("th").alias(to), F.col("m").alias(f"m_{name}"), F.col("held").alias(name))
     common = F.size(F.array_intersect("a", "b"))
@@ -271,14 +272,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         pairs = materialize(pairs.filter(able("m", "s", "m2", "s2")).select(*pair).distinct())
         return materialize(pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").filter(common >= similarity * (F.col("m_a") + F.col("m_b") - common) - 1e-6).select("u", "v"))
 
-    # who asks, and the best hub that it meets
-    hubs = met.filter((F.col("th") != F.col("hub.th")) & able("m", "s", "hub.m", "hub.s")).groupBy("th", "m", "s").agg(F.max_by("hub", F.struct(F.col("hub.s") / F.col("hub.m"), F.col("hub.th"))).alias("hub"))
-    links = verified(hubs.select("th", "m", "s", F.col("hub.th").alias("th2"), F.col("hub.m").alias("m2"), F.col("hub.s").alias("s2")))
+    def rooted(df: DataFrame, r: DataFrame, th: str = "th", root: str = "root") -> DataFrame:
+        return df.join(r.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
+
+    def of_hubs(df: DataFrame) -> DataFrame:
+        return verified(df.select("th", "m", "s", F.col("hub.th").alias("th2"), F.col("hub.m").alias("m2"), F.col("hub.s").alias("s2")))
+
+    # the files of a bucket and its hub
+    links = of_hubs(files.join(small(buckets.filter("n > 1")), "key").filter(F.col("th") != F.col("hub.th")))
+    r = small(materialize(components(links)))
+    # who asks, and buckets that it may be connected with: large ones, and small ones with a file elsewhere that can be alike
+    known = rooted(files, r).join(small(buckets.filter(F.col("n") <= SMALL).select("key")), "key").groupBy("key").agg(F.collect_list(F.struct("m", "s", "root")).alias("files"))
+    known = materialize(buckets.join(known, "key", "left"))
+    if files.count() <= BROADCAST:
+        known = F.broadcast(known)
+    may = F.exists("files", lambda f: (f.root != F.col("root")) & (F.least(f.s, F.col("s")) >= similarity / (1 + similarity) * (f.m + F.col("m")) - 1e-9))
+    met = materialize(_keyed(rooted(sets, r), False, ("th", "m", "s", "root")).join(known, "key").filter((F.col("n") > SMALL) | may).select("key", "th", "m", "s", "root", "n", "hub"))
+    # the best hub elsewhere that it meets
+    hubs = rooted(met.withColumn("h", F.col("hub.th")), r, "h", "hub_root").filter((F.col("root") != F.col("hub_root")) & able("m", "s", "hub.m", "hub.s"))
+    hubs = hubs.groupBy("th", "m", "s").agg(F.max_by("hub", F.struct(F.col("hub.s") / F.col("hub.m"), F.col("hub.th"))).alias("hub"))
+    links = materialize(links.unionByName(of_hubs(hubs)))
+    met = met.drop("root")
     # the files of a small bucket that are not in one component with who asks
     r = small(materialize(components(links)))
-    rooted = lambda df, th, root: df.join(r.select(F.col("node").alias(th), F.col("root").alias(root)), th, "left").withColumn(root, F.coalesce(root, th))
-    file2 = rooted(files.select("key", F.col("th").alias("th2"), F.col("m").alias("m2"), F.col("s").alias("s2")), "th2", "root2")
-    few = rooted(met.filter(F.col("n") <= SMALL), "th", "root").join(file2, "key").filter((F.col("root") != F.col("root2")) & able("m", "s", "m2", "s2"))
+    file2 = rooted(files.select("key", F.col("th").alias("th2"), F.col("m").alias("m2"), F.col("s").alias("s2")), r, "th2", "root2")
+    few = rooted(met.filter(F.col("n") <= SMALL), r).join(file2, "key").filter((F.col("root") != F.col("root2")) & able("m", "s", "m2", "s2"))
     links = materialize(links.unionByName(verified(few.select("th", "m", "s", "th2", "m2", "s2"))))
     roots = materialize(components(links))
     hot = met.filter(F.col("n") > SMALL).select("key", "th", F.col("hub.th").alias("hub")).join(files.select("key", "th", F.lit(True).alias("f")), ["key", "th"], "left").select("key", "th", "hub", F.col("f").isNotNull().alias("filed"))

@@ -300,6 +300,31 @@ def test_near_copies_in_chains(spark, many, monkeypatch):
         assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == sorted(set(got.values()))
 
 
+def test_near_copies_ask_only_where_they_may_connect(spark, monkeypatch):
+    """Texts of one component don't meet its small buckets; large ones and those of other components stay."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=150)
+        for _ in range(12):
+            at, new = rng.randrange(150), rng.choice(words)
+            texts.append(" ".join([*base[:at], new, *base[at + 1 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, write = [], near_copies.materialize
+
+    def counted(df, *more):
+        out = write(df, *more)
+        if {"key", "th", "n", "hub"} <= set(out.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    got = {r.doc_id: r.component_id for r in near_copies.groups(docs).collect()}
+    assert all(got[i] == i // 12 * 12 for i in range(len(texts)))
+    assert len(met) == 1 and met[0] <= 12 * len(texts)
+
+
 def test_near_copies_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, "x y"), (4, "x y"), (5, None), (6, " "), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near_copies.one_of_each(docs).collect()) == [(False, 4), (False, 5), (True, 0)]
