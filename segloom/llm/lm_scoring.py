@@ -41,7 +41,7 @@ from segloom.llm import attention
 from segloom.llm.attention import INPUTS, STEP, T, UNITS, Attention, targets, window_places, windows
 from segloom.llm.common import Sent, by_bytes, materialize, raw_texts
 
-TOP, SEED_WINDOWS, STEPS, SHARD, SLICE, MEMO, PIECE, COUNTED, WEIGHTS = 1 << 18, 24_000, 3000, 4096, 1 << 20, 150_000, 1 << 22, 1 << 23, (0.1, 0.3, 0.5, 0.7, 0.9)
+TOP, SEED_WINDOWS, STEPS, SHARD, FAN, SLICE, MEMO, PIECE, COUNTED, WEIGHTS = 1 << 18, 24_000, 3000, 4096, 16, 1 << 20, 150_000, 1 << 22, 1 << 23, (0.1, 0.3, 0.5, 0.7, 0.9)
 #: Fixed value: the pattern that splits text before the vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -96,7 +96,8 @@ def common_words(words: DataFrame, most: int = TOP) -> dict[bytes, int]:
         if left < 0:
             break
         least = r[0]
-    return {r[0].encode(): r[1] for r in words.filter(step >= least).select("word", "c").collect()}
+    got = words.filter(step >= least).select("word", "c").toArrow()  # Row objects would take far more memory
+    return dict(zip(got.column(0).cast(pa.binary()).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
 def count_ids(words: DataFrame, ranks) -> dict[int, int]:
@@ -260,7 +261,7 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
 
         def made() -> pa.RecordBatch:
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * n
-            return pa.RecordBatch.from_arrays([pa.array([shard % 64]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "w"])
 
         for batch in batches:
             for s, text in zip(batch.column(1).to_pylist(), raw_texts(batch), strict=True):
@@ -278,22 +279,10 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
             n += learn()
             yield made()
 
-    def total_of(rows: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
-        n, w = 0, 0.0
-        for batch in rows:
-            for k, b in zip(batch.column("n").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                n, w = n + k, w + np.frombuffer(b)
-        return n, w
-
-    def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, w = total_of(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([n]), pa.array([w.tobytes()], pa.binary())], ["part", "n", "w"])
-
     shards = 1 + docs.count() // SHARD
     dealt = docs.select("text", F.pmod(_hash(docs, 3), F.lit(shards)).alias("shard"), _hash(docs, 4).alias("h"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("text", "shard")
-    tuned = dealt.mapInArrow(refine, "part long, n long, w binary").groupBy("part").applyInArrow(add, "part long, n long, w binary")
-    n, w = total_of([pa.RecordBatch.from_pylist([r.asDict()]) for r in sorted(tuned.collect(), key=lambda r: r[0])])  # 64 rows at most
+    n, w = sum_shards(dealt.mapInArrow(refine, "part long, n long, w binary"), shards)
     if n:
         at = 0
         for k in names:
@@ -302,6 +291,25 @@ def train(docs: DataFrame, ranks, units: Units, total: int) -> Attention:
     return model
 
 
+def sum_shards(tuned: DataFrame, shards: int) -> tuple[int, np.ndarray]:
+    """Sums of n and of w (float64 as bytes) over the rows part, n, w, a row for each part from 0 to shards - 1 at most.
+
+    They are added in steps of FAN neighbours, each in the order of its parts, so
+    that no task holds more and one row reaches the driver, whatever the number of shards.
+    """
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        w = sum(np.frombuffer(x.as_buffer()) for x in rows.column("w"))
+        return pa.table({"part": [key[0].as_py()], "n": [pc.sum(rows.column("n")).as_py()], "w": pa.array([w.tobytes()], pa.binary())})
+
+    while shards > 1:
+        tuned = tuned.withColumn("step", F.floor(F.col("part") / FAN)).groupBy("step").applyInArrow(add, "part long, n long, w binary")
+        shards = -(-shards // FAN)
+    got = tuned.collect()
+    return (got[0].n, np.frombuffer(got[0].w)) if got else (0, np.zeros(0))
+
+
 def word_sums(values: np.ndarray, words: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     """Sums over each word's subwords, of texts one after the other."""
     n = size.take(np.concatenate(words))

@@ -553,6 +553,45 @@ def test_lm_refines_on_all_texts(spark, monkeypatch):
     assert seen.value == len(texts)
 
 
+def test_lm_shards_reach_the_driver_as_one(spark, monkeypatch):
+    """The parameters of many shards are added on the cluster: one row of them is collected, and it is their mean by windows."""
+    import public_tokenizers
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    own = []
+    collect = DataFrame.collect
+
+    def counted(df):
+        rows = collect(df)
+        own.extend(r.w for r in rows if "w" in df.columns)
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    monkeypatch.setattr(lm_scoring, "SHARD", 8)
+
+    class Marked(lm_scoring.Attention):
+        def train(self, x, *a, **b):  # in place of learning, so that the mean is known
+            self.p["cb"] = np.full_like(self.p["cb"], len(x))
+
+    monkeypatch.setattr(lm_scoring, "Attention", Marked)
+    texts = [(i, f"word{i} " * (1 + i % 90)) for i in range(320)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    counts = lm_scoring.count_ids(lm_scoring.count_words(docs), ranks)
+    size = lm_scoring.Subwords(ranks.value).end
+    model = lm_scoring.train(docs, ranks, lm_scoring.Units(counts, size + 1), 10**12)
+    by_shard = collections.Counter()
+    sub = lm_scoring.Subwords(ranks.value)
+    for r in docs.withColumn("s", F.pmod(lm_scoring._hash(docs, 3), F.lit(41))).select("text", "s").toLocalIterator():
+        n = 1 + sum(len(sub.ids(x.encode())) for x in r.text.split())
+        by_shard[r.s] += 1 + max(0, -(-(n - attention.T) // attention.STEP))
+    assert len(by_shard) > 2 * lm_scoring.FAN
+    assert len(own) == 1
+    want = sum(n * n for n in by_shard.values()) / sum(by_shard.values())
+    assert np.allclose(model.p["cb"], want, rtol=1e-6)
+
+
 def test_lm_scores_are_the_mix_and_do_not_depend_on_files(spark, rows, monkeypatch):
     """The mean over weights of the products of mixed word probabilities, from the trained network's own answers; the same for rows in other partitions and order."""
     import public_tokenizers
